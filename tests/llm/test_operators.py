@@ -1,0 +1,361 @@
+"""Each training-data operator against a brute-force version, over the small tables and odd rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from feedloom.llm import ann, embed_dedup, minhash, mixing, packing, pii, queries, secrets, suffix, toxicity, warc
+
+LONG = " ".join(f"w{i % 97}x{i}" for i in range(3000))
+BASE = " ".join(f"word{i}" for i in range(120))
+ODD = [
+    (1, None, "en", "a", None), (2, "", "en", None, 0), (3, LONG, None, "a", 5), (4, LONG, "en", "b", 5), (4, LONG, "en", "b", 5), (None, "nobody knows", "en", "b", 3),
+    (6, BASE, "en", "c", 1), (7, BASE.replace("word60", "other"), "en", "c", 1), (8, BASE.upper(), "de", "b", 1), (9, "  \n \t ", "fr", "a", 1), (10, "one two", "fr", "a", 1), (11, "One  Two", "fr", "a", 1),
+    (12, "mail a.b@c-d.org, 1.2.3.256 and 10.0.0.1; card 4111 1111 1111 1111, +1 (555) 123-4567 ok", "en", "a", 1),
+    (13, "é" * 300 + "<|endoftext|> x  y\n\n z", "fr", None, 9), (14, "a" * 700, "en", "a", 1), (15, "ab" * 400, "en", "a", 1), (16, "z" * 199, "en", "a", 1),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, block string, key int, id int, score double"
+
+
+def odd(spark, rows=ODD):
+    """With columns whose names the operators use themselves."""
+    return spark.createDataFrame([(*r, k, "x", 1, 2, 0.5) for k, r in enumerate(rows)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small.unionByName(odd(spark).select(small.columns).withColumn("doc_id", F.col("doc_id") + 1_000_000)).cache()
+
+
+def empty(spark):
+    return odd(spark).limit(0)
+
+
+def by_id(df):
+    return sorted((r.asDict() for r in df.collect()), key=lambda r: str(sorted(r.items(), key=lambda x: x[0])))
+
+
+def test_no_rows_at_all(spark):
+    none = empty(spark)
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert packing.pack(none, queries.tokenizer_path()).count() == 0
+    assert pii.personal_data(none).count() == suffix.remove_repeats(none).count() == minhash.near_duplicates(none).count() == 0
+    assert mixing.mix_sources(none).count() == secrets.scan(none).count() == ann.nearest(vectors).count() == embed_dedup.near_vectors(vectors).count() == 0
+    assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    model = toxicity.train(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(odd(spark), model).where("score between 0 and 1").count() == len(ODD)
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(queries.tokenizer_path())
+    want = collections.Counter()
+    for r in docs.select("doc_id", "text").collect():
+        ids = [*model.encode(r.text or "", add_special_tokens=False).ids, 2]
+        cut = len(ids) % 1024 or 1024
+        bounds = [0, len(ids)] if len(ids) <= 1024 else [0, *range(cut, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            want[r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    got = packing.pack(docs, queries.tokenizer_path(), rows_a_block=50).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(bins) <= -(-sum(r.length for r in got) // 1024) + 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_minimum_bin_slack(seed):
+    rng = np.random.default_rng(seed)
+    counts = {int(n): int(c) for n, c in zip(rng.integers(1, 65, 30), rng.integers(1, 40, 30), strict=True)}
+    plan = packing.minimum_bin_slack(counts, 64)
+    used = collections.Counter()
+    for times, items in plan:
+        assert sum(n * k for n, k in items.items()) <= 64
+        used.update({n: k * times for n, k in items.items()})
+    assert used == counts
+    ranks = collections.defaultdict(list)
+    for n, first, last, *_ in packing.places(plan):
+        ranks[n] += range(first, last + 1)
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
+
+
+def test_warc(spark, sf_dir, tmp_path):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60)
+    more = spark.createDataFrame([(9001, None, None), (9002, "u", ""), (9003, "http://a\r\nb", "x\r\n\r\nWARC/1.1"), (9004, None, "x\r\n\r\nWARC/1.1"), (9004, None, "x\r\n\r\nWARC/1.1"), (None, "n", "only é")], pages.schema)
+    rows = pages.unionByName(more)
+    got = warc.archive_pages(rows, pages_an_archive=10, folder=f"file://{tmp_path}").collect()
+    data = [(r.page_id, (r.html or "").encode()) for r in rows.collect()]
+    first = {}
+    for page, html in data:
+        if page is not None:
+            first[html] = min(page, first.get(html, page))
+    want = [(p, len(h), warc.sha1_base32(h), "response" if first.get(h, p) == p else "revisit", None if first.get(h, p) == p else first[h]) for p, h in data]
+    assert collections.Counter(want) == collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got)
+    plain = b"".join(warc.inflated(open(next(tmp_path.glob("*.mono.warc.gz")), "rb")))
+    name = next(tmp_path.glob("*.mono.warc.gz")).name.replace(".mono", "")
+    assert b"".join(warc.inflated(open(tmp_path / name, "rb"))) == plain  # every record, byte for byte
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got = queries.op3_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").select("toxic", "score").toPandas()
+    y, s = got.toxic.to_numpy(), got.score.to_numpy()
+    rank = np.argsort(np.argsort(s)) + 1
+    n = y.sum()
+    assert (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) > 0.9
+    assert ((s >= 0.7) & (y == 0)).mean() < 0.02
+
+
+def test_toxicity_is_of_whole_texts_and_never_of_other_columns(spark):
+    rows = [(i, ("nice words here " * (1 + i % 60)) + (" grubbel" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
+    model = toxicity.train(odd(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(1, None), (None, 1)], "doc_id long, toxic int"))
+    tests = [(1, "nice words here " * 900 + "grubbel", "", "", 0), (2, "nice words here " * 900, "", "", 0), (3, None, "", "", 0), (None, "", "", "", 0)]
+    got = {r.doc_id: r.score for r in toxicity.score(odd(spark, tests), model).collect()}
+    assert got[1] > got[2] and got[3] == got[None]
+
+
+def test_secrets(spark, docs):
+    text = 'set token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" here and docs/2024/index.html/page or 4465758382889437 there'
+    got = {r.secret: r.is_secret for r in secrets.scan(odd(spark, [(1, text, "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0)])).collect()}
+    assert got == {"24be64439e3e49cf46b2d7c90f3602a3d0b907ff": True, "docs/2024/index.html/page": False, "4465758382889437": False}
+    found = {(r.doc_id, r.secret) for r in secrets.scan(docs).where("is_secret").collect()}
+    want = {(r.doc_id, m) for r in docs.collect() for m in re.findall(r'token = "([0-9a-f]{40})"', r.text or "")}
+    assert want <= found
+    every = collections.Counter((r.doc_id, r.secret) for r in secrets.candidates(docs).select("doc_id", F.col("run").alias("secret")).collect())
+    brute = collections.Counter()
+    for r in docs.collect():
+        for w in re.split(r"[\x20\x09-\x0D\"'`,;#*$%&<>(){}|]+", r.text or ""):
+            m = re.search(secrets.RUN, w)
+            if m and re.search("[0-9].*[A-Za-z_]|[A-Za-z_].*[0-9]|[0-9]{16}", w):
+                brute[r.doc_id, m[0]] += 1
+    assert every == brute
+    assert not re.search("Python|Arrow|Pandas", secrets.scan(docs)._jdf.queryExecution().toString())
+
+
+def good(v):
+    return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+def vectors_of(spark, n=600):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=16).round(3).tolist(), i % 3) for i in range(n)]
+    for i in range(40):
+        rows.append((n + i, (np.array(rows[i][1]) + rng.normal(size=16) * 0.05).tolist(), i % 3 if i % 5 else None))
+    rows += [(n + 100 + i, rows[7][1], 7 % 3) for i in range(30)]
+    rows += [(2000, None, 1), (2020, [0.0] * 16, 1), (2040, [float("nan")] + [1.0] * 15, 1), (2060, [None] + [1.0] * 15, 1), (None, rows[7][1], 1), (2080, [float("inf")] * 16, 1), (2100, [], 1), (2120, [1.0, 2.0], 1), (2121, [1.0, 2.0], 1)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), rows
+
+
+def test_nearest_neighbours(spark):
+    df, _ = vectors_of(spark)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.vec_id is not None and good(r.embedding)]
+    found = wanted = 0
+    for q, v in rows:
+        if q % 20:
+            continue
+        scored = sorted((-float((np.array(x, float) * np.array(v, float)).sum()), i) for i, x in rows if i != q and len(x) == len(v))[:20]
+        assert [r for r, _, _ in got[q]] == list(range(1, len(scored) + 1))
+        mine = {i: s for _, i, s in got[q]}
+        assert all(abs(s + next(a for a, b in ((-float((np.array(x, float) * np.array(v, float)).sum()), i) for i2, x in rows for i in [i2] if i2 == k) if b == k)) < 1e-9 for k, s in list(mine.items())[:2])
+        found += len(mine.keys() & {i for _, i in scored})
+        wanted += len(scored)
+    assert found / wanted >= 0.9
+    assert not got.keys() & {2000, 2020, 2040, 2060, 2080, 2100, None}
+
+
+def test_near_vectors(spark):
+    df, _ = vectors_of(spark)
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(df, block=8).collect()}
+    rows = [(r.vec_id, np.array(r.embedding, float), r.label) for r in df.collect() if r.vec_id is not None and good(r.embedding) and r.label is not None]
+    links = collections.defaultdict(set)
+    for i, x, a in rows:
+        for j, y, b in rows:
+            if i != j and a == b and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93:
+                links[i].add(j)
+    assert {i: r.n_links for i, r in got.items()} == {r.vec_id: len(links[r.vec_id]) for r in df.collect()}
+    for i, r in got.items():
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert r.component_id == (min(seen) if i is not None else None) and r.kept == (r.component_id == i)
+
+
+LUHN = lambda d: sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_by_regex(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and LUHN(d)]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_pii(spark, docs):
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("a1.@+- ()9"), 80)) for _ in range(400)] + ["1.2.3.4.5.6.7.8.9", "a@b.c@d.e", "@@a@b..c", "+1 (743) 555-3824 4465758382889437", "1" * 5000 + ".1.1.1"]
+    rows = odd(spark, [(5_000_000 + k, t, "", "", 0) for k, t in enumerate(texts)]).select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    text = {r.doc_id: r.text or "" for r in rows.collect()}
+    for r in pii.personal_data(rows).collect():
+        base = base_by_regex(text[r.doc_id])
+        assert r.base == pii.written(base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in base) for x in range(4)]
+        spans = [x for x in r.spans.split(",") if x]
+        assert set(filter(None, r.base.split(","))) <= set(spans) and len(spans) == len(base) + r.n_added
+    (base, added), = pii.find(["ring me on 415-555-0132 or mail bob at foo dot com please"])
+    assert not base and [k for _, k, _ in added] == [3, 0]
+    assert list(pii.redact(["mail x@y.org now", ""])) == ["mail <EMAIL> now", ""]
+
+
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    crf = pii.trained()
+    x = pii.encode([(t, g) for t, _, _, g in pii.tokens_of("call 555-20", 0, 11)])
+    e = crf.weights[x].sum(axis=1)
+    score = lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(crf.moves[a, b] for a, b in itertools.pairwise(p))
+    assert score(crf.decode([x])[0].tolist()) == pytest.approx(max(map(score, itertools.product(range(5), repeat=len(x)))))
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix_sources(docs, shards=8).collect()
+    again = mixing.mix_sources(docs.repartition(7), shards=8).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    size = {}
+    for r in docs.collect():
+        size.setdefault(r.source, []).append(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    target = dict(zip(names, mixing.target_words([sum(size[n]) for n in names]), strict=True))
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == sum(size[r.source]) and r.target == pytest.approx(target[r.source])
+        assert r.taken == r.size * len(r.draws) and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert len(got) == docs.count()
+    for n in names:
+        assert abs(taken[n] - target[n]) <= 2 * max(size[n]) + 1
+    assert sum(target.values()) == pytest.approx(sum(map(sum, size.values())))
+    mix = mixing.mixed_rows(docs, shards=8)
+    assert mix.count() == sum(len(r.draws) for r in got)
+
+
+def test_splitting_tree():
+    q = mixing.split_quotas([100, 7, 0, 4000], 16)
+    assert q.sum(axis=0).tolist() == [100, 7, 0, 4000] and max(q.sum(axis=1)) - min(q.sum(axis=1)) <= 4 and (q >= 0).all()
+
+
+def shingles(t):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_minhash(docs):
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs.dropDuplicates(["doc_id"])).collect()}
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    links = collections.defaultdict(set)
+    ids = [i for i in sets if i is not None]
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+                links[i].add(j)
+                links[j].add(i)
+    for i, r in got.items():
+        assert r.n_shingles == len(sets[i])
+        if i is None:
+            continue
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert r.component_id == min(seen) and r.kept == (r.component_id == i), (i, seen)
+
+
+def test_keys_of_any_pair_within_the_distance_meet(spark):
+    rng = np.random.default_rng(2)
+    errors = minhash.allowed_errors((85, 100))
+    a = rng.integers(0, 2**16, (50, minhash.SLOTS)).astype("<u2")
+    b = a.copy()
+    for row in b:
+        row[rng.choice(minhash.SLOTS, errors, replace=False)] ^= 1
+    rows = [(k, bytearray(x.tobytes())) for k, x in enumerate([*a, *b])]
+    got = collections.defaultdict(set)
+    for r in minhash.chunk_keys(spark.createDataFrame(rows, "id long, signature binary"), errors).collect():
+        got[r.id].add(r.key)
+    assert all(got[k] & got[50 + k] for k in range(50)) and not got[0] & got[1]
+
+
+def brute_repeats(texts, length):
+    seen = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    for t in texts:
+        c = np.zeros(len(t) + 1, int)
+        for p in range(len(t) - length + 1):
+            if seen[t[p : p + length]] > 1:
+                c[p] += 1
+                c[p + length] -= 1
+        yield np.cumsum(c)[:-1] > 0
+
+
+@pytest.mark.parametrize("hot", [suffix.HOT, 0])
+def test_repeats(docs, hot):
+    rows = docs.select("doc_id", "text").collect()
+    want = collections.Counter()
+    for r, gone in zip(rows, brute_repeats([(r.text or "").encode() for r in rows], 200), strict=True):
+        t = np.frombuffer((r.text or "").encode(), np.uint8)
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[r.doc_id, len(t), int(gone.sum()), spans, hashlib.sha256(t[~gone].tobytes()).hexdigest()] += 1
+    got = collections.Counter(tuple(r) for r in suffix.remove_repeats(docs, hot=hot).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("text", [b"", b"a", b"banana", b"aaaaaaaa", b"abcabcabcxabc", bytes(np.random.default_rng(3).integers(97, 99, 300, dtype=np.uint8))])
+def test_longest_previous_factor(text):
+    data = np.frombuffer(text, np.uint8)
+    order = suffix.suffix_array(data)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    want = [max([next((k for k in range(len(text) - i) if text[j + k] != text[i + k]), len(text) - i) for j in range(i)], default=0) for i in range(len(text))]
+    assert suffix.longest_previous_factor(order, suffix.lcp_array(data, order)).tolist() == want
+    for length in (2, 5):
+        assert suffix.repeats_in(text, length).tolist() == next(iter(brute_repeats([text], length))).tolist()
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = [docs]
+    for name, stage in P.STAGES:
+        before = seen[-1]
+        out = stage(spark, before, sf_dir).cache()
+        seen.append(out)
+        if name != "packing":
+            assert out.columns == docs.columns
+    clean, alone, redacted, mix, packed = seen[1:]
+    assert alone.count() == minhash.near_duplicates(clean, P.SIMILARITY).where("kept").count()
+    assert redacted.count() == alone.count() and not any(base_by_regex(r.text or "") for r in redacted.select("text").collect() if "@" in (r.text or ""))
+    draws = mixing.mix_sources(redacted)
+    assert mix.count() == draws.agg(F.sum(F.size("draws"))).first()[0]
+    assert packed.where("piece = 0").count() == mix.count()
+
+
+def test_queries_are_registered():
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
