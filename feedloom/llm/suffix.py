@@ -22,9 +22,11 @@ from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, mix, signe
 LENGTH = 200
 GRAM = 50
 SEED = 23
-#: Surroundings of one anchor that one suffix array takes; beyond it windows are counted by their hash, in any number.
-HOT = 4000
+#: Surroundings of one anchor that one suffix order takes; beyond it windows are counted by their hash, in any number.
+HOT = 20_000
 CHUNK = 2500
+#: Columns of a larger group that are ordered at once, which bounds memory: equal passages of one anchor's group start in the same column.
+COLUMNS = 19
 NONE = np.uint64(2**64 - 1)
 ANCHORS = pa.schema([("f", pa.int64()), ("around", pa.int64()), ("row", pa.int64()), ("at", pa.int32())])
 REGIONS = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
@@ -205,7 +207,7 @@ def joined(places: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(row, regions): for each row number, runs [first, last] of positions whose passage occurs elsewhere too.
 
-    ``docs`` has row (long, not null) and text. Nothing is said of rows without repeats.
+    ``docs`` has row (long, not null, the same for equal texts only) and text. Nothing is said of rows without repeats.
     """
     work = Workspace(docs.sparkSession, "suffix")
     before = length - gram
@@ -289,8 +291,13 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
         for k, (own, gap) in enumerate(zip(rows.column("bytes").to_pylist(), (before - left).tolist(), strict=True)):
             data[k, gap : gap + len(own)] = np.frombuffer(own, np.uint8)
             valid[k, gap : gap + len(own) - length + 1] = True
-        earlier, later = previous_and_next(prefix_ranks(data, length, before + 1), distinct(valid, row, at))
-        hit = (earlier | later) & ~done[:, None]
+        valid = distinct(valid, row, at)
+        step = before + 1 if len(row) <= 2 * CHUNK else COLUMNS
+        hit = np.zeros_like(valid)
+        for j in range(0, before + 1, step):
+            stop = min(j + step, before + 1)
+            earlier, later = previous_and_next(prefix_ranks(data[:, j : stop - 1 + length], length, stop - j), valid[:, j:stop])
+            hit[:, j:stop] = (earlier | later) & ~done[:, None]
         out: list[list] = [[], [], []]
         for k in np.flatnonzero(hit.any(axis=1)).tolist():
             for a, b in joined(np.flatnonzero(hit[k]), length):
@@ -340,9 +347,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     Every byte of a passage of ``length`` bytes that starts anywhere else too goes. A null text counts as
     empty; each row is a text of its own, also where rows repeat a doc_id or have none.
     """
-    work = Workspace(docs.sparkSession, "texts")
-    # Rows get a number of their own; as it isn't stable, it is written once.
-    rows = work.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    # Equal rows share a number, and as each of them repeats the other, they lose the same bytes.
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
