@@ -29,8 +29,11 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("signature", pa.binary())])
 KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Leaders that every bucket compares its other members with, one round after the other; the exhaustive round follows.
+#: Leaders that every bucket compares its other members with in a round; after the first, until little is open.
 LEADERS = (1, 4)
+ROUNDS = 6
+#: Pairs left open for each member of a bucket below which the exhaustive round follows.
+OPEN = 4
 
 
 class Shingler:
@@ -161,7 +164,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
 
     One row for each input row. Equal shingle sets form one class and only its smallest id takes part in
     the join. Within a bucket, members are compared with a few leaders first; as only components are
-    asked for, members already connected need no further comparison, and the exhaustive round confirms every
+    asked for, members already connected need no further comparison, and the last, exhaustive round confirms every
     pair that shares a bucket and isn't connected yet. So no pair is left out, and no group of copies, however
     large, is expanded into its pairs. Documents without words, and rows with a null id, link with nothing
     (their component is their own id). Rows that repeat an id share its component.
@@ -176,29 +179,45 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
     members = buckets.select("id").distinct()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = work.save(source.join(members, "id"), "texts")
+    # The members that meet the most others lead: the text that a group's copies were made from meets all of them.
+    weight = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    buckets = work.save(buckets.join(weight, "id"), "weighted")
+    work.drop("buckets")
+    total = buckets.count()
     found = done = component = None
-    for round_, leaders in enumerate((*LEADERS, 0)):
+    exhaustive, round_ = False, 0
+    while True:
         if component is None:
             held = buckets.withColumn("component", F.col("id"))
         else:
-            held = buckets.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        picks = [F.min(F.struct(F.xxhash64("id", F.lit(round_), F.lit(k)).alias("h"), "id", "component")).alias(f"l{k}") for k in range(max(1, leaders))]
-        stats = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), *picks).where("least < most")
-        if leaders:
-            other = stats.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{k}.id").alias("leader"), F.col(f"l{k}.component").alias("of")) for k in range(leaders)]))).alias("x")).select("key", "x.leader", "x.of")
-        else:
-            held = work.save(held.join(stats.select("key"), "key", "left_semi"), "open")
+            held = buckets.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+        open_ = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("components")).where("components > 1")
+        if component is not None:
+            left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+            exhaustive = left <= OPEN * total or round_ >= ROUNDS
+        held = work.save(held.join(open_.select("key"), "key", "left_semi"), f"open-{round_}")
+        if exhaustive:
             other = held.select("key", F.col("id").alias("leader"), F.col("component").alias("of"))
-        pairs = held.join(other, "key").where("component <> of" if leaders else "component < of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        else:
+            first = F.max(F.struct("weight", "id", "component")).alias("l0")
+            more = [F.min(F.struct(F.xxhash64("component", "id", F.lit(round_), F.lit(k)).alias("h"), "id", "component")).alias(f"l{k}") for k in range(1, LEADERS[min(round_, 1)])]
+            leaders = F.array(*[F.struct(F.col(f"l{k}.id").alias("leader"), F.col(f"l{k}.component").alias("of")) for k in range(1 + len(more))])
+            other = held.groupBy("key").agg(first, *more).select("key", F.explode(F.array_distinct(leaders)).alias("x")).select("key", "x.leader", "x.of")
+        pairs = held.join(other, "key").where("component < of" if exhaustive else "component <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = work.save(pairs, f"pairs-{round_}")
         edges = work.save(confirm(pairs, texts, similarity, width), f"edges-{round_}")
+        work.drop(f"open-{round_}")
         done = pairs if done is None else done.unionByName(pairs)
         found = edges if found is None else found.unionByName(edges)
-        if round_ < len(LEADERS) or not edges.isEmpty():
+        if component is None or not edges.isEmpty():
             component = connected_components(found, work, f"round-{round_}")
-    work.drop("texts", "buckets", "open")
+        if exhaustive:
+            break
+        round_ += 1
+    work.drop("texts", "weighted")
     place = classes.select("set_1", "set_2", "n_shingles", "id").join(component, "id", "left").select("set_1", "set_2", "n_shingles", F.coalesce("component", "id").alias("class"))
     linked = keyed.join(place, ["set_1", "set_2", "n_shingles"]).groupBy("doc_id").agg(F.min("class").alias("class"))
     return (
