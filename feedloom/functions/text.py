@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folded(text: Column) -> Column:
@@ -86,7 +87,7 @@ def item_id_number(text: Column) -> Column:
     return F.when(is_hex, F.conv(tail, 16, 10)).otherwise(tail).try_cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_title(title: pd.Series) -> pd.Series:
     """NFKC, straight quotes, split dashes between letters, case folded, no sentence marks at token edges."""
     def one(t: str | None) -> str | None:
@@ -97,6 +98,6 @@ def normal_title(title: pd.Series) -> pd.Series:
     return title.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
