@@ -39,7 +39,7 @@ def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", "\"").csv(path)
     raw = raw.toDF(*[c.lstrip("﻿").strip().lower() for c in raw.columns])
     cell = lambda name: F.col(name) if name in raw.columns else F.lit(None).cast("string")
-    tags = F.coalesce(F.from_json(cell("tags"), "array<string>"), F.transform(F.split(cell("tags"), ","), F.trim), F.array().cast("array<string>"))
+    tags = F.coalesce(F.from_json(cell("tags"), "array<string>"), F.transform(F.split(cell("tags"), ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
     return raw.select(cell("url").alias("url"), cell("title").alias("title"), (F.lower(F.coalesce(cell("folder"), F.lit(""))) == "archive").alias("archived"), F.timestamp_seconds(cell("timestamp").try_cast("long")).alias("saved_at"), F.filter(tags, lambda x: x != "").alias("tags"))
 
 
