@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from feedloom.llm.common import Workspace, batch, utf8
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: Distinct chunks of text whose ids a worker remembers; forgetting only costs time.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class ChunkTokenizer:
@@ -43,7 +44,7 @@ class ChunkTokenizer:
             new = list(chunks)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for text, found in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
+            for text, found in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[text] = np.asarray(found.ids, "<u4").tobytes()
 
     @staticmethod
@@ -71,6 +72,12 @@ class ChunkTokenizer:
             yield b"".join([known[x] for x in parts])
 
 
+@cache
+def remembered(path: str) -> ChunkTokenizer:
+    """One for all tasks of a worker."""
+    return ChunkTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids, cut only where they exceed ``capacity``.
 
@@ -78,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     """
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = remembered(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         for rows in batches:
             for at in range(0, rows.num_rows, 256):

@@ -120,11 +120,14 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_is_of_whole_texts_and_never_of_other_columns(spark):
-    rows = [(i, ("nice words here " * (1 + i % 60)) + (" grubbel" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
+    rng = np.random.default_rng(4)
+    plain = [" ".join(f"{a}{b}" for a, b in zip(rng.choice(["ner", "tul", "bas", "kop", "mir"], 40), rng.choice(["ano", "eki", "usa", "ile", "oru"], 40), strict=True)) for _ in range(400)]
+    rows = [(i, t + (" grubbelig" if i % 4 == 0 else ""), "en", "s", 1) for i, t in enumerate(plain)]
     model = toxicity.train(odd(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(1, None), (None, 1)], "doc_id long, toxic int"))
-    tests = [(1, "nice words here " * 900 + "grubbel", "", "", 0), (2, "nice words here " * 900, "", "", 0), (3, None, "", "", 0), (None, "", "", "", 0)]
+    body = " ".join(plain[:3])
+    tests = [(1, body + " grubbelig", "", "", 0), (2, body, "", "", 0), (3, None, "", "", 0), (None, "", "", "", 0), (5, body + " grubbelig", "de", "other", 7)]
     got = {r.doc_id: r.score for r in toxicity.score(odd(spark, tests), model).collect()}
-    assert got[1] > got[2] and got[3] == got[None]
+    assert got[1] > got[2] and got[3] == got[None] and got[1] == got[5]
 
 
 def test_secrets(spark, docs):
@@ -211,7 +214,7 @@ def base_by_regex(t):
 
 def test_pii(spark, docs):
     rng = np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("a1.@+- ()9"), 80)) for _ in range(400)] + ["1.2.3.4.5.6.7.8.9", "a@b.c@d.e", "@@a@b..c", "+1 (743) 555-3824 4465758382889437", "1" * 5000 + ".1.1.1"]
+    texts = ["".join(rng.choice(list("a1.@+- ()9"), 80)) for _ in range(400)] + ["1.2.3.4.5.6.7.8.9", "a@b.c@d.e", "@@a@b..c", "+1 (743) 555-3824 4465758382889437", "1" * 4000 + ".1.1.1"]
     rows = odd(spark, [(5_000_000 + k, t, "", "", 0) for k, t in enumerate(texts)]).select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
     text = {r.doc_id: r.text or "" for r in rows.collect()}
     for r in pii.personal_data(rows).collect():
