@@ -127,7 +127,7 @@ def test_toxicity_is_of_whole_texts_and_never_of_other_columns(spark):
     body = " ".join(plain[:3])
     tests = [(1, body + " grubbelig", "", "", 0), (2, body, "", "", 0), (3, None, "", "", 0), (None, "", "", "", 0), (5, body + " grubbelig", "de", "other", 7)]
     got = {r.doc_id: r.score for r in toxicity.score(odd(spark, tests), model).collect()}
-    assert got[1] > got[2] and got[3] == got[None] and got[1] == got[5]
+    assert got[1] > got[2] and got[3] == pytest.approx(got[None]) and got[1] == pytest.approx(got[5])
 
 
 def test_secrets(spark, docs):
@@ -223,8 +223,10 @@ def test_pii(spark, docs):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in base) for x in range(4)]
         spans = [x for x in r.spans.split(",") if x]
         assert set(filter(None, r.base.split(","))) <= set(spans) and len(spans) == len(base) + r.n_added
-    (base, added), = pii.find(["ring me on 415-555-0132 or mail bob at foo dot com please"])
-    assert not base and [k for _, k, _ in added] == [3, 0]
+    for text, kind in (("number 555 201 8890 x", 3), ("mail bob at foo dot com please", 0)):
+        ((base, added),) = pii.find([text])
+        assert not base and [k for _, k, _ in added] == [kind]
+    assert list(pii.find(["at 10 in room 12"])) == [([], [])]
     assert list(pii.redact(["mail x@y.org now", ""])) == ["mail <EMAIL> now", ""]
 
 
