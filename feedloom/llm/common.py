@@ -118,6 +118,24 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the edges (a[i], b[i])."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
 def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b long), for each id that has an edge.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, batch, connected_components
+from feedloom.llm.common import Workspace, batch, connected_components, forest
 from feedloom.llm.vectors import matrix, usable
 
 SEED = 5
@@ -40,24 +40,6 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("id,id->i", a, a))[:, None] * np.sqrt(np.einsum("jd,jd->j", b, b))[None, :])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the edges (a[i], b[i])."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) over columns vec_id, embedding and label.
 

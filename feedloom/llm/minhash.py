@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, mix, signed, slices, utf8
+from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, forest, mix, signed, slices, utf8
 
 SLOTS = 40
 BITS = 16
@@ -29,11 +29,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("signature", pa.binary())])
 KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Leaders that every bucket compares its other members with in a round; after the first, until little is open.
+#: Leaders that every bucket compares its other members with in each round; the exhaustive comparison follows.
 LEADERS = (1, 4)
-ROUNDS = 6
-#: Pairs left open for each member of a bucket below which the exhaustive round follows.
-OPEN = 4
+#: Shingles in a block of the exhaustive comparison.
+BLOCK = 150_000
 
 
 class Shingler:
@@ -159,13 +158,75 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int], wid
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def exhaustive(open_: DataFrame, texts: DataFrame, work: Workspace, similarity: tuple[int, int], width: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between members that share a bucket but no component yet: (key, id, component) of open buckets.
+
+    Members that share buckets, also by way of others, form one group. A group is cut into blocks of a bounded
+    number of shingles, and each pair of blocks is compared whole in one task, by a product over the shingles that
+    both hold; it gives a spanning forest of its links, so pairs are never rows.
+    """
+    num, den = similarity
+    nearest = open_.groupBy("key").agg(F.min("id").alias("a"))
+    group = connected_components(open_.join(nearest, "key").select("a", F.col("id").alias("b")), work, "groups")
+    member = open_.groupBy("id").agg(F.min("component").alias("component")).join(group.withColumnRenamed("component", "group"), "id")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        schema = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                rows = whole.slice(at, 500)
+                sets = list(shingler.sets(utf8(rows.column("text"))))
+                yield batch(schema, group=rows.column("group"), id=rows.column("id"), component=rows.column("component"), n=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
+
+    rows = member.join(texts, "id").select("group", "id", "component", "text").mapInArrow(shingle, "group long, id long, component long, n long, shingles binary")
+    rows = work.save(rows, "members")
+    parts = rows.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    blocks = rows.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = work.save(blocks.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m")), "blocks")
+    meets = blocks.join(blocks.select("group", F.col("part").alias("with"), F.col("m").alias("n")), "group").where("part <= with")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):
+                found: list[tuple[int, int]] = []
+                m, n = (whole.slice(k, 1).column(x).flatten() for x in ("m", "n"))
+                own, other = ([np.frombuffer(x, np.uint64) for x in side.field("shingles").to_pylist()] for side in (m, n))
+                both = np.intersect1d(np.concatenate(own), np.concatenate(other))
+                for at in range(0, len(other), 256):
+                    some = other[at : at + 256]
+                    shared = np.zeros((len(own), len(some)))
+                    for first in range(0, len(both), 4096):
+                        columns = both[first : first + 4096]
+                        shared += incidence(own, columns) @ incidence(some, columns).T
+                    size_a, size_b = np.array([len(x) for x in own])[:, None], np.array([len(x) for x in some])[None, :]
+                    of_a, of_b = (side.field("component").to_numpy(zero_copy_only=False) for side in (m, n))
+                    near = (shared > 0) & (den * shared >= num * (size_a + size_b - shared)) & (of_a[:, None] != of_b[None, at : at + 256])
+                    i, j = np.nonzero(near)
+                    ids_a, ids_b = (side.field("id").to_numpy(zero_copy_only=False) for side in (m, n))
+                    found += forest(ids_a[i], ids_b[at + j])
+                yield batch(CHECKED, a=[x for x, _ in found], b=[y for _, y in found])
+
+    return meets.select("m", "n").mapInArrow(compare, "a long, b long")
+
+
+def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """(sets, columns): which set holds which of the sorted columns."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for k, own in enumerate(sets):
+        place = np.searchsorted(columns, own)
+        place[place == len(columns)] = 0
+        out[k, place[columns[place] == own]] = 1
+    return out
+
+
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked where Jaccard similarity >= num / den.
 
     One row for each input row. Equal shingle sets form one class and only its smallest id takes part in
     the join. Within a bucket, members are compared with a few leaders first; as only components are
-    asked for, members already connected need no further comparison, and the last, exhaustive round confirms every
-    pair that shares a bucket and isn't connected yet. So no pair is left out, and no group of copies, however
+    asked for, members already connected need no further comparison, and the last, exhaustive round compares every
+    pair that shares a bucket and isn't connected yet, block by block. So no pair is left out, and no group of copies, however
     large, is expanded into its pairs. Documents without words, and rows with a null id, link with nothing
     (their component is their own id). Rows that repeat an id share its component.
     """
@@ -183,40 +244,30 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
     weight = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("weight"))
     buckets = work.save(buckets.join(weight, "id"), "weighted")
     work.drop("buckets")
-    total = buckets.count()
     found = done = component = None
-    exhaustive, round_ = False, 0
-    while True:
+    for round_ in range(len(LEADERS) + 1):
         if component is None:
             held = buckets.withColumn("component", F.col("id"))
         else:
             held = buckets.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("components")).where("components > 1")
-        if component is not None:
-            left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-            exhaustive = left <= OPEN * total or round_ >= ROUNDS
-        held = work.save(held.join(open_.select("key"), "key", "left_semi"), f"open-{round_}")
-        if exhaustive:
-            other = held.select("key", F.col("id").alias("leader"), F.col("component").alias("of"))
+        open_ = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        held = work.save(held.join(open_, "key", "left_semi"), f"open-{round_}")
+        if round_ == len(LEADERS):
+            edges = work.save(exhaustive(held, texts, work, similarity, width), f"edges-{round_}")
         else:
             first = F.max(F.struct("weight", "id", "component")).alias("l0")
-            more = [F.min(F.struct(F.xxhash64("component", "id", F.lit(round_), F.lit(k)).alias("h"), "id", "component")).alias(f"l{k}") for k in range(1, LEADERS[min(round_, 1)])]
+            more = [F.min(F.struct(F.xxhash64("component", "id", F.lit(round_), F.lit(k)).alias("h"), "id", "component")).alias(f"l{k}") for k in range(1, LEADERS[round_])]
             leaders = F.array(*[F.struct(F.col(f"l{k}.id").alias("leader"), F.col(f"l{k}.component").alias("of")) for k in range(1 + len(more))])
             other = held.groupBy("key").agg(first, *more).select("key", F.explode(F.array_distinct(leaders)).alias("x")).select("key", "x.leader", "x.of")
-        pairs = held.join(other, "key").where("component < of" if exhaustive else "component <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = work.save(pairs, f"pairs-{round_}")
-        edges = work.save(confirm(pairs, texts, similarity, width), f"edges-{round_}")
-        work.drop(f"open-{round_}")
-        done = pairs if done is None else done.unionByName(pairs)
+            pairs = held.join(other, "key").where("component <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = done = work.save(pairs, f"pairs-{round_}")
+            edges = work.save(confirm(pairs, texts, similarity, width), f"edges-{round_}")
+        work.drop(f"open-{round_}", "members", "blocks")
         found = edges if found is None else found.unionByName(edges)
         if component is None or not edges.isEmpty():
             component = connected_components(found, work, f"round-{round_}")
-        if exhaustive:
-            break
-        round_ += 1
     work.drop("texts", "weighted")
     place = classes.select("set_1", "set_2", "n_shingles", "id").join(component, "id", "left").select("set_1", "set_2", "n_shingles", F.coalesce("component", "id").alias("class"))
     linked = keyed.join(place, ["set_1", "set_2", "n_shingles"]).groupBy("doc_id").agg(F.min("class").alias("class"))
