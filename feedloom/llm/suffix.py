@@ -22,10 +22,10 @@ from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, mix, signe
 LENGTH = 200
 GRAM = 50
 SEED = 23
-#: Surroundings of one anchor that one suffix order takes; beyond it windows are counted by their hash, in any number.
-HOT = 20_000
+#: Surroundings of one anchor that one suffix order takes; beyond it passages are counted by their hash, in any number.
+HOT = 4000
 CHUNK = 2500
-#: Columns of a larger group that are ordered at once, which bounds memory: equal passages of one anchor's group start in the same column.
+#: Columns of a larger group that are taken at once: equal passages of one anchor's group start in the same column.
 COLUMNS = 19
 NONE = np.uint64(2**64 - 1)
 ANCHORS = pa.schema([("f", pa.int64()), ("around", pa.int64()), ("row", pa.int64()), ("at", pa.int32())])
@@ -234,10 +234,16 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     asked = unlike.groupBy("row").agg(F.collect_list(F.struct("f", "at", "hot", "done")).alias("asked"))  # at most the anchors of one text
     texts = docs.select("row", "text").join(asked, "row")
 
+    columns = before + 1
+    blocks = [(first, min(first + COLUMNS, columns) - 1) for first in range(0, columns, COLUMNS)]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Surroundings: bytes about the anchor, how many lie before it, and for hot anchors hashes of its passages."""
+        """Surroundings: bytes about the anchor, how many lie before it, and for hot anchors hashes of their cores.
+
+        The core of a block of columns is what all passages that start in it share, so equal passages have equal cores.
+        """
         roll = RollingHash(SEED + 1)
-        schema = pa.schema([("f", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("hashes", pa.list_(pa.int64())), ("done", pa.bool_())])
+        schema = pa.schema([("f", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("cores", pa.list_(pa.int64())), ("done", pa.bool_())])
         for whole in batches:
             for part in range(0, whole.num_rows, 100):
                 rows = whole.slice(part, 100)
@@ -246,16 +252,37 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
                     for x in asked:
                         at = x["at"]
                         left = min(at, before)
-                        own, hashes = text[at - left : at + length], None
+                        own, cores = text[at - left : at + length], None
                         if x["hot"]:
-                            prefix = roll.prefix(np.frombuffer(own, np.uint8))
-                            start = np.arange(max(0, len(own) - length + 1))
-                            hashes, own = signed(roll.of(prefix, start, start + length)), None
-                        for column, value in zip(out, (x["f"], row, at, left, own, hashes, x["done"]), strict=True):
+                            prefix, gap = roll.prefix(np.frombuffer(own, np.uint8)), before - left
+                            # Of blocks in which a whole passage starts; their cores lie in the text.
+                            held = [k for k, (first, last) in enumerate(blocks) if last >= gap and first <= gap + len(own) - length]
+                            start = np.array([blocks[k][1] - gap for k in held], np.int64)
+                            end = np.array([blocks[k][0] + length - gap for k in held], np.int64)
+                            cores = [None] * len(blocks)
+                            for k, core in zip(held, signed(roll.of(prefix, start, end)).tolist() if held else [], strict=True):
+                                cores[k] = core
+                        for column, value in zip(out, (x["f"], row, at, left, own, cores, x["done"]), strict=True):
                             column.append(value)
                 yield batch(schema, **dict(zip(schema.names, out, strict=True)))
 
-    around = work.save(texts.mapInArrow(cut, "f long, row long, at int, left int, bytes binary, hashes array<long>, done boolean"), "around")
+    around = work.save(texts.mapInArrow(cut, "f long, row long, at int, left int, bytes binary, cores array<long>, done boolean"), "around")
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, at, h, done) of the whole passages that start in the asked blocks of each surroundings."""
+        roll = RollingHash(SEED + 1)
+        schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("done", pa.bool_())])
+        for whole in batches:
+            for part in range(0, whole.num_rows, 500):
+                rows = whole.slice(part, 500)
+                out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.int64, np.int32, np.int64, bool)]
+                for row, at, left, own, done, asked in zip(*(rows.column(x).to_pylist() for x in ("row", "at", "left", "bytes", "done", "asked")), strict=True):
+                    start = np.concatenate([np.arange(blocks[k][0], blocks[k][1] + 1) for k in asked]) - (before - left)
+                    start = start[(start >= 0) & (start <= len(own) - length)]
+                    h = signed(roll.of(roll.prefix(np.frombuffer(own, np.uint8)), start, start + length))
+                    for column, value in zip(out, (np.full(len(start), row), (at - left + start).astype(np.int32), h, np.full(len(start), done)), strict=True):
+                        column.append(value)
+                yield batch(schema, **{n: np.concatenate(x) for n, x in zip(schema.names, out, strict=True)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by anchor; groups are gathered to chunks, each in one suffix order."""
@@ -314,10 +341,15 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
         out[k[first], j[first]] = True
         return out
 
-    cold = around.where("hashes is null")
+    cold = around.where("cores is null")
     parts = cold.select("f", "row", "at", "left", "bytes", "done").repartition("f").sortWithinPartitions("f")
     ends = parts.mapInArrow(compare, "row long, first int, last int")
-    place = around.where("hashes is not null").select("row", (F.col("at") - F.col("left")).alias("from"), "done", F.posexplode("hashes").alias("p", "h")).select("row", (F.col("from") + F.col("p")).alias("at"), "h", "done")
+    many = around.where("cores is not null")
+    core = many.select("f", "row", "at", F.posexplode("cores").alias("block", "core")).where("core is not null")
+    alike = core.groupBy("f", "block", "core").agg(F.count("*").alias("n")).where("n > 1").select("f", "block", "core")
+    blocked = core.join(alike, ["f", "block", "core"]).groupBy("row", "at").agg(F.collect_list("block").alias("asked"))  # at most the blocks
+    asked = many.join(blocked, ["row", "at"]).select("row", "at", "left", "bytes", "done", "asked")
+    place = work.save(asked.mapInArrow(passages, "row long, at int, h long, done boolean"), "place")
     twice = place.groupBy("h").agg(F.min(F.struct("row", "at")).alias("a"), F.max(F.struct("row", "at")).alias("b")).where("a <> b").select("h")
     hot_ends = place.where("not done").join(twice, "h").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
     regions = whole.unionByName(ends).unionByName(hot_ends)
