@@ -3,8 +3,9 @@
 A position starts a repeat if the longest factor that it shares with an earlier or a later position has at least
 ``length`` bytes. Winnowing picks anchors so that every passage of that length holds one, and equal passages
 hold the same: only the surroundings of anchors that occur more than once can hold repeats. Surroundings that
-are equal as a whole repeat throughout; the others of one anchor, where matches end, meet in one suffix array,
-and its longest-previous-factor array, read from both ends, tells the repeats.
+are equal as a whole repeat throughout; the others of one anchor, where matches end, meet where they share the core of
+a block of columns, in one suffix order of the bytes beside it: the neighbours there are the previous and next positions
+that longest-previous-factor arrays look for.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, mix, signe
 LENGTH = 200
 GRAM = 50
 SEED = 23
-#: Surroundings of one anchor that one suffix order takes; beyond it passages are counted by their hash, in any number.
-HOT = 4000
-CHUNK = 2500
-#: Columns of a larger group that are taken at once: equal passages of one anchor's group start in the same column.
+#: Columns of a block: passages that start in one share all but 2 * (COLUMNS - 1) bytes, their core and their tails.
 COLUMNS = 19
-NONE = np.uint64(2**64 - 1)
+#: Surroundings with one core that one suffix order takes at most, about a million positions, and rows of a chunk of
+#: smaller groups; beyond it passages are counted by their hash, in any number.
+HOT = 50_000
 ANCHORS = pa.schema([("f", pa.int64()), ("around", pa.int64()), ("row", pa.int64()), ("at", pa.int32())])
+CORES = pa.schema([("core", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("tails", pa.binary()), ("done", pa.bool_())])
 REGIONS = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -196,12 +197,10 @@ class Winnow:
             yield doc + first, (at - begin).astype(np.int32), h[at], around
 
 
-def joined(places: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """Sorted start positions of repeats as maximal runs of positions."""
-    if len(places):
-        cut = np.flatnonzero(np.diff(places) > 1) + 1
-        for run in np.split(places, cut):
-            yield int(run[0]), int(run[-1])
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Each row of bytes as a binary value."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -229,129 +228,102 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     # Equal surroundings repeat as a whole: every passage that they hold.
     alike = kept.where("n > 1").select("f", "around")
     whole = work.save(anchors.join(alike, ["f", "around"]).select("row", (F.greatest(F.col("at") - before, F.lit(0))).alias("first"), F.col("at").alias("last")), "whole")
-    # Where an anchor has several surroundings, one of each is compared in suffix order.
-    unlike = kept.where("kinds > 1").select("f", F.col("one.row").alias("row"), F.col("one.at").alias("at"), (F.col("kinds") > hot).alias("hot"), (F.col("n") > 1).alias("done"))
-    asked = unlike.groupBy("row").agg(F.collect_list(F.struct("f", "at", "hot", "done")).alias("asked"))  # at most the anchors of one text
+    # Where an anchor has several surroundings, one of each is compared: equal passages start in the same column, so
+    # they lie in one block of columns and share its core, the bytes that all passages starting in it have in common.
+    unlike = kept.where("kinds > 1").select("f", F.col("one.row").alias("row"), F.col("one.at").alias("at"), (F.col("n") > 1).alias("done"))
+    asked = unlike.groupBy("row").agg(F.collect_list(F.struct("f", "at", "done")).alias("asked"))  # at most the anchors of one text
     texts = docs.select("row", "text").join(asked, "row")
-
     columns = before + 1
-    blocks = [(first, min(first + COLUMNS, columns) - 1) for first in range(0, columns, COLUMNS)]
+    span = min(COLUMNS, columns)
+    low = np.arange(0, columns, span)
+    first = np.minimum(low, columns - span)  # the last block starts earlier, so that all have one width
+    wide = span - 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Surroundings: bytes about the anchor, how many lie before it, and for hot anchors hashes of their cores.
-
-        The core of a block of columns is what all passages that start in it share, so equal passages have equal cores.
-        """
+        """A row for each surroundings and block with a whole passage: core, columns of passages, bytes beside the core."""
         roll = RollingHash(SEED + 1)
-        schema = pa.schema([("f", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("cores", pa.list_(pa.int64())), ("done", pa.bool_())])
+        beside = np.concatenate([np.arange(wide), np.arange(wide) + length])
         for whole in batches:
-            for part in range(0, whole.num_rows, 100):
-                rows = whole.slice(part, 100)
-                out: list[list] = [[] for _ in schema.names]
-                for row, text, asked in zip(rows.column(0).to_pylist(), utf8(rows.column(1)), rows.column(2).to_pylist(), strict=True):
-                    for x in asked:
-                        at = x["at"]
-                        left = min(at, before)
-                        own, cores = text[at - left : at + length], None
-                        if x["hot"]:
-                            prefix, gap = roll.prefix(np.frombuffer(own, np.uint8)), before - left
-                            # Of blocks in which a whole passage starts; their cores lie in the text.
-                            held = [k for k, (first, last) in enumerate(blocks) if last >= gap and first <= gap + len(own) - length]
-                            start = np.array([blocks[k][1] - gap for k in held], np.int64)
-                            end = np.array([blocks[k][0] + length - gap for k in held], np.int64)
-                            cores = [None] * len(blocks)
-                            for k, core in zip(held, signed(roll.of(prefix, start, end)).tolist() if held else [], strict=True):
-                                cores[k] = core
-                        for column, value in zip(out, (x["f"], row, at, left, own, cores, x["done"]), strict=True):
-                            column.append(value)
-                yield batch(schema, **dict(zip(schema.names, out, strict=True)))
-
-    around = work.save(texts.mapInArrow(cut, "f long, row long, at int, left int, bytes binary, cores array<long>, done boolean"), "around")
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, at, h, done) of the whole passages that start in the asked blocks of each surroundings."""
-        roll = RollingHash(SEED + 1)
-        schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("done", pa.bool_())])
-        for whole in batches:
-            for part in range(0, whole.num_rows, 500):
-                rows = whole.slice(part, 500)
-                out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.int64, np.int32, np.int64, bool)]
-                for row, at, left, own, done, asked in zip(*(rows.column(x).to_pylist() for x in ("row", "at", "left", "bytes", "done", "asked")), strict=True):
-                    start = np.concatenate([np.arange(blocks[k][0], blocks[k][1] + 1) for k in asked]) - (before - left)
-                    start = start[(start >= 0) & (start <= len(own) - length)]
-                    h = signed(roll.of(roll.prefix(np.frombuffer(own, np.uint8)), start, start + length))
-                    for column, value in zip(out, (np.full(len(start), row), (at - left + start).astype(np.int32), h, np.full(len(start), done)), strict=True):
-                        column.append(value)
-                yield batch(schema, **{n: np.concatenate(x) for n, x in zip(schema.names, out, strict=True)})
+            for part in range(0, whole.num_rows, 50):
+                rows = whole.slice(part, 50)
+                lists = rows.column(2)
+                ends, items = np.diff(lists.offsets.to_numpy()).cumsum().tolist(), lists.flatten()
+                f, at, done = (items.field(x).to_numpy(zero_copy_only=False) for x in ("f", "at", "done"))
+                begin = 0
+                for row, text, end in zip(rows.column(0).to_pylist(), utf8(rows.column(1)), ends, strict=True):
+                    data = np.frombuffer(text, np.uint8)
+                    base = at[begin:end].astype(np.int64)[:, None] - before
+                    lowest, highest = np.maximum(low, -base), np.minimum(first + wide, len(data) - length - base)
+                    k, block = np.nonzero(lowest <= highest)
+                    place = base[k, 0] + first[block]  # of the block's first column in the text
+                    prefix = roll.prefix(data)
+                    core = roll.of(prefix, place + wide, place + length)
+                    core = mix(core + f[begin:end].view(np.uint64)[k] * MIX_1 + block.astype(np.uint64))
+                    padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(2 * length, np.uint8)])
+                    tails = padded[(place + before)[:, None] + beside]
+                    own = done[begin:end][k]
+                    begin = end
+                    yield batch(CORES, core=signed(core), row=np.full(len(k), row), place=place.astype(np.int32), low=(lowest[k, block] - first[block]).astype(np.int32), high=(highest[k, block] - first[block]).astype(np.int32), tails=binaries(tails), done=own)
+
+    cores = work.save(texts.mapInArrow(cut, "core long, row long, place int, low int, high int, tails binary, done boolean"), "cores")
+    alike = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > hot).alias("hot"))
+    cores = work.save(cores.join(alike, "core"), "alike")
+    work.drop("cores")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by anchor; groups are gathered to chunks, each in one suffix order."""
+        """Rows come ordered by core; whole groups are gathered to chunks, each in one suffix order."""
         held: list[pa.Table] = []
         size = 0
         for rows in batches:
             held.append(pa.Table.from_batches([rows]))
             size += rows.num_rows
-            if size >= CHUNK:
-                joined_rows = pa.concat_tables(held).combine_chunks()
-                f = joined_rows.column("f").to_numpy()
-                last = int(np.flatnonzero(f != f[-1])[-1]) + 1 if (f != f[-1]).any() else 0
+            if size >= HOT:
+                rows = pa.concat_tables(held).combine_chunks()
+                core = rows.column("core").to_numpy()
+                last = int(np.flatnonzero(core != core[-1])[-1]) + 1 if core[0] != core[-1] else 0
                 if last:
-                    yield from found(joined_rows.slice(0, last))
-                held, size = [joined_rows.slice(last)], len(f) - last
+                    yield ordered(rows.slice(0, last))
+                held, size = [rows.slice(last)], len(core) - last
         if size:
-            yield from found(pa.concat_tables(held).combine_chunks())
-
-    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Chunks of whole anchors' groups, so that memory stays bounded by CHUNK + HOT surroundings."""
-        f = rows.column("f").to_numpy()
-        bounds = np.append(np.flatnonzero(np.diff(f)) + 1, len(f))
-        start = 0
-        for k, end in enumerate(bounds.tolist()):
-            if end - start >= CHUNK or k == len(bounds) - 1:
-                yield from ordered(rows.slice(start, end - start))
-                start = end
-
-    def ordered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        row, at, left, done = (rows.column(x).to_numpy() for x in ("row", "at", "left", "done"))
-        data = np.zeros((len(row), before + length), np.uint8)
-        valid = np.zeros((len(row), before + 1), bool)
-        for k, (own, gap) in enumerate(zip(rows.column("bytes").to_pylist(), (before - left).tolist(), strict=True)):
-            data[k, gap : gap + len(own)] = np.frombuffer(own, np.uint8)
-            valid[k, gap : gap + len(own) - length + 1] = True
-        valid = distinct(valid, row, at)
-        step = before + 1 if len(row) <= 2 * CHUNK else COLUMNS
-        hit = np.zeros_like(valid)
-        for j in range(0, before + 1, step):
-            stop = min(j + step, before + 1)
-            earlier, later = previous_and_next(prefix_ranks(data[:, j : stop - 1 + length], length, stop - j), valid[:, j:stop])
-            hit[:, j:stop] = (earlier | later) & ~done[:, None]
-        out: list[list] = [[], [], []]
-        for k in np.flatnonzero(hit.any(axis=1)).tolist():
-            for a, b in joined(np.flatnonzero(hit[k]), length):
-                for column, value in zip(out, (int(row[k]), int(at[k]) - before + a, int(at[k]) - before + b), strict=True):
-                    column.append(value)
-        yield batch(REGIONS, row=out[0], first=out[1], last=out[2])
-
-    def distinct(valid: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the same position in several surroundings, only the first counts: it must not match itself."""
-        k, j = np.nonzero(valid)
-        place = np.unique(row, return_inverse=True)[1][k] << 32 | at[k].astype(np.int64) - before + j
-        first = np.unique(place, return_index=True)[1]
-        out = np.zeros_like(valid)
-        out[k[first], j[first]] = True
-        return out
-
-    cold = around.where("cores is null")
-    parts = cold.select("f", "row", "at", "left", "bytes", "done").repartition("f").sortWithinPartitions("f")
-    ends = parts.mapInArrow(compare, "row long, first int, last int")
-    many = around.where("cores is not null")
-    core = many.select("f", "row", "at", F.posexplode("cores").alias("block", "core")).where("core is not null")
-    alike = core.groupBy("f", "block", "core").agg(F.count("*").alias("n")).where("n > 1").select("f", "block", "core")
-    blocked = core.join(alike, ["f", "block", "core"]).groupBy("row", "at").agg(F.collect_list("block").alias("asked"))  # at most the blocks
-    asked = many.join(blocked, ["row", "at"]).select("row", "at", "left", "bytes", "done", "asked")
-    place = work.save(asked.mapInArrow(passages, "row long, at int, h long, done boolean"), "place")
-    twice = place.groupBy("h").agg(F.min(F.struct("row", "at")).alias("a"), F.max(F.struct("row", "at")).alias("b")).where("a <> b").select("h")
-    hot_ends = place.where("not done").join(twice, "h").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
+            yield ordered(pa.concat_tables(held).combine_chunks())
+
+    def ordered(rows: pa.Table) -> pa.RecordBatch:
+        """Runs of positions whose passage has a previous or a next one in the suffix order of the bytes beside equal cores.
+
+        A passage that starts in column j is its core and ``wide`` bytes from place j of the tails.
+        """
+        core, row, place, low, high, done = (rows.column(x).to_numpy() for x in ("core", "row", "place", "low", "high", "done"))
+        tails = np.frombuffer(b"".join(rows.column("tails").to_pylist()), np.uint8).reshape(len(core), 2 * wide)
+        column = np.arange(span)
+        valid = (column >= low[:, None]) & (column <= high[:, None])
+        group = np.cumsum(np.concatenate(([0], core[1:] != core[:-1]))).astype(np.uint64)[:, None] * np.uint64(span) + column.astype(np.uint64)
+        ranks = prefix_ranks(tails, wide, span) if wide >= 8 else np.zeros((len(core), span), np.int64)
+        earlier, later = previous_and_next(dense(group << np.uint64(32) | ranks.astype(np.uint64)), valid)
+        hit = (earlier | later) & ~done[:, None]
+        turn = np.diff(np.pad(hit.view(np.int8), ((0, 0), (1, 1))), axis=1)
+        (k, start), (_, stop) = np.nonzero(turn == 1), np.nonzero(turn == -1)
+        return batch(REGIONS, row=row[k], first=(place[k] + start).astype(np.int32), last=(place[k] + stop - 1).astype(np.int32))
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, at, h, done) of each passage of the given blocks, hashed by core, column and bytes beside the core."""
+        roll = RollingHash(SEED + 1)
+        schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("done", pa.bool_())])
+        column = np.arange(span)
+        for whole in batches:
+            for part in range(0, whole.num_rows, 2000):
+                rows = whole.slice(part, 2000)
+                core, row, place, low, high, done = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("core", "row", "place", "low", "high", "done"))
+                prefix = roll.prefix(np.frombuffer(b"".join(rows.column("tails").to_pylist()), np.uint8))
+                k, j = np.nonzero((column >= low[:, None]) & (column <= high[:, None]))
+                start = k * 2 * wide + j
+                h = mix(roll.of(prefix, start, start + wide) + core.view(np.uint64)[k] * MIX_1 + j.astype(np.uint64))
+                yield batch(schema, row=row[k], at=(place[k] + j).astype(np.int32), h=signed(h), done=done[k])
+
+    cold = cores.where("not hot").select("core", "row", "place", "low", "high", "tails", "done")
+    ends = cold.repartition("core").sortWithinPartitions("core").mapInArrow(compare, "row long, first int, last int")
+    at = work.save(cores.where("hot").drop("hot").mapInArrow(passages, "row long, at int, h long, done boolean"), "passages")
+    twice = at.groupBy("h").agg(F.min(F.struct("row", "at")).alias("a"), F.max(F.struct("row", "at")).alias("b")).where("a <> b").select("h")
+    hot_ends = at.where("not done").join(twice, "h").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
     regions = whole.unionByName(ends).unionByName(hot_ends)
     return regions.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("regions"))
 
