@@ -220,7 +220,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
                 for doc, at, f, around in winnow.anchors(utf8(rows.column(1))):
                     yield batch(ANCHORS, f=signed(f), around=signed(around), row=ids[doc], at=at)
 
-    anchors = docs.select("row", "text").mapInArrow(anchor, "f long, around long, row long, at int")
+    anchors = work.save(docs.select("row", "text").mapInArrow(anchor, "f long, around long, row long, at int"), "anchors")
     # Anchors that occur more than once, by surroundings: their number, and the first occurrence.
     groups = anchors.groupBy("f", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
     shared = groups.groupBy("f").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
@@ -228,6 +228,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     # Equal surroundings repeat as a whole: every passage that they hold.
     alike = kept.where("n > 1").select("f", "around")
     whole = work.save(anchors.join(alike, ["f", "around"]).select("row", (F.greatest(F.col("at") - before, F.lit(0))).alias("first"), F.col("at").alias("last")), "whole")
+    work.drop("anchors")
     # Where an anchor has several surroundings, one of each is compared: equal passages start in the same column, so
     # they lie in one block of columns and share its core, the bytes that all passages starting in it have in common.
     unlike = kept.where("kinds > 1").select("f", F.col("one.row").alias("row"), F.col("one.at").alias("at"), (F.col("n") > 1).alias("done"))
