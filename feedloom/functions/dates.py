@@ -44,3 +44,17 @@ def age_bucket(days: Column) -> Column:
 
 def pacific_day(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, "America/Los_Angeles"))
+
+
+#: Where pages state their date, in order of trust.
+PAGE_DATES = {
+    "og": r'(?i)<meta[^>]+property="article:published_time"[^>]+content="([0-9-]{10})',
+    "json-ld": r'"datePublished"\s*:\s*"([0-9-]{10})',
+    "time": r'(?i)<time[^>]+datetime="([0-9-]{10})',
+}
+
+
+def in_page(html: Column) -> Column:
+    """(date, source) of the first place that states a valid date; null where none does."""
+    found = lambda p: F.try_to_date(F.nullif(F.regexp_extract(html, p, 1), F.lit("")), "yyyy-MM-dd")
+    return F.coalesce(*[F.when(F.year(found(p)) > 1990, F.struct(found(p).alias("date"), F.lit(name).alias("source"))) for name, p in PAGE_DATES.items()])

@@ -101,3 +101,69 @@ def normal_title(title: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+#: Words that say nothing about a title's subject, and words of a link's structure.
+STOP_WORDS = "a an and the of for to in on at by with from is are be your you how what why it its this that or as vs new part free".split()
+LINK_WORDS = (
+    "article articles index default page pages post posts item items view show story stories content detail details print amp html htm aspx php asp"
+    " cfm jsp shtml cgi www web site blog"
+).split()
+
+
+def title_words(title: Column) -> Column:
+    """Distinct words of three or more letters or digits that say something, in order."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_except(F.filter(words, lambda w: F.length(w) > 2), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def link_words(url: Column) -> Column:
+    """The same of a link's path and its query's values, without words of structure."""
+    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    values = F.array_join(F.regexp_extract_all(query, F.lit("=([^&]*)"), F.lit(1)), " ")
+    text = F.concat_ws(" ", F.try_parse_url(url, F.lit("PATH")), F.coalesce(F.try_url_decode(values), values))
+    return F.array_except(title_words(text), F.array(*map(F.lit, LINK_WORDS)))
+
+
+def looks_like_tag(text: Column) -> Column:
+    """Two to thirty characters that don't read as a phrase."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    phrase = bare.rlike("[»«…→]") | F.lower(bare).rlike("^(more posts|view all|all posts|see all|browse )")
+    return F.length(bare).between(2, 30) & ~phrase
+
+
+def episode_number(title: Column) -> Column:
+    """The first number of up to four digits, without leading zeros."""
+    digits = F.regexp_extract(F.coalesce(title, F.lit("")), r"(?i)\b(?:ep(?:isode)?\.?\s*)?(\d{1,4})\b", 1)
+    return F.when(digits != "", digits.cast("int").cast("string"))
+
+
+def plain_title(title: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def keyed_meta(content: Column, keys: tuple[str, ...] = ("category", "articletype", "channel", "freeform", "unindexedfreeform")) -> Column:
+    """Distinct values of the wanted keys in ``key:value;`` pairs, in order; entities are already decoded."""
+    pairs = F.filter(F.split(F.coalesce(content, F.lit("")), ";"), lambda p: F.lower(F.trim(F.regexp_extract(p, "^([^:]*):", 1))).isin(*keys))
+    return F.array_distinct(F.filter(F.transform(pairs, lambda p: F.trim(F.regexp_replace(p, "^[^:]*:", ""))), lambda v: v != ""))
+
+
+def site_name(subtitle: Column) -> Column:
+    """The name before a dash, colon or bar that sets off a tagline."""
+    return F.trim(F.regexp_extract(subtitle, r"^(.+?)\s+[-–—|:]\s+", 1))
+
+
+def ranked_sources(srcset: Column) -> Column:
+    """Candidates of a srcset, largest first: widths as they are, densities times 1000, none as one; equals keep their order."""
+    parts = F.filter(F.transform(F.split(F.coalesce(srcset, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    size = lambda p: F.coalesce(F.regexp_extract(p, r"\s([\d.]+)w$", 1).try_cast("double"), F.regexp_extract(p, r"\s([\d.]+)x$", 1).try_cast("double") * 1000, F.lit(1000.0))
+    rated = F.transform(parts, lambda p, k: F.struct((-size(p)).alias("size"), k.alias("place"), F.regexp_extract(p, r"^(\S+)", 1).alias("url")))
+    return F.transform(F.array_sort(rated), lambda x: x["url"])
+
+
+def link_index(html: Column, least: int = 20, ratio: float = 0.4) -> Column:
+    """Whether most of a page's text lies in its many anchors."""
+    bare = lambda h: F.length(F.regexp_replace(h, "<[^>]+>", ""))
+    anchors = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1))
+    linked = F.aggregate(anchors, F.lit(0), lambda n, a: n + bare(a))
+    return (F.size(anchors) >= least) & (bare(F.coalesce(html, F.lit(""))) >= 200) & (linked >= bare(F.coalesce(html, F.lit(""))) * ratio)

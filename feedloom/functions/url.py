@@ -89,3 +89,65 @@ def swap_host(url: Column, old: str, new: str) -> Column:
 def youtube_ids(text: Column) -> Column:
     """All video ids in order, distinct."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:youtu\.be/|youtube(?:-nocookie)?\.com/(?:watch\?(?:[^\s\"']*&)?v=|embed/|shorts/|live/))([A-Za-z0-9_-]{11})"), F.lit(1)))
+
+
+def one_redirector_free(urls: Column) -> Column:
+    """The first of the links that goes through no redirector, else the first that isn't empty."""
+    some = F.filter(urls, lambda u: u != "")
+    return F.coalesce(F.try_element_at(F.filter(some, lambda u: ~is_redirector(u)), F.lit(1)), F.try_element_at(some, F.lit(1)))
+
+
+def dedupe_key(link: Column, title: Column) -> Column:
+    return F.concat_ws("|", link_key(link), title)
+
+
+def same_link(a: Column, b: Column) -> Column:
+    return F.coalesce(link_key(a) == link_key(b), F.lit(False))
+
+
+def with_width(url: Column, width: int) -> Column:
+    """An image link that asks for a width asks for this one; others stay."""
+    return F.regexp_replace(url, r"([?&])(w|width)=\d+", f"$1$2={width}")
+
+
+def safe_link(url: Column) -> Column:
+    """http, https, mailto, relative or empty after control characters and white space are gone."""
+    bare = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20]", ""))
+    return bare.rlike(r"^(https?:|mailto:|[/#?]|[^:/?#]*([/?#]|$))")
+
+
+def taxonomy_slug(href: Column) -> Column:
+    """The slug of a tag or category link, from its path or a query parameter; null otherwise."""
+    path = F.regexp_extract(href, r"(?i)/(?:tags?|categor(?:y|ies))/([^/?#]+)", 1)
+    param = F.regexp_extract(href, r"(?i)[?&][a-z_]*(?:tags?|category|categories|topics?)=([^&#]+)", 1)
+    found = F.coalesce(F.nullif(path, F.lit("")), F.nullif(param, F.lit("")))
+    return F.try_url_decode(found)
+
+
+def subreddit(url: Column) -> Column:
+    """Of a link on the site itself; a host that merely contains its name has none."""
+    name = F.nullif(F.regexp_extract(url, "/r/([A-Za-z0-9_]+)", 1), F.lit(""))
+    return F.when(on_site(F.lower(part(url, "HOST")), "reddit.com"), name)
+
+
+def redditor(url: Column) -> Column:
+    name = F.nullif(F.regexp_extract(url, "/user/([A-Za-z0-9_-]+)/submitted", 1), F.lit(""))
+    return F.when(on_site(F.lower(part(url, "HOST")), "reddit.com"), name)
+
+
+#: Ad networks, ad folders, ad slots in file names, and standard ad sizes.
+AD_NETWORKS = r"(?:^|\.)(?:doubleclick\.net|googlesyndication\.com|googleadservices\.com|adnxs\.com|taboola\.com|outbrain\.com|criteo\.(?:com|net)|zedo\.com|openx\.net|pubmatic\.com|rubiconproject\.com)$"
+AD_HOSTS = r"^(?:ads?|adserver|adservice|banners?|promo)\d*\."
+AD_PATHS = r"/(?:www/)?delivery/[a-z]+\.php|/(?:adserver|adframe|ad_?frame|banner(?:s|ad)?)/"
+AD_NAMES = r"superbanner|leaderboard|skyscraper|halfpage|billboard|\bmpu\b|sponsored|advertisement|house[-_]?ad|ad[-_]?banner"
+AD_SIZES = ("728x90 970x250 970x90 300x250 336x280 300x600 160x600 120x600 320x50 320x100 468x60 234x60 250x250 200x200 180x150 125x125").split()
+
+
+def is_ad(url: Column) -> Column:
+    host, path = F.lower(part(url, "HOST")), F.lower(F.coalesce(part(url, "PATH"), F.lit("")))
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return F.coalesce(host.rlike(AD_HOSTS) | host.rlike(AD_NETWORKS), F.lit(False)) | path.rlike(AD_PATHS) | name.rlike(AD_NAMES)
+
+
+def is_ad_size(width: Column, height: Column) -> Column:
+    return F.coalesce(F.concat(width.cast("string"), F.lit("x"), height.cast("string")).isin(*AD_SIZES), F.lit(False))

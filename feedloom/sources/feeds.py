@@ -40,13 +40,15 @@ def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.toDF(*[c.lstrip("﻿").strip().lower() for c in raw.columns])
     cell = lambda name: F.col(name) if name in raw.columns else F.lit(None).cast("string")
     tags = F.coalesce(F.from_json(cell("tags"), "array<string>"), F.transform(F.split(cell("tags"), ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
-    return raw.select(cell("url").alias("url"), cell("title").alias("title"), (F.lower(F.coalesce(cell("folder"), F.lit(""))) == "archive").alias("archived"), F.timestamp_seconds(cell("timestamp").try_cast("long")).alias("saved_at"), F.filter(tags, lambda x: x != "").alias("tags"))
+    return raw.select(cell("url").alias("url"), cell("title").alias("title"), (F.lower(F.coalesce(cell("folder"), F.lit(""))) == "archive").alias("archived"), F.timestamp_seconds(cell("timestamp").try_cast("long")).alias("saved_at"), F.filter(tags, lambda x: x != "").alias("tags"), F.monotonically_increasing_id().alias("ord"))
 
 
 def merged_bookmarks(rows: DataFrame) -> DataFrame:
-    """One row for each article URL: archived if any is, first title, earliest time, all tags."""
+    """One row for each article URL: archived if any is, first title, earliest time, all tags by first use; rows go by ``ord``."""
     keyed = rows.withColumn("url", article_url(F.col("url"))).where("url is not null")
-    return keyed.groupBy("url").agg(F.bool_or("archived").alias("archived"), F.min(F.when(F.col("title") != "", F.col("title"))).alias("title"), F.min("saved_at").alias("saved_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    title = F.min_by("title", F.when(F.col("title") != "", F.col("ord")))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("ord", "tags"))), lambda x: x["tags"])
+    return keyed.groupBy("url").agg(F.bool_or("archived").alias("archived"), title.alias("title"), F.min("saved_at").alias("saved_at"), F.array_distinct(F.flatten(lists)).alias("tags"))
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
@@ -72,3 +74,18 @@ def merge_takeout(existing: DataFrame, path: str, key: list[str]) -> DataFrame:
     """Existing rows and those of a takeout table whose key is new; nothing that exists changes."""
     new = existing.sparkSession.read.schema(existing.schema).json(path)
     return existing.unionByName(new.join(existing.select(*key), key, "left_anti").dropDuplicates(key))
+
+
+def canonical_link(html: Column) -> Column:
+    """Of a captured page: its canonical link, else its og:url."""
+    first = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
+    return F.coalesce(first(r'(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"'), first(r'(?i)<meta[^>]+property="og:url"[^>]+content="([^"]+)"'))
+
+
+def embedded_images(post: Column) -> Column:
+    """Distinct image links of a post's embed in order, also of media beside a quoted record; the full size before the thumb."""
+    images = "images array<struct<fullsize:string,thumb:string>>"
+    parsed = F.from_json(post, f"embed struct<{images.replace(' ', ':', 1)},media:struct<{images.replace(' ', ':', 1)}>>")
+    none = F.array().cast("array<struct<fullsize:string,thumb:string>>")
+    both = F.concat(F.coalesce(parsed["embed"]["images"], none), F.coalesce(parsed["embed"]["media"]["images"], none))
+    return F.array_distinct(F.filter(F.transform(both, lambda x: F.coalesce(F.nullif(x["fullsize"], F.lit("")), x["thumb"])), lambda u: u.isNotNull()))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import dates, html, text, url
 from feedloom.operators import entries as E
+from feedloom.operators import rules, state
 from feedloom.sources import feeds
 from feedloom.streaming import health
 
@@ -88,3 +89,37 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     want = {tuple(r) for r in health.current(events, "user_id", F.col("event_type") == "error").collect()}
     assert {tuple(r) for r in spark.sql("select user_id, streak, backing_off from health").collect()} == want
+
+
+def test_rules():
+    assert rules.toggled("", "deals", "-") == "-deals"
+    assert rules.toggled("-deals", "deals", "-") == ""
+    assert rules.toggled("-linux", "linux", "+") == "+linux"
+    assert rules.toggled("+linux", "deals", "-") == "+linux, -deals"
+    assert [rules.clamp_percent(x) for x in (None, "x", 0.1, 2, "0.9", float("nan"))] == [0.8, 0.8, 0.5, 1.0, 0.9, 0.8]
+
+
+def test_fuzzy_pairs_are_complete(spark):
+    words = ["alpha beta gamma delta epsilon", "alpha beta gamma delta zeta", "alpha beta gamma delta epsilon", "a b c", None, "", "alpha beta gamma delta epsilon zeta"]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, title string")
+    got = {tuple(r) for r in rules.fuzzy_pairs(df, "id", F.split("title", " "), 66, 5).collect()}
+    assert got == {(0, 1, 4, 6), (0, 6, 5, 6), (1, 6, 5, 6)}
+
+
+def test_rekeyed_and_enqueued(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 2, "z")], "tag string, entry int, v string")
+    changes = spark.createDataFrame([("b", "a")], "old string, new string")
+    got = {tuple(r) for r in state.rekeyed(df, "tag", changes, ["tag", "entry"], [F.asc("v")]).select("tag", "entry", "v").collect()}
+    assert got == {("a", 1, "x"), ("a", 2, "z")}
+    queue = spark.createDataFrame([(1, "failed"), (2, "complete")], "id int, status string")
+    got = {tuple(r) for r in state.enqueued(queue, spark.createDataFrame([(1,), (3,), (3,)], "id int"), ["id"]).collect()}
+    assert got == {(1, "pending"), (2, "complete"), (3, "pending")}
+
+
+def test_links_and_titles(spark):
+    row = spark.range(1).select(
+        url.subreddit(F.lit("https://reddit.com.evil.com/r/x")).alias("evil"), url.safe_link(F.lit(" java\nscript:x")).alias("script"), url.safe_link(F.lit("a/b:c")).alias("relative"),
+        url.is_ad(F.lit("https://example.com/banner.jpg")).alias("hero"), url.is_ad(F.lit("https://x.doubleclick.net/1")).alias("ad"), text.episode_number(F.lit("No digits")).alias("none"),
+        text.looks_like_tag(F.lit("View all posts")).alias("phrase"), rules.failure_category(F.lit("HTTP 403 Forbidden")).alias("why"), rules.failure_category(F.lit(None).cast("string")).alias("other"),
+    ).first()
+    assert tuple(row) == (None, False, True, False, True, None, False, "blocked", "other")
