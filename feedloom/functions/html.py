@@ -170,3 +170,60 @@ def lead_image(html: pd.Series, base: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: " ".join(" ".join(collected(h, "").text).split()))
+
+
+class Outline(HTMLParser):
+    """Anchors with the selector of the block they stand in, and the feeds a page announces."""
+
+    def __init__(self, base: str):
+        super().__init__(convert_charrefs=True)
+        self.base, self.stack, self.anchors, self.feeds = base, [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        if tag == "link" and "alternate" in (own.get("rel") or "").lower().split() and re.search(r"(?:rss|atom|feed\+json)", own.get("type") or "", re.I) and own.get("href"):
+            self.feeds.append((urljoin(self.base, own["href"]), own.get("title") or ""))
+        if tag == "a" and own.get("href") and not own["href"].startswith("#"):
+            near = next((x for x in reversed(self.stack) if "." in x), self.stack[-1] if self.stack else "body")
+            self.anchors.append((f"{near} a", urljoin(self.base, own["href"])))
+        if tag not in ("meta", "link", "input", *VOID):
+            names = (own.get("class") or "").split()
+            self.stack.append(f"{tag}.{names[0]}" if names else tag)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].split(".")[0] == tag:
+                del self.stack[k:]
+                break
+
+
+def outlined(h: str | None, b: str | None) -> Outline:
+    o = Outline(b or "")
+    o.feed(h or "")
+    o.close()
+    return o
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("selector", T.StringType()), T.StructField("url", T.StringType())])))
+def anchors(html: pd.Series, base: pd.Series) -> pd.Series:
+    """Every anchor with the selector that would find it."""
+    return pd.Series([[{"selector": s, "url": u} for s, u in outlined(h, b).anchors] for h, b in zip(html, base, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("title", T.StringType())])))
+def announced_feeds(html: pd.Series, base: pd.Series) -> pd.Series:
+    """Feeds that a page's head announces, in order."""
+    return pd.Series([[{"url": u, "title": t} for u, t in outlined(h, b).feeds] for h, b in zip(html, base, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def gallery(html: pd.Series, base: pd.Series) -> pd.Series:
+    """A page's pictures in order, each file name once, without chrome and tiny ones."""
+    out = []
+    for h, b in zip(html, base, strict=True):
+        seen: dict[str, str] = {}
+        for k, (u, w, hh, alt) in enumerate(collected(h, b).images):
+            if image_score(u, w, hh, alt, k) >= 0:
+                seen.setdefault(re.sub(r"-\d+x\d+(?=\.\w+$)", "", re.split("[?#]", u)[0].rsplit("/", 1)[-1]), u)
+        out.append(list(seen.values()))
+    return pd.Series(out, dtype=object)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from feedloom.functions import html
+from feedloom.operators import entries as E
 from feedloom.plans.registry import query, t
 from feedloom.sources import feeds
 from feedloom.streaming import health
@@ -65,3 +66,40 @@ def b20(s, d):
     SELECT user_id, CAST(max_by(streak, (ts, event_id)) AS BIGINT) AS streak, max_by(streak, (ts, event_id)) >= 3 AS backing_off FROM s GROUP BY user_id""")
 def m2(s, d):
     return health.current(t(s, d, "events"), "user_id", F.col("event_type") == "error")
+
+
+@query("b12_selector_ranking")
+def b12(s, d):
+    a = t(s, d, "pages").select("page_id", F.explode(html.anchors(F.col("html"), F.col("url"))).alias("a"))
+    n = a.groupBy("page_id", F.col("a.selector").alias("selector")).agg(F.countDistinct("a.url").alias("links")).where("links >= 2")
+    generic = ~F.col("selector").contains(".")
+    return E.top_per_group(n, ["page_id"], [generic.asc(), F.desc("links"), F.asc("selector")], 6).select("page_id", "selector", "links", F.col("rank").cast("long").alias("rank"))
+
+
+@query("b19_announced_feeds")
+def b19(s, d):
+    return t(s, d, "pages").select("page_id", F.size(html.announced_feeds(F.col("html"), F.col("url"))).alias("feeds"))
+
+
+@query("b10_unseen_links")
+def b10(s, d):
+    links = t(s, d, "pages").select(F.explode(html.links(F.col("html"), F.col("url"))).alias("l")).select("l.url").distinct()
+    return links.join(t(s, d, "pages").select("url"), "url", "left_anti")
+
+
+@query("l7_galleries")
+def l7(s, d):
+    return t(s, d, "pages").select("page_id", F.array_join(html.gallery(F.col("html"), F.col("url")), " ").alias("images"))
+
+
+@query("m9_late_redelivery", """SELECT doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'good' END, lang) AS lang FROM documents LEFT JOIN labels l USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+def m9(s, d):
+    """Re-ingested entries: the deleted stay away, overrides apply again."""
+    labels = t(s, d, "labels")
+    docs = E.in_scope(t(s, d, "documents"), labels.where("toxic = 1"), ["doc_id"], inside=False)
+    return docs.join(labels.select("doc_id", F.when(F.col("quality") == 1, "good").alias("o")), "doc_id", "left").select("doc_id", F.coalesce("o", "lang").alias("lang"))
+
+
+@query("m10_recent_memory", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 300 AND ts >= TIMESTAMP '2024-01-29 12:00:00'")
+def m10(s, d):
+    return E.newest_and_young(t(s, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 300, F.expr("ts >= timestamp_ntz '2024-01-29 12:00:00'")).select("user_id", "event_id")

@@ -7,7 +7,7 @@ from feedloom.functions import dates, html, text, url
 from feedloom.operators import entries as E
 from feedloom.operators import rules, state
 from feedloom.sources import feeds
-from feedloom.streaming import health
+from feedloom.streaming import health, sinks
 
 
 def one(spark, column):
@@ -123,3 +123,21 @@ def test_links_and_titles(spark):
         text.looks_like_tag(F.lit("View all posts")).alias("phrase"), rules.failure_category(F.lit("HTTP 403 Forbidden")).alias("why"), rules.failure_category(F.lit(None).cast("string")).alias("other"),
     ).first()
     assert tuple(row) == (None, False, True, False, True, None, False, "blocked", "other")
+
+
+def test_stream_replaces_by_key(spark, tmp_path):
+    for k, rows in enumerate([[("e", "a", 1), ("e", "b", 1), ("f", "a", 1)], [("e", "c", 2), ("e", "c", 3)]]):
+        spark.createDataFrame(rows, "entry string, tag string, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("entry string, tag string, n long").parquet(str(tmp_path / "in"))
+        sink = sinks.replacing(str(tmp_path / "out"), ["entry"], ["entry", "tag"], [F.desc("n")])
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).collect()}
+    assert got == {("e", "c", 3), ("f", "a", 1)}
+
+
+def test_page_outline():
+    page = '<head><link rel="alternate" type="application/rss+xml" href="/feed" title="F"></head><ul class="list x"><li><a href="/1">1</a><li><a href="/2">2</a></ul><p><a href="#top">t</a>'
+    o = html.outlined(page, "http://a.b/")
+    assert o.feeds == [("http://a.b/feed", "F")]
+    assert o.anchors == [("ul.list a", "http://a.b/1"), ("ul.list a", "http://a.b/2")]
