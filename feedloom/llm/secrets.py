@@ -96,8 +96,12 @@ def trained(spark) -> list:
     return forest(np.array([[r[n] for n in FEATURES] for r in got]), np.array([r.secret for r in got]))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, before, run, after): each word with a long mixed run, its number from 0 and its neighbours."""
+def runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, place, before, run, after): every long run of each mixed word, with its number in the word from 0.
+
+    The word's own number is also from 0. Neighbours are the words beside it, and between runs of one word the
+    other run with what separates them.
+    """
     words = F.split(F.col("text"), r"[\x20\x09-\x0D\"'`,;#*$%&<>(){}|]+")
     mixed = lambda w: w.rlike(RUN) & w.rlike("[0-9].*[A-Za-z_]|[A-Za-z_].*[0-9]|[0-9]{16}")
     near = docs.where(F.col("text").rlike(RUN)).select("doc_id", words.alias("w"))
@@ -105,17 +109,28 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = near.withColumn("hits", hits).where(F.size("hits") > 0).select("doc_id", "w", F.explode("hits").alias("word"))
     at = lambda d: F.coalesce(F.try_element_at("w", F.when(F.col("word") + d + 1 > 0, F.col("word") + d + 1)), F.lit(""))
     mark = F.when(at(-1).rlike("^[=:]+$"), F.concat(at(-2), at(-1))).otherwise(at(-1))
-    return found.select("doc_id", "word", mark.alias("before"), F.regexp_extract(at(0), RUN, 0).alias("run"), at(1).alias("after"))
+    known = found.select("doc_id", "word", mark.alias("before"), at(1).alias("after"), F.regexp_extract_all(at(0), F.lit(RUN), F.lit(0)).alias("runs"), F.split(at(0), RUN, -1).alias("gaps"))
+    beside = lambda a, i, b, j: F.concat(F.get(a, i), F.get(b, j))
+    every = F.transform("runs", lambda run, i: F.struct(
+        F.when(i > 0, beside("runs", i - 1, "gaps", i)).otherwise(F.col("before")).alias("before"), run.alias("run"),
+        F.coalesce(beside("gaps", i + 1, "runs", i + 1), F.col("after")).alias("after"),
+    ))
+    return known.select("doc_id", "word", F.posexplode(every).alias("place", "own")).select("doc_id", "word", "place", "own.before", "own.run", "own.after")
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, before, run, after): only the first run of each word; ``scan`` reads all ``runs``."""
+    return runs(docs).where("place = 0").drop("place")
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, word, before, secret, after, score, is_secret): every candidate of every whole text.
+    """(doc_id, word, place, before, secret, after, score, is_secret): every candidate of every whole text.
 
     A null or empty text has no candidates; repeated rows are each answered. ``score`` is the forest's share.
     """
-    found = candidates(docs)
+    found = runs(docs)
     numbers = found.select("*", *[c.alias(n) for n, c in zip(FEATURES, features_of(F.col("before"), F.col("run"), F.col("after")), strict=True)])
     trees = trained(docs.sparkSession)
     votes = reduce(lambda a, b: a + b, [compiled(t, [F.col(n) for n in FEATURES]) for t in trees])
     scored = numbers.withColumn("score", F.round(votes / len(trees), 6))
-    return scored.select("doc_id", "word", "before", F.col("run").alias("secret"), "after", "score", (F.col("score") >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "word", "place", "before", F.col("run").alias("secret"), "after", "score", (F.col("score") >= threshold).alias("is_secret"))
