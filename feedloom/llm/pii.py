@@ -1,8 +1,8 @@
 """Personal data: four base patterns, and spans from a linear-chain conditional random field.
 
 The field has word-shape features and is trained from a small labelled table; numpy decodes batches of
-sequences by Viterbi. It adds what the patterns don't match, such as spelled-out addresses and local phone
-numbers; base spans always stay.
+sequences by Viterbi. It adds what the patterns don't match, such as spelled-out addresses, local phone
+numbers and card numbers with an expiry date behind them; base spans always stay.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+#: What may stand between the groups of digits of a span that the field decodes, and how far beside it groups count.
+GROUP = re.compile(r"(?<![0-9])[0-9]+")
+CARD_GAP = re.compile(r"[\s./-]{1,3}")
+IP_GAP = re.compile(r"[\s\[(]{0,2}(?:\.|dot)[\s\])]{0,2}")
+REACH = 40
 
 Span = tuple[int, int, int]  #: start, kind, end
 
@@ -304,9 +309,40 @@ def plausible(kind: int, text: str) -> bool:
     digits = len(NOT_DIGIT.sub("", text))
     if kind == 0:
         return digits < len(text) // 2 and bool(re.search(r"(?i)@|\bat\b", text)) and bool(re.search(r"(?i)\.|\bdot\b", text))
-    if kind == 3:
-        return 9 <= digits <= 15 and len(text) <= 24
-    return False  # addresses and card numbers have tests of their own, which base spans have passed
+    return 9 <= digits <= 15 and len(text) <= 24
+
+
+def number_spans(kind: int, text: str, start: int, end: int) -> list[Span]:
+    """Addresses or card numbers that pass their base test, made of whole groups of digits at or beside a decoded span.
+
+    The base patterns take the longest match only. Here groups may be left out on either side, such as an expiry
+    date, or added where the field has missed them. Of overlapping ones, that which covers most of the decoded
+    span with the least beside it stays.
+    """
+    low, high = max(0, start - REACH), min(len(text), end + REACH)
+    groups = [(m.start(), m.end()) for m in GROUP.finditer(text, low, high)]
+    if groups and groups[-1][1] == high and text[high : high + 1].isdigit():
+        groups.pop()
+    joined = [bool((IP_GAP if kind == 1 else CARD_GAP).fullmatch(text, p[1], q[0])) for p, q in zip(groups, groups[1:], strict=False)]
+    ranked = []
+    for i, (s, _) in enumerate(groups):
+        digits = ""
+        for j in range(i, len(groups)):
+            if j > i and not joined[j - 1]:
+                break
+            part = text[slice(*groups[j])]
+            digits += part
+            if kind == 1 and (len(p := part.lstrip("0")) > 3 or int(p or 0) > 255 or j > i + 3) or kind == 2 and len(digits) > 19:
+                break
+            e = groups[j][1]
+            inside = min(e, end) - max(s, start)
+            if inside > 0 and (j == i + 3 if kind == 1 else len(digits) >= 12 and luhn(digits)):
+                ranked.append((-inside, e - s, s, e))
+    out: list[Span] = []
+    for _, _, s, e in sorted(ranked):
+        if all(e <= x[0] or x[2] <= s for x in out):
+            out.append((s, kind, e))
+    return sorted(out)
 
 
 def find(texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
@@ -334,8 +370,9 @@ def find(texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
     for k, text in enumerate(texts):
         base = base_spans(text)
         added: list[Span] = []
-        for s in more.get(k, ()):
-            if plausible(s[1], text[s[0] : s[2]]) and all(s[2] <= b[0] or b[2] <= s[0] for b in (*base, *added)):
+        tested = [x for s in more.get(k, ()) if s[1] in (1, 2) for x in number_spans(s[1], text, s[0], s[2])]
+        for s in (*tested, *(s for s in more.get(k, ()) if s[1] in (0, 3) and plausible(s[1], text[s[0] : s[2]]))):
+            if all(s[2] <= b[0] or b[2] <= s[0] for b in (*base, *added)):
                 added.append(s)
         yield base, added
 

@@ -251,6 +251,25 @@ def test_pii(spark, docs):
     assert list(pii.redact(["mail x@y.org now", ""])) == ["mail <EMAIL> now", ""]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "want"),
+    [
+        ("card 4111 1111 1111 1111 12/27", 2, "4111 1111 1111 1111"), ("pay with card 4111 1111 1111 1111 123 now", 2, "4111 1111 1111 1111"), ("pay by card 4111.1111.1111.1111 exp", 2, "4111.1111.1111.1111"),
+        ("card 5500-0000-0000-0004 123", 2, "5500-0000-0000-0004"), ("card number 12 4111 1111 1111 1111 ok", 2, "4111 1111 1111 1111"), ("host 300.10.0.0.1 is down", 1, "10.0.0.1"), ("the old host 10 . 0 . 0 . 12 is down", 1, "10 . 0 . 0 . 12"),
+    ],
+)
+def test_decoded_cards_and_addresses_are_added(text, kind, want):
+    ((base, added),) = pii.find([text])
+    assert not base and [(k, text[s:e]) for s, k, e in added] == [(kind, want)]
+    assert list(pii.redact([text])) == [text.replace(want, f"<{pii.KINDS[kind].upper()}>")]
+
+
+def test_decoded_numbers_that_fail_their_test_stay_out():
+    assert pii.number_spans(2, "card 4111 1111 1111 1112 12/27", 5, 24) == [] == pii.number_spans(1, "host 300.10.0.1 is", 5, 15)
+    two = "4111 1111 1111 1111 5500 0000 0000 0004 12/27"
+    assert [two[s:e] for s, _, e in pii.number_spans(2, two, 0, 39)] == [two[:19], two[20:39]]
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
