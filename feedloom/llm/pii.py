@@ -136,6 +136,8 @@ TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 ANCHOR = re.compile(r"[0-9@]|(?:(?<= )|(?<=[\[(]))(?:at|AT)(?=[\])]? )[\])]? \S+ [\[(]?(?:dot|DOT)(?![A-Za-z])|(?<= )AT(?= )")
 AROUND = 6
 FEATURES = 4096
+#: Tokens whose emissions a worker holds at once (360 bytes each while they are summed); sequences may be longer.
+TOGETHER = 256 * 400
 
 
 def shape(token: str, gap: bool) -> list[str]:
@@ -163,16 +165,17 @@ def slots_of(name: str) -> int:
 
 def encode(tokens: list[tuple[str, bool]]) -> np.ndarray:
     """(tokens, features): the token's shape, and its neighbours' up to two places away."""
-    shapes = [shape(*t) for t in tokens]
     pad = ["^", "^"]
-    n = len(shapes)
-    out = []
+    n = len(tokens)
+    out = np.zeros((n, 9), np.int32)
+    near = [pad, pad, pad, *(shape(*t) for t in tokens[:2])]
+    near += [pad] * (5 - len(near))
     for i in range(n):
-        near = [shapes[j] if 0 <= j < n else pad for j in (i - 2, i - 1, i, i + 1, i + 2)]
+        near = [*near[1:], shape(*tokens[i + 2]) if i + 2 < n else pad]
         names = [f"{d}:{x[0]}" for d, x in zip((-2, -1, 0, 1, 2), near, strict=True)]
         names += [f"g:{near[2][1]}", f"b:{near[1][0]}>{near[2][1]}", f"a:{near[2][1]}>{near[3][1]}", f"t:{near[1][0]}>{near[2][0]}>{near[3][0]}"]
-        out.append([slots_of(x) for x in names])
-    return np.array(out, np.int32).reshape(n, 9)
+        out[i] = [slots_of(x) for x in names]
+    return out
 
 
 class Crf:
@@ -227,20 +230,28 @@ class Crf:
         return self
 
     def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi over all sequences of a batch together."""
+        """Viterbi over whole sequences, those of like length together; emissions are summed for some places at a time."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(sequences)
         order = sorted((k for k in range(len(sequences)) if len(sequences[k])), key=lambda k: len(sequences[k]))
-        for at in range(0, len(order), 256):
-            own = order[at : at + 256]
+        at = 0
+        while at < len(order):
+            stop = at + 1
+            while stop < len(order) and stop - at < 256 and (stop + 1 - at) * len(sequences[order[stop]]) <= TOGETHER:
+                stop += 1
+            own, at = order[at:stop], stop
             x, length = self.padded([sequences[k] for k in own])
-            e = self.weights[x].sum(axis=2)
-            n, t, _ = e.shape
-            best, back = e[:, 0].copy(), np.zeros((n, t, self.LABELS), int)
-            for i in range(1, t):
-                step = best[:, :, None] + self.moves[None]
-                back[:, i] = step.argmax(axis=1)
-                best = np.where((i < length)[:, None], step.max(axis=1) + e[:, i], best)
-            path = np.zeros((n, t), int)
+            n, t, _ = x.shape
+            block = max(1, TOGETHER // n)
+            back = np.zeros((n, t, self.LABELS), np.int8)
+            for first in range(0, t, block):
+                e = self.weights[x[:, first : first + block]].sum(axis=2)
+                if first == 0:
+                    best = e[:, 0].copy()
+                for i in range(max(1, first), min(t, first + block)):
+                    step = best[:, :, None] + self.moves[None]
+                    back[:, i] = step.argmax(axis=1)
+                    best = np.where((i < length)[:, None], step.max(axis=1) + e[:, i - first], best)
+            path = np.zeros((n, t), np.int8)
             state = best.argmax(axis=1)
             for i in range(t - 1, -1, -1):
                 path[:, i] = state
@@ -353,9 +364,8 @@ def find(texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
         for start, end in regions(text):
             own = tokens_of(text, start, end)
             if len(own) >= 3:
-                for at in range(0, len(own), 400):
-                    tokens.append(own[at : at + 400])
-                    places.append(k)
+                tokens.append(own)
+                places.append(k)
     paths = crf.decode([encode([(t, gap) for t, _, _, gap in own]) for own in tokens])
     more: dict[int, list[Span]] = {}
     for k, own, path in zip(places, tokens, paths, strict=True):

@@ -280,6 +280,36 @@ def test_viterbi_equals_enumeration():
     assert score(crf.decode([x])[0].tolist()) == pytest.approx(max(map(score, itertools.product(range(5), repeat=len(x)))))
 
 
+@pytest.mark.parametrize("shift", range(8))
+def test_spans_are_found_anywhere_in_long_regions(shift):
+    unit = "call me at 555-201-8890 after six, room 12 . "
+    text = "b2 " * shift + unit * 150
+    assert pii.regions(text)[0][1] >= len(text) - 2
+    ((base, added),) = pii.find([text])
+    assert not base and [(k, text[s:e]) for s, k, e in added] == [(3, "555-201-8890")] * 150
+
+
+def test_viterbi_in_blocks_equals_viterbi_of_each_alone(monkeypatch):
+    crf, rng = pii.trained(), np.random.default_rng(5)
+    rows = [rng.integers(0, pii.FEATURES, (n, 9)).astype(np.int32) for n in (900, 3, 41, 1, 0, 900, 250, 57)]
+
+    def plain(x):
+        e, back = crf.weights[x].sum(axis=1), []
+        best = e[0]
+        for own in e[1:]:
+            step = best[:, None] + crf.moves
+            back.append(step.argmax(axis=0))
+            best = step.max(axis=0) + own
+        path = [int(best.argmax())]
+        for own in reversed(back):
+            path.append(int(own[path[-1]]))
+        return path[::-1]
+
+    for together in (pii.TOGETHER, 64, 1):
+        monkeypatch.setattr(pii, "TOGETHER", together)
+        assert [p.tolist() for p in crf.decode(rows)] == [plain(x) if len(x) else [] for x in rows]
+
+
 def test_mixing(spark, docs):
     got = mixing.mix_sources(docs, shards=8).collect()
     again = mixing.mix_sources(docs.repartition(7), shards=8).collect()
