@@ -28,10 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs, SIMILARITY).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.select(COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.unionByName(docs.select(COLUMNS).where("doc_id is null")).select(COLUMNS)
+    """Of each group of near-duplicate rows the one with the smallest doc_id; null ids come last, and rows decide, not ids."""
+    rows = Workspace(spark, "near-dedup").save(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, SIMILARITY, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*COLUMNS).alias("content"), "row")
+    kept = rows.select("row", order.alias("order")).join(groups, "row").groupBy("component_id").agg(F.min("order").alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -432,5 +432,15 @@ def test_pipeline(spark, sf_dir):
     assert packed.where("piece = 0").count() == mix.count()
 
 
+def test_near_dedup_of_the_pipeline_decides_by_row(spark):
+    import corpus_pipeline as P
+
+    texts = [" ".join(f"{c}{i}" for i in range(150)) for c in "abcd"]
+    rows = [(9, texts[0], "en", "s", 1), (None, texts[0], "en", "s", 1), (None, texts[1], "en", "s", 1), (None, texts[1].replace("b70", "x"), "en", "s", 1)]
+    rows += [(5, texts[2], "en", "s", 1)] * 3 + [(7, texts[2], "en", "s", 1), (7, texts[3], "en", "s", 1), (8, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    got = P.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "").collect()
+    assert collections.Counter((r.doc_id, (r.text or "")[:1]) for r in got) == {(9, "a"): 1, (None, "b"): 1, (5, "c"): 1, (7, "d"): 1, (8, ""): 1, (None, ""): 1}
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
