@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, forest, mix, signed, slices, utf8
+from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, mix, signed, slices, utf8
 
 SLOTS = 40
 BITS = 16
@@ -29,7 +29,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_1", pa.int64()), ("set_2", pa.int64()), ("signature", pa.binary())])
 KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Leaders that every bucket compares its other members with in each round; the exhaustive comparison follows.
+#: Leaders that a class is compared with at most in each round; the exhaustive comparison follows.
 LEADERS = (1, 4)
 #: Shingles in a block of the exhaustive comparison.
 BLOCK = 150_000
@@ -75,6 +75,11 @@ class Shingler:
                 at = end
 
 
+def set_hash(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets of hashes apart."""
+    return (int(found.sum().astype(np.int64)), int(mix(found + MIX_1).sum().astype(np.int64))) if len(found) else (0, 0)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_1, set_2, signature): one row for each document, repeated rows too."""
 
@@ -90,8 +95,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for at in range(0, len(found), 4096):
                         np.minimum(least, (found[at : at + 4096] * times).min(axis=1), out=least)
                     least = (mix(least) & np.uint64(2**BITS - 1)).astype("<u2").tobytes()
-                sums = (found.sum(), mix(found + MIX_1).sum()) if len(found) else (np.uint64(0), np.uint64(0))
-                for column, value in zip(out, (doc, len(found), int(sums[0].astype(np.int64)), int(sums[1].astype(np.int64)), least), strict=True):
+                for column, value in zip(out, (doc, len(found), *set_hash(found), least), strict=True):
                     column.append(value)
             yield batch(SETS, **dict(zip(SETS.names, out, strict=True)))
 
@@ -126,153 +130,180 @@ def chunk_keys(signed_sets: DataFrame, errors: int) -> DataFrame:
     return signed_sets.select("id", "signature").mapInArrow(keys, "key long, id long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int], width: int = SHINGLE) -> DataFrame:
+def packed_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> DataFrame:
+    """(id, shingles): the full set of each class in ``classes`` (id, doc_id, set_1, set_2, n_shingles), one row each.
+
+    Texts come by doc_id; of rows that repeat one, only those with the class's own set count, and only once.
+    """
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        schema = pa.schema([("set_1", pa.int64()), ("set_2", pa.int64()), ("n_shingles", pa.int64()), ("shingles", pa.binary())])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                sets = list(shingler.sets(utf8(whole.slice(at, 500).column(0))))
+                sums = [set_hash(x) for x in sets]
+                yield batch(schema, set_1=[a for a, _ in sums], set_2=[b for _, b in sums], n_shingles=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
+
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(classes.select("doc_id").distinct(), "doc_id")
+    sets = source.select("text").mapInArrow(shingle, "set_1 long, set_2 long, n_shingles long, shingles binary")
+    key = ["set_1", "set_2", "n_shingles"]
+    return sets.groupBy(*key).agg(F.first("shingles").alias("shingles")).join(classes.select("id", *key), key).select("id", "shingles")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity: den * intersection >= num * union."""
     num, den = similarity
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, known, held = Shingler(width), {}, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 rows = whole.slice(at, 512)
-                a, b = rows.column("a").to_pylist(), rows.column("b").to_pylist()
-                if held > 8_000_000:
-                    known, held = {}, 0
-                first, second = ([(i, hash(t), t) for i, t in zip(ids, utf8(rows.column(texts)), strict=True)] for ids, texts in ((a, "text_a"), (b, "text_b")))
-                new = {x[:2]: x[2] for x in (*first, *second) if x[:2] not in known}
-                for i, found in zip(new, shingler.sets(list(new.values())), strict=True):
-                    known[i] = found
-                    held += len(found)
                 keep = []
-                for x, y in zip(first, second, strict=True):
-                    p, q = known[x[:2]], known[y[:2]]
-                    short, long = min(len(p), len(q)), max(len(p), len(q))
+                for x, y in zip(rows.column("set_a").to_pylist(), rows.column("set_b").to_pylist(), strict=True):
+                    short, long = sorted((len(x) // 8, len(y) // 8))
                     both = 0
                     if den * short >= num * long:
-                        both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
-                yield batch(CHECKED, a=[x for x, k in zip(a, keep, strict=True) if k], b=[y for y, k in zip(b, keep, strict=True) if k])
+                        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    keep.append(both > 0 and den * both >= num * (short + long - both))
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep)], schema=CHECKED)
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def exhaustive(open_: DataFrame, texts: DataFrame, work: Workspace, similarity: tuple[int, int], width: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between members that share a bucket but no component yet: (key, id, component) of open buckets.
+def exhaustive(open_: DataFrame, sets: DataFrame, work: Workspace, similarity: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members that share a bucket but no component yet: (key, id, component, signature) of open buckets.
 
     Members that share buckets, also by way of others, form one group. A group is cut into blocks of a bounded
-    number of shingles, and each pair of blocks is compared whole in one task, by a product over the shingles that
-    both hold; it gives a spanning forest of its links, so pairs are never rows.
+    number of shingles, and each pair of blocks meets in one task: signatures within the allowed distance by one
+    matrix comparison, and of those pairs the full sets. It gives a spanning forest of its links, so pairs are never rows.
     """
     num, den = similarity
+    errors = allowed_errors(similarity)
     nearest = open_.groupBy("key").agg(F.min("id").alias("a"))
     group = connected_components(open_.join(nearest, "key").select("a", F.col("id").alias("b")), work, "groups")
-    member = open_.groupBy("id").agg(F.min("component").alias("component")).join(group.withColumnRenamed("component", "group"), "id")
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        schema = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                rows = whole.slice(at, 500)
-                sets = list(shingler.sets(utf8(rows.column("text"))))
-                yield batch(schema, group=rows.column("group"), id=rows.column("id"), component=rows.column("component"), n=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
-
-    rows = member.join(texts, "id").select("group", "id", "component", "text").mapInArrow(shingle, "group long, id long, component long, n long, shingles binary")
+    member = open_.groupBy("id").agg(F.first("component").alias("component"), F.first("signature").alias("signature")).join(group.withColumnRenamed("component", "group"), "id")
+    rows = member.join(sets, "id").select("group", "id", "component", "signature", "shingles", (F.octet_length("shingles") / 8).alias("n"))
     rows = work.save(rows, "members")
-    parts = rows.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    parts = rows.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
     blocks = rows.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    blocks = work.save(blocks.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m")), "blocks")
+    blocks = work.save(blocks.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "signature", "shingles")).alias("m")), "blocks")
     meets = blocks.join(blocks.select("group", F.col("part").alias("with"), F.col("m").alias("n")), "group").where("part <= with")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(whole.num_rows):
-                found: list[tuple[int, int]] = []
                 m, n = (whole.slice(k, 1).column(x).flatten() for x in ("m", "n"))
+                (ids_a, of_a), (ids_b, of_b) = ((side.field(x).to_numpy(zero_copy_only=False) for x in ("id", "component")) for side in (m, n))
                 own, other = ([np.frombuffer(x, np.uint64) for x in side.field("shingles").to_pylist()] for side in (m, n))
-                both = np.intersect1d(np.concatenate(own), np.concatenate(other))
-                for at in range(0, len(other), 256):
-                    some = other[at : at + 256]
-                    shared = np.zeros((len(own), len(some)))
-                    for first in range(0, len(both), 4096):
-                        columns = both[first : first + 4096]
-                        shared += incidence(own, columns) @ incidence(some, columns).T
-                    size_a, size_b = np.array([len(x) for x in own])[:, None], np.array([len(x) for x in some])[None, :]
-                    of_a, of_b = (side.field("component").to_numpy(zero_copy_only=False) for side in (m, n))
-                    near = (shared > 0) & (den * shared >= num * (size_a + size_b - shared)) & (of_a[:, None] != of_b[None, at : at + 256])
-                    i, j = np.nonzero(near)
-                    ids_a, ids_b = (side.field("id").to_numpy(zero_copy_only=False) for side in (m, n))
-                    found += forest(ids_a[i], ids_b[at + j])
-                yield batch(CHECKED, a=[x for x, _ in found], b=[y for _, y in found])
+                sign_a, sign_b = (np.frombuffer(b"".join(side.field("signature").to_pylist()), "<u2").reshape(len(side), SLOTS) for side in (m, n))
+                size_b = np.array([len(x) for x in other])
+                joined = Forest()
+                for i in range(len(own)):
+                    far = np.zeros(len(other), np.int16)
+                    for slot in range(SLOTS):
+                        far += sign_b[:, slot] != sign_a[i, slot]
+                    low, high = np.minimum(size_b, len(own[i])), np.maximum(size_b, len(own[i]))
+                    for j in np.flatnonzero((far <= errors) & (of_b != of_a[i]) & (den * low >= num * high)).tolist():
+                        if joined.together(int(of_a[i]), int(of_b[j])):
+                            continue
+                        both = len(np.intersect1d(own[i], other[j], assume_unique=True))
+                        if both and den * both >= num * (len(own[i]) + len(other[j]) - both):
+                            joined.join(int(of_a[i]), int(of_b[j]), (int(ids_a[i]), int(ids_b[j])))
+                yield batch(CHECKED, a=[x for x, _ in joined.links], b=[y for _, y in joined.links])
 
     return meets.select("m", "n").mapInArrow(compare, "a long, b long")
 
 
-def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
-    """(sets, columns): which set holds which of the sorted columns."""
-    out = np.zeros((len(sets), len(columns)), np.float32)
-    for k, own in enumerate(sets):
-        place = np.searchsorted(columns, own)
-        place[place == len(columns)] = 0
-        out[k, place[columns[place] == own]] = 1
-    return out
+class Forest:
+    """Which components are joined so far, and the links that did it."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
 
+    def together(self, x: int, y: int) -> bool:
+        return self.root(x) == self.root(y)
 
-def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    def join(self, x: int, y: int, link: tuple[int, int]) -> None:
+        self.parent[self.root(x)] = self.root(y)
+        self.links.append(link)
+
+
+def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked where Jaccard similarity >= num / den.
 
-    One row for each input row. Equal shingle sets form one class and only its smallest id takes part in
-    the join. Within a bucket, members are compared with a few leaders first; as only components are
-    asked for, members already connected need no further comparison, and the last, exhaustive round compares every
-    pair that shares a bucket and isn't connected yet, block by block. So no pair is left out, and no group of copies, however
-    large, is expanded into its pairs. Documents without words, and rows with a null id, link with nothing
-    (their component is their own id). Rows that repeat an id share its component.
+    One row for each input row, each a document of its own. Equal shingle sets form one class, which takes part in the
+    join once. As only components are asked for, members already connected need no further comparison: at first each
+    class meets one leader, the member of its buckets that meets the most others; then those in buckets of several
+    components meet a few leaders of other components; the last, exhaustive round compares every pair that shares a
+    bucket and isn't connected yet, block by block. So no link is left out, and no group of copies, however large, is
+    expanded into its pairs. Documents without words (null, empty or blank texts) and rows with a null id link with
+    nothing; their component is their own id. Rows that repeat an id are linked by their own texts only. Very long
+    texts are shingled whole. An empty table gives no rows; further columns of ``docs`` aren't read.
     """
     work = Workspace(docs.sparkSession, "minhash")
     sets = work.save(signatures(docs, id_col, text_col, width), "sets")
-    keyed = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = work.save(keyed.groupBy("set_1", "set_2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("set_1", "set_2", "n_shingles", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature")), "classes")
+    key = ["set_1", "set_2", "n_shingles"]
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "signature")).alias("m"))
+    classes = work.save(classes.select(F.monotonically_increasing_id().alias("id"), *key, "m.doc_id", "m.signature"), "classes")
     keys = chunk_keys(classes, allowed_errors(similarity))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = work.save(keys.join(shared, "key"), "buckets")
-    members = buckets.select("id").distinct()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = work.save(source.join(members, "id"), "texts")
     # The members that meet the most others lead: the text that a group's copies were made from meets all of them.
-    weight = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("weight"))
-    buckets = work.save(buckets.join(weight, "id"), "weighted")
+    members = work.save(buckets.groupBy("id").agg(F.sum("n").alias("weight")).join(classes, "id"), "members-of-buckets")
+    packed = work.save(packed_sets(docs, members, id_col, text_col, width), "packed")
+    buckets = work.save(buckets.join(members.select("id", "weight"), "id").select("key", "id", "weight"), "weighted")
     work.drop("buckets")
-    found = done = component = None
-    for round_ in range(len(LEADERS) + 1):
+    found = component = None
+    for round_, most in enumerate((*LEADERS, 0)):
         if component is None:
             held = buckets.withColumn("component", F.col("id"))
         else:
             held = buckets.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-        held = work.save(held.join(open_, "key", "left_semi"), f"open-{round_}")
-        if round_ == len(LEADERS):
-            edges = work.save(exhaustive(held, texts, work, similarity, width), f"edges-{round_}")
+            open_ = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+            held = work.save(held.join(open_, "key", "left_semi"), f"open-{round_}")
+        if most:
+            edges = confirm(work.save(with_leaders(held, most), f"pairs-{round_}"), packed, similarity)
         else:
-            first = F.max(F.struct("weight", "id", "component")).alias("l0")
-            more = [F.min(F.struct(F.xxhash64("component", "id", F.lit(round_), F.lit(k)).alias("h"), "id", "component")).alias(f"l{k}") for k in range(1, LEADERS[round_])]
-            leaders = F.array(*[F.struct(F.col(f"l{k}.id").alias("leader"), F.col(f"l{k}.component").alias("of")) for k in range(1 + len(more))])
-            other = held.groupBy("key").agg(first, *more).select("key", F.explode(F.array_distinct(leaders)).alias("x")).select("key", "x.leader", "x.of")
-            pairs = held.join(other, "key").where("component <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-            if done is not None:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            pairs = done = work.save(pairs, f"pairs-{round_}")
-            edges = work.save(confirm(pairs, texts, similarity, width), f"edges-{round_}")
-        work.drop(f"open-{round_}", "members", "blocks")
+            edges = exhaustive(held.join(members.select("id", "signature"), "id"), packed, work, similarity, block)
+        edges = work.save(edges, f"edges-{round_}")
+        work.drop(f"open-{round_}", f"pairs-{round_}", "members", "blocks")
         found = edges if found is None else found.unionByName(edges)
         if component is None or not edges.isEmpty():
             component = connected_components(found, work, f"round-{round_}")
-    work.drop("texts", "weighted")
-    place = classes.select("set_1", "set_2", "n_shingles", "id").join(component, "id", "left").select("set_1", "set_2", "n_shingles", F.coalesce("component", "id").alias("class"))
-    linked = keyed.join(place, ["set_1", "set_2", "n_shingles"]).groupBy("doc_id").agg(F.min("class").alias("class"))
+    work.drop("packed", "weighted", "members-of-buckets")
+    placed = classes.join(component, "id", "left").select(*key, "doc_id", F.coalesce("component", "id").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = placed.join(smallest, "component").select(*key, "component_id")
+    linked = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return (
-        sets.select("doc_id", "n_shingles").join(linked, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+        sets.select("doc_id", *key).join(known, key, "left")
+        .select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def with_leaders(held: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b): each member (key, id, weight, component) with at most ``most`` leaders of other components.
+
+    Each bucket names the heaviest of its members and, for ``most`` > 1, members of arbitrary components.
+    """
+    own = F.struct("weight", "id", "component")
+    some = [F.min_by(own, F.xxhash64("component", "id", F.lit(k))).alias(f"l{k}") for k in range(1, most)]
+    leaders = held.groupBy("key").agg(F.max(own).alias("l0"), *some)
+    leaders = leaders.select("key", F.array_distinct(F.array(*[f"l{k}" for k in range(most)])).alias("leaders"))
+    met = held.join(leaders, "key").select("id", F.filter("leaders", lambda x: x["component"] != F.col("component")).alias("leaders")).where(F.size("leaders") > 0)
+    if most == 1:
+        met = met.groupBy("id").agg(F.array(F.max(F.element_at("leaders", 1))).alias("leaders"))
+    else:
+        met = met.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set("leaders"))), asc=False), 1, most).alias("leaders"))  # of at most SLOTS buckets
+    return met.select("id", F.explode("leaders").alias("x")).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
