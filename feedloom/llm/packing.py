@@ -10,72 +10,131 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, batch, utf8
+from feedloom.llm.common import Workspace, batch, slices
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: Distinct chunks of text whose ids a worker remembers; forgetting only costs time.
 REMEMBERED = 1_000_000
+#: Bytes of text that a worker splits and looks up at once; a longer text comes alone.
+TOGETHER = 4 << 20
+#: Chunks of one word that are encoded in one line, and the marks that are known apart from the word before them.
+LINE = 64
+MARKS = ",.;:!?"
 
 
 class ChunkTokenizer:
     """Token ids of whole texts from remembered chunks.
 
     The vocabulary's pre-tokenizer always ends a token before a space that a non-space follows, so the
-    chunks between such places are encoded on their own, each distinct one once.
+    chunks between such places are encoded on their own, each distinct one once. Splitting, numbering and gathering
+    work on whole batches: Python sees only the distinct chunks of one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for text, found in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[text] = np.asarray(found.ids, "<u4").tobytes()
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for x in parts[1:]:
-            out.append(" " + x)
-        if any(len(x) < 2 or x[1].isspace() for x in out[1:]):  # a space before white space ends nothing
-            joined = [out[0]]
-            for x in out[1:]:
-                if len(x) < 2 or x[1].isspace():
-                    joined[-1] += x
-                else:
-                    joined.append(x)
-            return joined
+        self.model, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.model.get_vocab()
+        space = self.model.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for x, i in vocabulary.items() if x.startswith(space)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the end of a text is known: chunk 0, the end id alone; chunk 1 is empty."""
+        self.known: dict[str, int] = {"": 1}
+        self.starts, self.lengths, self.flat, self.used = np.array([0, 1]), np.array([1, 0]), np.full(1 << 16, self.end_id, "<u4"), 1
+
+    def encoded(self, chunks: list[str], words: bool) -> tuple[np.ndarray, list[int]]:
+        """The ids of all chunks, and how many each has.
+
+        Chunks of a space and one word are encoded in lines of many: there only a chunk's first token begins with a space.
+        """
+        if words:
+            lines = ["".join(chunks[i : i + LINE]) for i in range(0, len(chunks), LINE)]
+            ids = np.fromiter(chain.from_iterable(x.ids for x in self.model.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(chunks):
+                return ids, np.diff(first, append=len(ids)).tolist()
+        found = [x.ids for x in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), list(map(len, found))
+
+    def learn(self, chunks: list[str], words: bool) -> None:
+        lengths = []
+        for at in range(0, len(chunks), 20_000):
+            ids, sizes = self.encoded(chunks[at : at + 20_000], words)
+            lengths += sizes
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(ids), self.used), "<u4")])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
+        ends = self.starts[-1] + self.lengths[-1] + np.cumsum(lengths, dtype=np.int64)
+        self.lengths = np.concatenate([self.lengths, np.asarray(lengths, np.int64)])
+        self.starts = np.concatenate([self.starts, ends - self.lengths[len(self.starts) :]])
+
+    def numbers(self, chunks: list[str], word: np.ndarray | None = None) -> np.ndarray:
+        """The number of each chunk; ``word`` says which are a space and one word."""
+        get = self.known.get
+        out = np.fromiter((get(x, -1) for x in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(out < 0)
+        is_word = np.zeros(len(new), bool) if word is None else word[new]
+        for words in (True, False):
+            some = list(dict.fromkeys(chunks[i] for i in new[is_word == words].tolist()))
+            if some:
+                self.learn(some, words)
+        out[new] = [self.known[chunks[i]] for i in new.tolist()]
         return out
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [self.chunks(x) for x in texts]
-        self.learn(set().union(*split))
-        known = self.known
-        for parts in split:
-            yield b"".join([known[x] for x in parts])
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, ids): text i has ids[bounds[i]:bounds[i + 1]], little-endian unsigned 32-bit, the end id last."""
+        parts = pc.split_pattern(texts, " ")
+        first = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        found = parts.flatten().dictionary_encode()
+        code, names = found.indices.to_numpy().astype(np.int64), found.dictionary
+        if len(self.known) + len(names) > REMEMBERED:
+            self.forget()
+        # Marks behind a letter or digit are known apart from it: the pre-tokenizer ends a token there too.
+        bare = pc.utf8_rtrim(names, MARKS)
+        divided = pc.match_substring_regex(bare, r"[\p{L}\p{N}]$")
+        bodies = pc.if_else(divided, bare, names).dictionary_encode()
+        tails = pc.if_else(divided, pc.replace_substring_regex(names, f"(?s)^.*[^{MARKS}]", ""), "").dictionary_encode()
+        words = pc.match_substring_regex(bodies.dictionary, r"^[\p{L}\p{N}]+$").to_numpy(zero_copy_only=False)
+        body = self.numbers([" " + x for x in bodies.dictionary.to_pylist()], words)[bodies.indices.to_numpy()]
+        tail = self.numbers(tails.dictionary.to_pylist())[tails.indices.to_numpy()]
+        # A space before white space ends nothing; such words join the one before them.
+        open_ = pc.match_substring_regex(names, r"^(?:$|[\s\x0B\x1C-\x1F\x{85}\p{Z}])").to_numpy(zero_copy_only=False)
+        joined = open_[code]
+        joined[first] = False
+        begin = np.flatnonzero(~joined)
+        at_first = np.searchsorted(begin, first)
+        odd = np.union1d(np.flatnonzero(np.diff(begin, append=len(code)) > 1), at_first)
+        leads, ends = np.ones(len(begin), bool), np.append(begin, len(code))
+        leads[at_first] = False
+        whole = [" " * int(leads[k]) + " ".join(names.take(pa.array(code[begin[k] : ends[k + 1]])).to_pylist()) for k in odd.tolist()]
+        place = np.stack([body[code[begin]], tail[code[begin]]], axis=1)
+        place[odd, 0], place[odd, 1] = self.numbers(whole), 1
+        chunk_ends = 2 * np.append(at_first[1:], len(begin))
+        place = np.insert(place.ravel(), chunk_ends, 0)
+        chunk_ends = chunk_ends + np.arange(1, len(chunk_ends) + 1)
+        size = np.cumsum(self.lengths[place])
+        at = np.arange(size[-1]) + np.repeat(self.starts[place] - np.concatenate(([0], size[:-1])), self.lengths[place])
+        return np.concatenate(([0], size[chunk_ends - 1])), self.flat[at]
 
 
 @cache
-def remembered(path: str) -> ChunkTokenizer:
+def remembered(path: str, end_id: int) -> ChunkTokenizer:
     """One for all tasks of a worker."""
-    return ChunkTokenizer(path)
+    return ChunkTokenizer(path, end_id)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -85,20 +144,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     """
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = remembered(tokenizer_path)
-        end = np.asarray([end_id], "<u4").tobytes()
+        tokenizer = remembered(tokenizer_path, end_id)
         for rows in batches:
-            for at in range(0, rows.num_rows, 256):
-                part = rows.slice(at, 256)
-                texts = [x.decode() for x in utf8(part.column(1))]
+            texts = pc.fill_null(rows.column(1).cast(pa.large_string()), "")
+            for a, b in slices(pc.binary_length(texts).to_numpy(), TOGETHER):
+                bounds, ids = tokenizer.ids(texts.slice(a, b - a))
                 out: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.ids(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+                for doc, low, high in zip(rows.column(0).slice(a, b - a).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    n = high - low
                     cut = n % capacity or capacity
-                    bounds = [0, n] if n <= capacity else [0, *range(cut, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        for column, value in zip(out, (doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
+                    cuts = [0, n] if n <= capacity else [0, *range(cut, n + 1, capacity)]
+                    for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        for column, value in zip(out, (doc, k, x, y - x, zlib.crc32(ids[low + x : low + y])), strict=True):
                             column.append(value)
                 yield batch(PIECES, **dict(zip(PIECES.names, out, strict=True)))
 
