@@ -197,9 +197,7 @@ def exhaustive(open_: DataFrame, sets: DataFrame, work: Workspace, similarity: t
         for whole in batches:
             for k in range(whole.num_rows):
                 m, n = (whole.slice(k, 1).column(x).flatten() for x in ("m", "n"))
-                (ids_a, of_a), (ids_b, of_b) = ((side.field(x).to_numpy(zero_copy_only=False) for x in ("id", "component")) for side in (m, n))
-                own, other = ([np.frombuffer(x, np.uint64) for x in side.field("shingles").to_pylist()] for side in (m, n))
-                sign_a, sign_b = (np.frombuffer(b"".join(side.field("signature").to_pylist()), "<u2").reshape(len(side), SLOTS) for side in (m, n))
+                (ids_a, of_a, sign_a, own), (ids_b, of_b, sign_b, other) = parted(m), parted(n)
                 size_b = np.array([len(x) for x in other])
                 joined = Forest()
                 for i in range(len(own)):
@@ -218,6 +216,13 @@ def exhaustive(open_: DataFrame, sets: DataFrame, work: Workspace, similarity: t
     return meets.select("m", "n").mapInArrow(compare, "a long, b long")
 
 
+def parted(block: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, components, signatures and sets of a block's members."""
+    ids, of = (block.field(x).to_numpy(zero_copy_only=False) for x in ("id", "component"))
+    signed_ = np.frombuffer(b"".join(block.field("signature").to_pylist()), "<u2").reshape(len(block), SLOTS)
+    return ids, of, signed_, [np.frombuffer(x, np.uint64) for x in block.field("shingles").to_pylist()]
+
+
 class Forest:
     """Which components are joined so far, and the links that did it."""
 
