@@ -124,6 +124,20 @@ def taxonomy_slug(href: Column) -> Column:
     return F.try_url_decode(found)
 
 
+def devto_source(url: Column) -> Column:
+    """tag:… or user:… of an address on dev.to; null elsewhere."""
+    p = F.coalesce(part(url, "PATH"), F.lit(""))
+    tag, user = F.regexp_extract(p, "^/t/([A-Za-z0-9]+)/?$", 1), F.regexp_extract(p, "^/([A-Za-z0-9_]+)/?$", 1)
+    return F.when(article_host(url) == "dev.to", F.when(tag != "", F.concat(F.lit("tag:"), F.lower(tag))).when((user != "") & (user != "t"), F.concat(F.lit("user:"), F.lower(user))))
+
+
+def deviantart_user(url: Column) -> Column:
+    """The artist of an address on deviantart.com, by path or by subdomain; null elsewhere."""
+    host = article_host(url)
+    named = F.regexp_extract(F.coalesce(part(url, "PATH"), F.lit("")), "^/([A-Za-z0-9-]+)(?:/|$)", 1)
+    return F.when((host == "deviantart.com") & ~named.isin("", "tag", "search", "about"), F.lower(named)).when(host.endswith(".deviantart.com"), F.regexp_extract(host, r"^([a-z0-9-]+)\.", 1))
+
+
 def subreddit(url: Column) -> Column:
     """Of a link on the site itself; a host that merely contains its name has none."""
     name = F.nullif(F.regexp_extract(url, "/r/([A-Za-z0-9_]+)", 1), F.lit(""))
