@@ -1,13 +1,14 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
-The ordinary dictionary is trained on windows of ordinary texts. The toxic one continues it with the passages
-that set toxic texts apart, so that a window costs the same under both unless it holds such a passage. The
-differences of a text's windows are calibrated by logistic regression, for which each labelled text is measured
-under dictionaries that were trained without it.
+One dictionary is trained on windows of ordinary texts, one on windows of toxic texts, from which the words are
+left out that ordinary texts use about as often, so that the trainer spends its bytes on what sets them apart. A window is compressed with the ordinary dictionary alone and with both, and costs the same
+unless it holds what the toxic one holds. The differences of a text's windows are calibrated by logistic
+regression, for which each labelled text is measured under dictionaries that were trained without it.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,15 +22,15 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import batch, utf8
 
 WINDOW = 12
-GRAM = 5
 #: The bounded sample of labelled rows: so many documents of each class.
 SAMPLE = {1: 1500, 0: 4500}
 FOLDS = 5
 ORDINARY_BYTES = 65536
-TOXIC_BYTES = 8192
-#: A passage sets toxic texts apart if it is in so many times the share of ordinary ones, and in so many toxic texts.
-RATIO, SUPPORT = 40, 4
-WORD_RATIO, WORD_SUPPORT, WORD_LENGTH = 25, 4, 6
+TOXIC_BYTES = 1024
+#: A word stays in the toxic windows if chance explains its share of toxic texts so badly (log-likelihood ratio).
+EVIDENCE = 40
+#: Segments and matches of the toxic dictionary's trainer, in bytes.
+SEGMENT, MATCH = 20, 8
 PUNCTUATION = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 THRESHOLD = 0.7
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -44,10 +45,6 @@ def windows(text: bytes) -> list[bytes]:
     return [b" " + b" ".join(parts[i : i + WINDOW]) for i in range(0, len(parts), WINDOW)] or [b""]
 
 
-def grams(word: str) -> list[str]:
-    return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
-
-
 @dataclass
 class Model:
     ordinary: bytes
@@ -85,58 +82,39 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(z), 1)), z])
 
 
-@dataclass
-class Vocabulary:
-    """Words and grams of some texts, each text counted once, so that folds only add and subtract counts."""
-
-    words: Counter
-    grams: Counter
-    texts: int
+def trained(samples: list[bytes], sizes: tuple[int, ...], **how) -> bytes:
+    for want in sizes:
+        try:
+            return zstandard.train_dictionary(want, samples, level=3, **how).as_bytes()
+        except zstandard.ZstdError:  # too few samples for a dictionary of that size
+            continue
+    return b"".join(samples)[-sizes[0] :]
 
-    @classmethod
-    def of(cls, texts: list[set[str]]) -> Vocabulary:
-        return cls(Counter(w for ws in texts for w in ws), Counter(g for ws in texts for g in {g for w in ws for g in grams(w)}), len(texts))
 
-    def without(self, other: Vocabulary) -> Vocabulary:
-        return Vocabulary(self.words - other.words, self.grams - other.grams, self.texts - other.texts)
+def ordinary_dictionary(texts: list[bytes], size: int = ORDINARY_BYTES) -> bytes:
+    return trained([w for t in texts for w in windows(t)], (size, size // 8, size // 64)) or b" the"
 
 
-def toxic_passages(texts: list[set[str]], toxic: Vocabulary, ordinary: Vocabulary, with_words: bool, most: int = TOXIC_BYTES) -> bytes:
-    """Passages that are much more frequent in toxic texts, the most frequent last.
+def evidence(here: int, here_of: int, there: int, there_of: int) -> float:
+    """Twice the log-likelihood ratio of two shares against one, 0 unless the first is larger."""
+    if here * there_of <= there * here_of:
+        return 0.0
 
-    Of a word, the stretch of its grams that set toxic texts apart; where none does, the word itself if it does and
-    ``with_words`` asks for such.
-    """
+    def fit(k: int, n: int, p: float) -> float:
+        return sum(x * math.log(q) for x, q in ((k, p), (n - k, 1 - p)) if x)
 
-    def apart(here: Counter, there: Counter, ratio: float, support: int) -> set[str]:
-        return {x for x, n in here.items() if n >= support and n / toxic.texts >= ratio * (there[x] + 0.5) / max(1, ordinary.texts)}
-
-    telling, whole = apart(toxic.grams, ordinary.grams, RATIO, SUPPORT), apart(toxic.words, ordinary.words, WORD_RATIO, WORD_SUPPORT)
-    found: Counter = Counter()
-    for ws in texts:
-        for w in ws:
-            hits = [i for i, g in enumerate(grams(w)) if g in telling]
-            if hits:
-                found[w[hits[0] : hits[-1] + GRAM]] += 1
-            elif with_words and w in whole and len(w) > WORD_LENGTH:
-                found[w + " "] += 1
-    body = b""
-    for passage, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        piece = passage.encode() + b"\n"
-        if n < SUPPORT or len(body) + len(piece) > most:
-            break
-        body = piece + body
-    return body
+    both = (here + there) / (here_of + there_of)
+    return 2 * (fit(here, here_of, here / here_of) + fit(there, there_of, there / max(1, there_of)) - fit(here, here_of, both) - fit(there, there_of, both))
 
 
-def ordinary_dictionary(texts: list[bytes], size: int = ORDINARY_BYTES) -> bytes:
-    samples = [w for t in texts for w in windows(t)]
-    for want in (size, size // 8, size // 64):
-        try:
-            return zstandard.train_dictionary(want, samples, level=3).as_bytes()
-        except zstandard.ZstdError:  # too few samples for a dictionary of that size
-            continue
-    return b" ".join(samples)[-size:] or b" the"
+def toxic_dictionary(texts: list[list[bytes]], toxic: Counter, ordinary: Counter, ordinary_texts: int, size: int = TOXIC_BYTES) -> bytes:
+    """Trained on the windows of toxic texts (as words); ``toxic`` and ``ordinary`` count the texts that hold a word."""
+    telling = {w for w, n in toxic.items() if evidence(n, len(texts), ordinary[w], ordinary_texts) >= EVIDENCE}
+    samples = []
+    for text in texts:
+        left = [w for w in text if w in telling]
+        samples += [b" " + b" ".join(left[i : i + WINDOW]) for i in range(0, len(left), WINDOW)]
+    return trained(samples, (size,), k=SEGMENT, d=MATCH, steps=4)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -157,63 +135,61 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
     """From (text, label); ``share`` is the share of label 1 among all labelled rows.
 
-    Whole words help where toxic words are many and blur the distance where they are few; the choice is the one with the
-    smaller loss on texts that their dictionaries haven't seen.
+    The ordinary dictionary is trained on a third of the ordinary texts, which take no further part. The toxic one is trained
+    for each fold without its texts, to measure them, and once with all.
     """
     apart = np.random.default_rng(1).random(len(rows)) < 1 / 3
     plain = ordinary_dictionary([t for (t, y), k in zip(rows, apart, strict=True) if k and not y])
     rows = [r for r, k in zip(rows, apart, strict=True) if r[1] or not k]
     y = np.array([y for _, y in rows], float)
     fold = np.random.default_rng(2).integers(0, FOLDS, len(rows))
-    sets = [{" " + w.decode() for w in words(t)} for t, _ in rows]
-    parts = {(label, k): Vocabulary.of([s for s, l, f in zip(sets, y, fold, strict=True) if l == label and f == k]) for label in (0, 1) for k in range(FOLDS)}
-    whole = {label: Vocabulary(sum((parts[label, k].words for k in range(FOLDS)), Counter()), sum((parts[label, k].grams for k in range(FOLDS)), Counter()), int((y == label).sum())) for label in (0, 1)}
+    counts: dict[tuple[int, int], Counter] = {(label, k): Counter() for label in (0, 1) for k in range(FOLDS)}
+    for (t, label), k in zip(rows, fold.tolist(), strict=True):
+        counts[label, k].update(set(words(t)))
 
-    def models(left_out: int) -> list[Model]:
-        toxic, ordinary = (whole[k] if left_out < 0 else whole[k].without(parts[k, left_out]) for k in (1, 0))
-        texts = [s for s, label, f in zip(sets, y, fold, strict=True) if label and f != left_out]
-        return [Model(plain, toxic_passages(texts, toxic, ordinary, how), np.zeros(8), np.ones(8), np.zeros(9)) for how in (False, True)]
+    def model(left_out: int) -> Model:
+        used = [k for k in range(FOLDS) if k != left_out]
+        toxic, ordinary = (sum((counts[label, k] for k in used), Counter()) for label in (1, 0))
+        texts = [words(t) for (t, label), k in zip(rows, fold, strict=True) if label and k != left_out]
+        return Model(plain, toxic_dictionary(texts, toxic, ordinary, int(((y == 0) & (fold != left_out)).sum())), np.zeros(8), np.ones(8), np.zeros(9))
 
-    final = models(-1)
+    final = model(-1)
     if not len(rows):
-        return final[0]
-    x = np.zeros((2, len(rows), 8))
+        return final
+    x = np.zeros((len(rows), 8))
     for k in range(FOLDS):
-        for how, model in enumerate(models(k)):
-            scorer = model.scorer()
-            for i in np.flatnonzero(fold == k).tolist():
-                x[how, i] = scorer.features(rows[i][0])
+        scorer = model(k).scorer()
+        for i in np.flatnonzero(fold == k).tolist():
+            x[i] = scorer.features(rows[i][0])
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    losses = []
-    for how, model in enumerate(final):
-        model.mean, model.scale = x[how].mean(axis=0), x[how].std(axis=0) + 1e-9
-        z = expand(np.clip((x[how] - model.mean) / model.scale, -4, 4))
-        model.weights = logistic(z, y, weight)
-        p = np.clip(1 / (1 + np.exp(-(z @ model.weights))), 1e-9, 1 - 1e-9)
-        losses.append(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
-    return final[int(np.argmin(losses))]
+    final.mean, final.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    final.weights = logistic(expand(np.clip((x - final.mean) / final.scale, -4, 4)), y, weight)
+    return final
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on a bounded sample (SAMPLE, chosen by a hash of doc_id) of labelled documents.
+def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model:
+    """Fits on a bounded sample (``sample`` documents of each label, SAMPLE by default, chosen by a hash of doc_id) of labelled documents.
 
-    Labels other than 0 and 1 and documents without a text are not used. A document labelled twice counts twice.
+    Labels other than 0 and 1, null ids and documents without a text are not used. A document labelled twice counts twice;
+    of rows that repeat a doc_id only one text does. Without labelled rows every text gets one score. No column of ``docs`` but
+    doc_id and text is read.
     """
+    sample = SAMPLE if sample is None else sample
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     picked = None
     for label in (1, 0):
         order = F.xxhash64("doc_id", F.lit(17))
-        some = known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(SAMPLE[label])
+        some = known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(sample[label])
         picked = some if picked is None else picked.unionByName(some)
     chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")  # a bounded number of rows
-    got = chosen.select("text", "toxic", "doc_id").orderBy("doc_id").toPandas()
+    got = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id", "toxic").toPandas()
     rows = [(t.encode(), int(y)) for t, y in zip(got.text, got.toxic, strict=True)]
     return fit(rows, float(share or 0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row's whole text; null and empty texts get the score of no evidence."""
+    """(doc_id, score) of each row's whole text, repeated rows too; null and empty texts get the score of no evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
