@@ -1,7 +1,7 @@
 """Personal data: four base patterns, and spans from a linear-chain conditional random field.
 
 The field has word-shape features and is trained from a small labelled table; numpy decodes batches of
-sequences by Viterbi. It adds what the patterns don't match, such as spelled-out addresses, local phone
+whole texts by Viterbi. It adds what the patterns don't match, such as spelled-out addresses, local phone
 numbers and card numbers with an expiry date behind them; base spans always stay.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import batch, utf8
+from feedloom.llm.common import batch, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -132,12 +132,11 @@ ratio 16:9 at 60 hz
 """
 WORDS = ("at", "dot", "call", "phone", "tel", "mobile", "ring", "fax", "number", "mail", "email", "card", "visa", "host", "ip", "server", "com", "org", "net", "de", "example", "isbn", "id", "version", "page", "pages")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-#: Regions that the field reads: words with a digit or an at sign, a spelled-out at, and some words on each side.
-ANCHOR = re.compile(r"[0-9@]|(?:(?<= )|(?<=[\[(]))(?:at|AT)(?=[\])]? )[\])]? \S+ [\[(]?(?:dot|DOT)(?![A-Za-z])|(?<= )AT(?= )")
-AROUND = 6
 FEATURES = 4096
 #: Tokens whose emissions a worker holds at once (360 bytes each while they are summed); sequences may be longer.
 TOGETHER = 256 * 400
+#: Tokens of a chunk of a text, and those before it from which its first scores come.
+CHUNK, WARM = 128, 24
 
 
 def shape(token: str, gap: bool) -> list[str]:
@@ -178,6 +177,110 @@ def encode(tokens: list[tuple[str, bool]]) -> np.ndarray:
     return out
 
 
+#: Kinds of tokens by number: the edge of a text, digits by their number, known words, words by case and length, marks.
+KIND_NAMES = ["^", *(f"d{n}" for n in range(1, 10)), *(f"w={w}" for w in WORDS), *(f"{c}{n}" for c in ("X", "Xx", "x") for n in range(3)), *(f"p={chr(c)}" for c in range(128) if not chr(c).isalnum() and not chr(c).isspace()), "p=other"]
+KIND = {name: k for k, name in enumerate(KIND_NAMES)}
+SPACE, LETTER, DIGIT, MARK = range(4)
+#: The class of each character up to the last white space there is.
+CLASSES = np.array([DIGIT if 48 <= c < 58 else LETTER if c < 128 and chr(c).isalpha() else SPACE if chr(c).isspace() else MARK for c in range(0x3001)], np.int8)
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hash(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of lower-case words, of their first seven letters."""
+    out = length.astype(np.uint64)
+    for k in range(7):
+        at = np.minimum(start + k, len(codes) - 1)
+        out = out * HASH_BASE + np.where(k < length, codes[at] | 32, 0).astype(np.uint64)
+    return out
+
+
+@cache
+def known_words() -> tuple[np.ndarray, np.ndarray]:
+    codes = [np.array([ord(c) for c in w], np.uint32) for w in WORDS]
+    hashes = np.array([word_hash(c, np.array([0]), np.array([len(c)]))[0] for c in codes])
+    order = np.argsort(hashes)
+    return hashes[order], np.array([KIND[f"w={w}"] for w in WORDS])[order]
+
+
+def tokens_in(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, kind, gap) of every token of all texts; places are code points of the text."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = np.where(codes < len(CLASSES), CLASSES[np.minimum(codes, len(CLASSES) - 1)], MARK)
+    opens = np.ones(len(codes), bool)
+    opens[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == MARK)
+    at = np.flatnonzero(opens)
+    end = np.append(at[1:], len(codes))
+    real = kind[at] != SPACE
+    start, end = at[real], end[real]
+    length, what = end - start, kind[start]
+    upper = np.concatenate(([0], np.cumsum((codes >= 65) & (codes <= 90))))
+    capitals = upper[end] - upper[start]
+    case = np.where(capitals == length, 0, np.where((codes[start] >= 65) & (codes[start] <= 90), 1, 2))
+    out = KIND["X0"] + 3 * case + np.minimum(length, 4) // 2
+    hashes, names = known_words()
+    letters = what == LETTER
+    own = word_hash(codes, start[letters], length[letters])
+    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    short = (hashes[place] == own) & (length[letters] <= 7)
+    out[letters] = np.where(short, names[place], out[letters])
+    out[what == DIGIT] = np.minimum(length[what == DIGIT], 9)  # kinds 1 to 9
+    marks = np.full(128, KIND["p=other"])
+    for c in range(128):
+        marks[c] = KIND.get(f"p={chr(c)}", KIND["p=other"])
+    own = codes[start[what == MARK]]
+    out[what == MARK] = np.where(own < 128, marks[np.minimum(own, 127)], KIND["p=other"])
+    text = np.searchsorted(begin, start, side="right") - 1
+    gap = start > np.maximum(np.concatenate(([0], end[:-1])), begin[text])
+    return text, start - begin[text], end - begin[text], out, gap
+
+
+class Slots:
+    """Feature slots by the numbers of kinds; each combination is named once, when it first comes up."""
+
+    def __init__(self) -> None:
+        n = len(KIND_NAMES)
+        self.n = n
+        self.single = np.array([[slots_of(f"{d}:{x}") for x in KIND_NAMES] for d in (-2, -1, 0, 1, 2)], np.int32)
+        self.with_gap = ["^" if k == 0 else f"{x}|{g}" for k, x in enumerate(KIND_NAMES) for g in (0, 1)]
+        self.gapped = np.array([slots_of(f"g:{x}") for x in self.with_gap], np.int32)
+        self.before, self.after, self.three = (np.full(m, -1, np.int32) for m in (n * 2 * n, 4 * n * n, n**3))
+
+    def looked_up(self, table: np.ndarray, codes: np.ndarray, name) -> np.ndarray:
+        out = table[codes]
+        if (out < 0).any():
+            for c in np.unique(codes[out < 0]).tolist():
+                table[c] = slot(name(c))
+            out = table[codes]
+        return out
+
+    def of(self, text: np.ndarray, kind: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """(tokens, features), as ``encode`` has them for each text."""
+        n, names = self.n, KIND_NAMES
+        away = []
+        for d in (-2, -1, 1, 2):
+            own = np.zeros(len(kind), np.int64)
+            here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+            own[here] = np.where(text[here] == text[there], kind[there], 0)
+            away.append(own)
+        far, last, next_, further = away
+        g = kind * 2 + gap
+        next_g = next_ * 2 + np.where(next_ > 0, np.append(gap[1:], False), False)
+        return np.stack([
+            self.single[0][far], self.single[1][last], self.single[2][kind], self.single[3][next_], self.single[4][further], self.gapped[g],
+            self.looked_up(self.before, last * 2 * n + g, lambda c: f"b:{names[c // (2 * n)]}>{self.with_gap[c % (2 * n)]}"),
+            self.looked_up(self.after, g * 2 * n + next_g, lambda c: f"a:{self.with_gap[c // (2 * n)]}>{self.with_gap[c % (2 * n)]}"),
+            self.looked_up(self.three, (last * n + kind) * n + next_, lambda c: f"t:{names[c // n // n]}>{names[c // n % n]}>{names[c % n]}"),
+        ], axis=1)
+
+
+@cache
+def slots() -> Slots:
+    return Slots()
+
+
 class Crf:
     """Labels 0 (none) and 1..4 (KINDS); emissions are sums of feature weights."""
 
@@ -229,8 +332,61 @@ class Crf:
             self.moves += rate * grad_m / np.sqrt(seen_m)
         return self
 
+    def labels(self, text: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """The best path of each text (tokens of one text are together): Viterbi over chunks of all texts at once.
+
+        A chunk's scores at its beginning come from the WARM tokens before it. Where they differ from those that the chunk
+        before ends with, by more than rounding and a constant, it runs again from there, until all agree; so the paths are
+        those of whole texts. Each chunk is traced back from every label at its end, and the texts' last chunks say from which.
+        """
+        e = np.empty((len(text), self.LABELS))
+        for at in range(0, len(text), TOGETHER):
+            e[at : at + TOGETHER] = self.weights[features[at : at + TOGETHER]].sum(axis=1)
+        opens = np.flatnonzero(np.diff(text, prepend=-1))
+        size = np.diff(opens, append=len(text))
+        count = -(-size // CHUNK)
+        of = np.repeat(np.arange(len(opens)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        start = opens[of] + nth * CHUNK
+        length = np.minimum(CHUNK, opens[of] + size[of] - start)
+        entry = np.zeros((len(of), self.LABELS))
+        for back in range(WARM, 0, -1):
+            at = start - back
+            inside = at >= opens[of]
+            before = (entry[:, :, None] + self.moves).max(axis=1) + e[np.maximum(at, 0)]
+            entry = np.where((at == opens[of])[:, None], e[np.maximum(at, 0)], np.where(inside[:, None], before, entry))
+        level = lambda x: x - x.max(axis=1, keepdims=True)
+        entry, leave = level(entry), np.empty_like(entry)
+        back = np.zeros((len(of), CHUNK, self.LABELS), np.int8)
+        todo = np.arange(len(of))
+        while len(todo):
+            best, first = entry[todo], nth[todo] == 0
+            for i in range(int(length[todo].max())):
+                step = best[:, :, None] + self.moves
+                own = e[np.minimum(start[todo] + i, len(e) - 1)]
+                after = step.max(axis=1) + own
+                if i == 0:
+                    after = np.where(first[:, None], own, after)
+                back[todo, i] = step.argmax(axis=1)
+                best = np.where((i < length[todo])[:, None], after, best)
+            leave[todo] = level(best)
+            wrong = np.flatnonzero((nth[1:] > 0) & (np.abs(entry[1:] - leave[:-1]).max(axis=1) > 1e-9)) + 1
+            entry[wrong] = leave[wrong - 1]
+            todo = wrong
+        came = np.broadcast_to(np.arange(self.LABELS, dtype=np.int8), leave.shape)
+        path = np.zeros((len(of), CHUNK, self.LABELS), np.int8)
+        for i in range(CHUNK - 1, -1, -1):
+            path[:, i] = came
+            came = np.where((i < length)[:, None], np.take_along_axis(back[:, i], came, axis=1), came)
+        end, from_last = leave.argmax(axis=1), np.repeat(count, count) - 1 - nth
+        for k in range(1, int(count.max())):
+            own = np.flatnonzero(from_last == k)
+            end[own] = came[own + 1, end[own + 1]]
+        chosen = np.take_along_axis(path, end[:, None, None], axis=2)[:, :, 0]
+        return chosen[np.arange(CHUNK)[None, :] < length[:, None]]
+
     def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi over whole sequences, those of like length together; emissions are summed for some places at a time."""
+        """Viterbi over whole sequences of features, those of like length together; emissions are summed for some places at a time."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(sequences)
         order = sorted((k for k in range(len(sequences)) if len(sequences[k])), key=lambda k: len(sequences[k]))
         at = 0
@@ -291,31 +447,6 @@ def trained() -> Crf:
     return Crf().fit(*labelled_table())
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Where the field may find something, as merged stretches of AROUND words about each anchor."""
-    out: list[tuple[int, int]] = []
-    for m in ANCHOR.finditer(text):
-        if out and m.end() <= out[-1][1]:
-            continue
-        start, end = m.start(), m.end()
-        for _ in range(AROUND):
-            cut = text.rfind(" ", max(0, start - 40), max(0, start - 1))
-            if cut < 0:
-                break
-            start = cut + 1
-        for _ in range(AROUND):
-            cut = text.find(" ", end + 1, end + 41)
-            if cut < 0:
-                end = min(len(text), end + 40)
-                break
-            end = cut
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], end)
-        else:
-            out.append((start, end))
-    return out
-
-
 def plausible(kind: int, text: str) -> bool:
     digits = len(NOT_DIGIT.sub("", text))
     if kind == 0:
@@ -357,26 +488,22 @@ def number_spans(kind: int, text: str, start: int, end: int) -> list[Span]:
 
 
 def find(texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
-    """(base spans, spans that the field adds) of each text."""
+    """(base spans, spans that the field adds) of each text; the field decodes every token of every text."""
+    for first, last in slices(np.array([len(t) for t in texts], np.int64)):
+        yield from found_in(texts[first:last])
+
+
+def found_in(texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
     crf = trained()
-    tokens, places = [], []
-    for k, text in enumerate(texts):
-        for start, end in regions(text):
-            own = tokens_of(text, start, end)
-            if len(own) >= 3:
-                tokens.append(own)
-                places.append(k)
-    paths = crf.decode([encode([(t, gap) for t, _, _, gap in own]) for own in tokens])
+    of, starts, ends, kind, gap = tokens_in(texts)
+    label = crf.labels(of, slots().of(of, kind, gap)) if len(of) else np.empty(0, np.int8)
+    turn = np.ones(len(of), bool)
+    turn[1:] = (label[1:] != label[:-1]) | (of[1:] != of[:-1])
+    runs = np.flatnonzero(turn)
+    stops = np.append(runs[1:], len(of))
     more: dict[int, list[Span]] = {}
-    for k, own, path in zip(places, tokens, paths, strict=True):
-        at = 0
-        while at < len(own):
-            stop = at + 1
-            while stop < len(own) and path[stop] == path[at]:
-                stop += 1
-            if path[at]:
-                more.setdefault(k, []).append((own[at][1], int(path[at]) - 1, own[stop - 1][2]))
-            at = stop
+    for a, b in zip(runs[label[runs] > 0].tolist(), stops[label[runs] > 0].tolist(), strict=True):
+        more.setdefault(int(of[a]), []).append((int(starts[a]), int(label[a]) - 1, int(ends[b - 1])))
     for k, text in enumerate(texts):
         base = base_spans(text)
         added: list[Span] = []
