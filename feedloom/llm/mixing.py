@@ -16,8 +16,9 @@ from feedloom.llm.common import Workspace
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-SHARDS = 64
-BLOCKS = 2048
+#: Output shards at least, and words of one beyond that; blocks of a source at most, for each of so many shards.
+SHARDS, SHARD_WORDS = 64, 50_000_000
+BLOCKS, BLOCK_SHARE = 2048, 4
 SEED = 20240229
 
 
@@ -59,22 +60,26 @@ def split_quotas(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, shards: int = SHARDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, draws): every document and what the mix takes of it.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, shards: int | None = None, seed: int = SEED, carry: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, draws): every row and what the mix takes of it.
 
-    Columns named in ``carry`` come along. ``draws`` has a struct (shard, place) for each time that the document is taken; sorting a shard by
-    place is its local shuffle. Sizes are words; null texts have none, null is a source of its own, and a
-    source without words has target 0. Repeated rows draw alike, each counted. A source's taken words miss
-    its target by less than one document (and its repeats). Only per-source totals reach the driver.
+    ``carry`` comes along as a column of that name. ``draws`` has a struct (shard, place) for each time that the row is taken; sorting a
+    shard by place is its local shuffle. Sizes are words; null and empty texts have none, null is a source of its own, and
+    a source without words has target 0. Repeated rows draw alike, each counted; a null doc_id is one more id. A source's taken words
+    miss its target by less than one document (and its repeats). An empty table gives no rows. Only totals by source and, for
+    each source and shard, the number of draws reach the driver; documents learn their shards from a table of blocks.
     """
-    work = Workspace(docs.sparkSession, "mixing")
+    spark = docs.sparkSession
+    work = Workspace(spark, "mixing")
     key = F.xxhash64("doc_id", F.lit(seed))
-    sized = work.save(docs.select(*carry, "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    carried = [] if carry is None else [carry.alias("carry")]
+    sized = work.save(docs.select(*carried, "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))  # Python compares by code point
+    shards = shards or max(SHARDS, -(-sum(r.words for r in totals) // SHARD_WORDS))
     targets = target_words([r.words for r in totals], weights, most)
-    known = [(r.source, r.words, t, min(BLOCKS, max(1, r.n // 64)), min(most, int(t // r.words)) if r.words else 0) for r, t in zip(totals, targets, strict=True)]
-    spark = docs.sparkSession
+    bound = max(BLOCKS, BLOCK_SHARE * shards)
+    known = [(r.source, r.words, t, min(bound, max(1, r.n // 64)), min(most, int(t // r.words)) if r.words else 0) for r, t in zip(totals, targets, strict=True)]
     sources = spark.createDataFrame(known, "name string, source_size long, target double, blocks int, passes int").coalesce(1)
     dealt = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("block", F.pmod(key, F.col("blocks")).cast("int"))
     counts = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("passes").alias("passes"), F.first("source_size").alias("source_size"))
@@ -86,8 +91,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     present = [(r[0], found[r[0]].blocks, r[4] * found[r[0]].blocks + (found[r[0]].drawn if r[4] < most else 0)) for r in known if r[0] in found]
     quotas = split_quotas([n for _, _, n in present], shards, seed).cumsum(axis=0) if present else np.zeros((shards, 0), np.int64)
     ends = spark.createDataFrame([(s, b, quotas[:, i].tolist()) for i, (s, b, _) in enumerate(present)], "name string, present int, ends array<long>").coalesce(1)
-    joined = dealt.join(counts.select(F.col("source").alias("of"), F.col("block").alias("at"), "rank", "words", "rest"), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
-    joined = joined.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    # The shard of each of a block's draws: its slot in the source's permuted passes falls into the run that a shard owns.
+    slots = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("present") + F.col("rank"))
+    placed = counts.join(ends, F.col("source").eqNullSafe(F.col("name"))).select(F.col("source").alias("of"), F.col("block").alias("at"), "words", "rest", F.transform(slots, lambda x: F.size(F.filter("ends", lambda e: e <= x))).alias("owners"))
+    joined = dealt.join(work.save(placed, "placed"), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
     #: Of the last pass, blocks before the boundary are taken whole; the one block across it only up to the target.
     across = (F.col("rest") > 0) & (F.col("rest") < F.col("words")) & (F.col("passes") < most)
     whole = F.when((F.col("rest") >= F.col("words")) & (F.col("rest") > 0) & (F.col("passes") < most), 1).otherwise(0)
@@ -95,19 +102,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     edge = joined.where(across).withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     edge = edge.withColumn("extra", F.when((F.col("rest") - F.col("before")) * 2 >= F.col("size"), 1).otherwise(0)).drop("before")
     taken = joined.where(~across).withColumn("extra", whole).unionByName(edge).withColumn("times", F.col("passes") + F.col("extra"))
-    slot = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.struct(p.alias("p"), (p * F.col("present") + F.col("rank")).alias("slot")))
-    draws = F.transform(
-        F.filter(slot, lambda x: x["p"] < F.col("times")),
-        lambda x: F.struct(F.size(F.filter("ends", lambda e: e <= x["slot"])).alias("shard"), F.xxhash64("doc_id", x["p"], F.lit(seed + 2)).alias("place")),
-    )
-    return taken.select(*carry, "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), draws.alias("draws"))
+    draws = F.transform(F.slice("owners", F.lit(1), F.col("times")), lambda owner, p: F.struct(owner.alias("shard"), F.xxhash64("doc_id", p, F.lit(seed + 2)).alias("place")))
+    return taken.select(*(["carry"] if carried else []), "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), draws.alias("draws"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` once for each of its draws, dealt to shards and shuffled within them."""
-    work = Workspace(docs.sparkSession, "mix")
-    numbered = work.save(docs.withColumn("mix_row", F.monotonically_increasing_id()), "rows")
-    draws = mix_sources(numbered.select("mix_row", "doc_id", "source", "text"), carry=("mix_row",), **how)
-    drawn = draws.select("mix_row", F.explode("draws").alias("mix_draw"))
-    rows = numbered.join(drawn, "mix_row")
-    return rows.repartition("mix_draw.shard").sortWithinPartitions("mix_draw.shard", "mix_draw.place").drop("mix_row", "mix_draw")
+    rows = mix_sources(docs, carry=F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **how).select("carry", F.explode("draws").alias("draw"))
+    return rows.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.place").select("carry.*")
