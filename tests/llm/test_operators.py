@@ -384,11 +384,36 @@ def test_viterbi_equals_enumeration():
 def test_spans_are_found_anywhere_in_long_regions(shift):
     unit = "call me at 555-201-8890 after six, room 12 . "
     text = "b2 " * shift + unit * 150
-    assert pii.regions(text)[0][1] >= len(text) - 2
     ((base, added),) = pii.find([text])
     assert not base and [(k, text[s:e]) for s, k, e in added] == [(3, "555-201-8890")] * 150
 
 
+def test_labels_of_chunked_texts_are_those_of_whole_texts():
+    """Vectorised tokens and features against the plain ones, and chunked Viterbi against Viterbi of each whole text."""
+    rng, crf = np.random.default_rng(3), pii.trained()
+    texts = ["".join(rng.choice(list("aAbZ19 .@-+()é\n 中_\u2003"), rng.integers(0, 70))) for _ in range(150)] + ["", " ", "call at DOT 555-201-8890 now Host x", " ".join(f"x{i} 555-20{i % 10}-8890" for i in range(400)), "1 " * 900]
+    of, start, end, kind, gap = pii.tokens_in(texts)
+    features = pii.slots().of(of, kind, gap)
+    own = [pii.tokens_of(t, 0, len(t)) for t in texts]
+    assert list(zip(of.tolist(), start.tolist(), end.tolist(), strict=True)) == [(k, a, b) for k, ts in enumerate(own) for _, a, b, _ in ts]
+    assert (features == np.concatenate([pii.encode([(x, g) for x, _, _, g in ts]) for ts in own])).all()
+    whole = crf.decode([features[of == k] for k in range(len(texts))])
+    score = lambda p, x: crf.weights[x].sum(axis=1)[np.arange(len(p)), p].sum() + crf.moves[p[:-1], p[1:]].sum()
+    for k, path in enumerate(whole):
+        if len(path):
+            assert score(crf.labels(of, features)[of == k], features[of == k]) == pytest.approx(score(path, features[of == k]))
+    # Without any tokens before a chunk, chunks run again until they agree.
+    assert (crf.labels(of, features) == unwarmed(crf, of, features)).all()
+
+
+def unwarmed(crf, of, features):
+    warm, pii.WARM = pii.WARM, 0
+    try:
+        return crf.labels(of, features)
+    finally:
+        pii.WARM = warm
+
+
 def test_viterbi_in_blocks_equals_viterbi_of_each_alone(monkeypatch):
     crf, rng = pii.trained(), np.random.default_rng(5)
     rows = [rng.integers(0, pii.FEATURES, (n, 9)).astype(np.int32) for n in (900, 3, 41, 1, 0, 900, 250, 57)]
@@ -428,7 +453,11 @@ def test_mixing(spark, docs):
     for n in names:
         assert abs(taken[n] - target[n]) <= 2 * max(size[n]) + 1
     assert sum(target.values()) == pytest.approx(sum(map(sum, size.values())))
-    mix = mixing.mixed_rows(docs, shards=8)
+    assert {x["shard"] for r in got for x in r.draws} == set(range(8))
+    once = collections.Counter((r.doc_id, x["shard"], x["place"]) for r in got for x in r.draws)
+    again_ = collections.Counter((r.doc_id, x["shard"], x["place"]) for r in got for x in r.draws if r.doc_id == 1_000_004)
+    assert all(n == 1 for k, n in once.items() if k not in again_)  # only rows that repeat an id draw alike
+    mix = mixing.mixed_rows(docs.withColumn("draw", F.lit(1)).withColumn("carry", F.lit(2)).withColumn("mix_row", F.lit(3)), shards=8)
     assert mix.count() == sum(len(r.draws) for r in got)
 
 
