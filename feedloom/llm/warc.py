@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, batch, utf8
+from feedloom.llm.common import Workspace, batch
 
 CHUNK = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
-DIGESTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("bytes", pa.int64())])
 ARCHIVES = pa.schema([("name", pa.string())])
 READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())])
 
@@ -145,23 +144,21 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, pages_an_archive: int =
 
     Among records with equal payloads of at least ``min_bytes`` bytes, those with the smallest page_id are
     responses and all others revisit that page_id (rows that repeat the smallest page_id are all responses); null ids sort last and
-    are responses where no other page has their payload. A null html is an empty payload. Returns page_id, payload_bytes, payload_digest,
+    are responses where no other page has their payload. A null html is an empty payload, and html may be of any length (a
+    record is held whole). An empty table gives no rows; further columns aren't read. Returns page_id, payload_bytes, payload_digest,
     record_type and refers_to as read back, with the record's archive and offset. Archives lie in ``folder`` (a
     shared folder of this call's own by default): N.mono.warc.gz, N.warc.gz and N.warc.gz.idx.
     """
     spark = pages.sparkSession
     root = folder or Workspace(spark, "warc").root
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                rows = whole.slice(at, 500)
-                payload = utf8(rows.column(2))
-                yield batch(DIGESTS, page_id=rows.column(0), url=rows.column(1), payload=payload, digest=[sha1_base32(x) for x in payload], bytes=[len(x) for x in payload])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's rows come ordered by archive; each archive is one gzip stream."""
+        """A partition's rows come ordered by archive; each archive is one gzip stream.
+
+        Of a payload that several pages have, a row without a record comes before a page's own and names the first page.
+        """
         store, current, out, packer = Store(root), None, None, None
+        told, said = None, None
         stack = contextlib.ExitStack()
 
         def close() -> None:
@@ -171,8 +168,13 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, pages_an_archive: int =
 
         for rows in batches:
             names = []
-            columns = [rows.column(x).to_pylist() for x in ("archive", "page_id", "url", "payload", "digest", "bytes", "first")]
-            for archive, page, url, payload, sha1, size, first in zip(*columns, strict=True):
+            columns = [rows.column(x).to_pylist() for x in ("archive", "page_id", "url", "digest", "payload", "first")]
+            for archive, page, url, digest, text, names_first in zip(*columns, strict=True):
+                if text is None:
+                    told, said = (page, url, digest), names_first
+                    continue
+                payload, sha1 = text.encode(), base64.b32encode(bytes.fromhex(digest)).decode()
+                size, first = len(payload), said if told == (page, url, digest) else None
                 if archive != current:
                     close()
                     current, packer = archive, zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -204,11 +206,16 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, pages_an_archive: int =
                             column.append(value)
                 yield batch(READ, **dict(zip(READ.names, out, strict=True)))
 
-    digested = pages.select("page_id", "url", "html").mapInArrow(digest, "page_id long, url string, payload binary, digest string, bytes long")
-    firsts = digested.groupBy("digest").agg(F.min("page_id").alias("first"))
     archives = max(1, pages.count() // pages_an_archive)
-    joined = digested.join(firsts, "digest").withColumn("archive", F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)).cast("int"))
-    laid = joined.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "url")
+    archive = F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)).cast("int").alias("archive")
+    text = F.coalesce("html", F.lit(""))
+    keyed = pages.select(archive, "page_id", "url", F.sha1(text).alias("digest"), text.alias("payload"))
+    firsts = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Payloads go through one shuffle, by archive; the first pages join their digests and travel beside them.
+    told = keyed.select("archive", "page_id", "url", "digest").distinct().join(firsts.select("digest", "first"), "digest")
+    rows = told.withColumn("payload", F.lit(None).cast("string")).unionByName(keyed.withColumn("first", F.lit(None).cast("long")))
+    order = ["archive", "page_id", "url", "digest", F.col("payload").isNotNull()]
+    laid = rows.repartition(archives, "archive").sortWithinPartitions(*order).select("archive", "page_id", "url", "digest", "payload", "first")
     work = Workspace(spark, "warc-list")
     names = work.save(laid.mapInArrow(write, "name string"), "archives")
     found = names.distinct().repartition(archives, "name").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long")
