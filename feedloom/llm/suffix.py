@@ -326,7 +326,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     twice = at.groupBy("h").agg(F.min(F.struct("row", "at")).alias("a"), F.max(F.struct("row", "at")).alias("b")).where("a <> b").select("h")
     hot_ends = at.where("not done").join(twice, "h").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
     regions = whole.unionByName(ends).unionByName(hot_ends)
-    return regions.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("regions"))
+    return regions.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("regions"))  # each once, however often a row is repeated
 
 
 def covered(regions: list[dict], length: int, size: int) -> list[tuple[int, int]]:
@@ -350,7 +350,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document without its repeated bytes.
 
     Every byte of a passage of ``length`` bytes that starts anywhere else too goes. A null text counts as
-    empty; each row is a text of its own, also where rows repeat a doc_id or have none.
+    empty; each row is a text of its own, also where rows repeat a doc_id or have none. Texts may be of any length; an
+    empty table gives no rows; further columns aren't read.
     """
     # Equal rows share a number, and as each of them repeats the other, they lose the same bytes.
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
