@@ -586,5 +586,31 @@ def test_near_dedup_of_the_pipeline_decides_by_row(spark):
     assert collections.Counter((r.doc_id, (r.text or "")[:1]) for r in got) == {(9, "a"): 1, (None, "b"): 1, (5, "c"): 1, (7, "d"): 1, (8, ""): 1, (None, ""): 1}
 
 
+def test_pipeline_stages_take_odd_rows_and_none(spark):
+    import corpus_pipeline as P
+
+    for rows in (ODD, ODD[:0]):
+        docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, carry string, row long, shard int")
+        for name, stage in P.STAGES:
+            kept = stage(spark, docs, "/root/testdata/sf0.001")
+            found = kept.collect()
+            if name == "packing":
+                assert sum(r.piece == 0 for r in found) == len(rows)
+                continue
+            assert kept.columns == P.COLUMNS
+            key = collections.Counter((r.doc_id, r.n_chars if name == "pii" else r.text) for r in found)
+            want = collections.Counter((r[0], r[4] if name == "pii" else r[1]) for r in rows)
+            if name == "toxicity":
+                assert key == want  # none of them is toxic
+            elif name == "near-dedup":
+                assert key <= want and len(found) == (len(rows) and len({frozenset(shingles(r[1])) for r in rows if shingles(r[1])}) - 1 + sum(not shingles(r[1]) for r in rows))
+            elif name == "pii":
+                assert len(found) == len(rows)
+            else:
+                assert set(key) <= set(want)
+            if name in ("toxicity", "pii"):
+                assert sum(r.text is None for r in found) == sum(r[1] is None for r in rows)
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
