@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: toxicity, near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the
-columns of documents; the mix repeats a row as often as its source's target takes it.
+columns of documents; the mix repeats a row as often as its source's target takes it. Rows count, not ids: repeated
+rows and null ids are documents like others. Null, empty and very long texts pass every stage, ``docs`` without rows gives
+none, and of further columns of ``docs`` none is kept.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; trained on all labelled documents of the table."""
+    """Documents that score below the threshold; trained on all labelled documents of the table. Null and empty texts stay, with the score of no evidence."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs.select(COLUMNS), model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate rows the one with the smallest doc_id; null ids come last, and rows decide, not ids."""
+    """Of each group of near-duplicate rows the one with the smallest doc_id; null ids come last, and of ties any one. Rows without words all stay."""
     rows = Workspace(spark, "near-dedup").save(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = minhash.near_duplicates(rows, SIMILARITY, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*COLUMNS).alias("content"), "row")
@@ -37,7 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by the kind in angle brackets; n_chars follows the text."""
+    """Every document, its personal data replaced by the kind in angle brackets; n_chars follows a changed text. Null stays null."""
     schema = docs.select(COLUMNS).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,12 +55,12 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, dealt to the mix's shards and shuffled within each."""
+    """Each document as often as the mix takes it, dealt to the mix's shards and shuffled within each. Those without words add none, and a null source is one of its own."""
     return mixing.mixed_rows(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
+    """Every piece of every document with its sequence and its place there; a null or empty text is the end id alone."""
     return packing.pack(docs, tokenizer_path())
 
 
