@@ -113,6 +113,49 @@ def episode_audio(episodes: DataFrame, audio: DataFrame) -> DataFrame:
     return j.select("id", F.coalesce("by_title.url", "by_number.url").alias("url"), F.when(F.col("by_title").isNotNull(), "title").when(F.col("by_number").isNotNull(), "number").alias("how"))
 
 
+def duplicate_feeds(feeds: DataFrame, dismissed: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """(tier, key, members): groups of feeds (feed, title, folder) that may be one, but for dismissed (tier, key) ones.
+
+    Tiers: same_folder and cross_folder (one canonical address), query_pairs (alike but for the query), upgradable (alike but for
+    the scheme), title_groups (one title, at most ``most`` feeds). Members are sorted and joined by spaces.
+    """
+    canonical = url.canonical_feed_url(F.col("feed"))
+    bare = F.regexp_replace(canonical, "[?#].*$", "")
+    members = F.array_join(F.array_sort(F.collect_set("feed")), " ").alias("members")  # the spellings of one address, or few by ``most``
+
+    def tier(name: str, key: Column, having: Column, rows: DataFrame = feeds) -> DataFrame:
+        grouped = rows.withColumn("key", key).where("key is not null and key <> ''").groupBy("key").agg(
+            F.countDistinct("feed").alias("n"), F.countDistinct("folder").alias("folders"), F.countDistinct(canonical).alias("addresses"), F.countDistinct(F.regexp_extract("feed", "^[a-z]+:", 0)).alias("schemes"), members
+        )
+        return grouped.where((F.col("n") > 1) & having).select(F.lit(name).alias("tier"), "key", "members")
+
+    one = F.col("addresses") == 1
+    small = feeds.join(feeds.groupBy(F.lower("title").alias("t")).agg(F.countDistinct("feed").alias("n")).where(F.col("n").between(2, most)), F.lower("title") == F.col("t"), "left_semi")
+    out = tier("same_folder", canonical, one & (F.col("folders") == 1)).unionByName(tier("cross_folder", canonical, one & (F.col("folders") > 1)))
+    out = out.unionByName(tier("query_pairs", bare, F.col("addresses") > 1)).unionByName(tier("upgradable", F.regexp_replace(canonical, "^[a-z]+://", ""), F.col("schemes") > 1))
+    out = out.unionByName(tier("title_groups", F.lower("title"), F.lit(True), small))
+    return out if dismissed is None else out.join(dismissed.select("tier", "key"), ["tier", "key"], "left_anti")
+
+
+def saved_duplicates(saved: DataFrame, least: int = 5) -> DataFrame:
+    """(feed, id, kept_feed, kept_id, tier): saved copies with the one to keep: with content, then by https, then the oldest.
+
+    Confirmed ones share a link key or a host and slug; possible ones only a title of ``least`` words.
+    """
+    rank = [F.desc(F.coalesce(F.length("content") > 0, F.lit(False))), F.desc(F.col("link").startswith("https:")), F.asc("published"), *[F.asc(c) for c in KEY]]
+    words = F.split(F.trim(text.normal_title(F.col("title"))), " ")
+
+    def copies(rows: DataFrame, key: Column, tier: str) -> DataFrame:
+        w = Window.partitionBy("key").orderBy(*rank)
+        k = rows.withColumn("key", key).where("key is not null").withColumn("k", F.first(F.struct(*KEY)).over(w)).withColumn("n", F.row_number().over(w))
+        return k.where("n > 1").select(*KEY, F.col("k.feed").alias("kept_feed"), F.col("k.id").alias("kept_id"), F.lit(tier).alias("tier"))
+
+    by_link = copies(saved, url.link_key(F.col("link")), "confirmed")
+    by_slug = copies(saved.join(by_link, KEY, "left_anti"), url.host_slug(F.col("link")), "confirmed")
+    sure = by_link.unionByName(by_slug)
+    return sure.unionByName(copies(saved.join(sure, KEY, "left_anti"), F.when(F.size(words) >= least, F.concat_ws(" ", words)), "possible"))
+
+
 # --- maintenance -------------------------------------------------------------------------------------------------------
 
 

@@ -196,11 +196,11 @@ def i1(s, d):
 
 
 @query("i4_deduplicate_rule", f"""WITH {ENTRIES}, k AS (SELECT *, regexp_extract(link, '[^/]*$') AS slug, feed AS host FROM entries WHERE feed <> 'https://src3.example.com/feed'),
-    g AS (SELECT *, CASE WHEN epoch(published)::BIGINT - lag(epoch(published)::BIGINT) OVER w <= 259200 THEN 0 ELSE 1 END AS b FROM k WHERE length(slug) >= 3 WINDOW w AS (PARTITION BY host, slug ORDER BY published, feed, id)),
+    g AS (SELECT *, CASE WHEN epoch(published)::BIGINT - lag(epoch(published)::BIGINT) OVER w <= 1080000 THEN 0 ELSE 1 END AS b FROM k WHERE length(slug) >= 3 WINDOW w AS (PARTITION BY host, slug ORDER BY published, feed, id)),
     r AS (SELECT *, sum(b) OVER (PARTITION BY host, slug ORDER BY published, feed, id ROWS UNBOUNDED PRECEDING) AS run FROM g),
     f AS (SELECT *, first_value(id) OVER (PARTITION BY host, slug, run ORDER BY published, feed, id) AS kept_id FROM r) SELECT id, kept_id FROM f WHERE id <> kept_id""")
 def i4(s, d):
-    return L.duplicates(entries(s, d), "slug", 72, excluded=["https://src3.example.com/feed"]).select("id", "kept_id")
+    return L.duplicates(entries(s, d), "slug", 300, excluded=["https://src3.example.com/feed"]).select("id", "kept_id")
 
 
 @query("g16_title_groups", f"""WITH {ENTRIES}, w AS (SELECT *, trim(regexp_replace(lower(title), ' +', ' ', 'g')) AS key FROM entries WHERE regexp_full_match(title, '[a-zA-Z ]*')),
@@ -216,6 +216,29 @@ def g20(s, d):
     return L.cleanup(entries(s, d), "https://src2.example.com/feed").select("id", "mode")
 
 
+@query("g22_duplicate_feeds", """WITH b AS (SELECT page_id, 'https://f' || page_id || '.org/feed' AS base FROM pages WHERE page_id % 11 > 0), x AS (SELECT CASE page_id % 5 WHEN 0 THEN 'same_folder' WHEN 1 THEN 'cross_folder' WHEN 2 THEN 'query_pairs' WHEN 3 THEN 'title_groups' ELSE 'upgradable' END AS tier,
+    CASE page_id % 5 WHEN 3 THEN 'feed ' || page_id WHEN 4 THEN substr(base, 9) ELSE base END AS key, base, CASE page_id % 5 WHEN 0 THEN base || '/' WHEN 1 THEN base || '/' WHEN 2 THEN base || '?x=1' WHEN 3 THEN 'https://g' || page_id || '.org/rss' ELSE 'http://f' || page_id || '.org/feed' END AS other FROM b)
+    SELECT tier, key, CASE WHEN tier = 'upgradable' THEN other || ' ' || base ELSE base || ' ' || other END AS members FROM x""")
+def g22(s, d):
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    base = F.concat(F.lit("https://f"), n, F.lit(".org/feed"))
+    other = F.when(k < 2, F.concat(base, F.lit("/"))).when(k == 2, F.concat(base, F.lit("?x=1"))).when(k == 3, F.concat(F.lit("https://g"), n, F.lit(".org/rss"))).otherwise(F.concat(F.lit("http://f"), n, F.lit(".org/feed")))
+    p = t(s, d, "pages")
+    title = F.concat(F.lit("Feed "), n)
+    rows = p.select(base.alias("feed"), title.alias("title"), F.lit("a").alias("folder")).unionByName(p.select(other.alias("feed"), F.when(k == 3, F.upper(title)).otherwise(F.concat(title, F.lit("b"))).alias("title"), F.when(k == 1, "b").otherwise("a").alias("folder")))
+    names = F.when(k == 0, "same_folder").when(k == 1, "cross_folder").when(k == 2, "query_pairs").when(k == 3, "title_groups").otherwise("upgradable")
+    gone = p.where("page_id % 11 = 0").select(names.alias("tier"), F.when(k == 3, F.lower(title)).when(k == 4, F.substring(base, 9, 100)).otherwise(base).alias("key"))
+    return L.duplicate_feeds(rows, gone)
+
+
+@query("g21_saved_tiers", f"""WITH {ENTRIES}, s AS (SELECT * FROM entries), a AS (SELECT *, row_number() OVER w AS n, first_value(id) OVER w AS k FROM s WINDOW w AS (PARTITION BY link ORDER BY published, feed, id)),
+    b AS (SELECT *, row_number() OVER w AS m, first_value(id) OVER w AS j FROM a WHERE n = 1 AND length(regexp_extract(link, '[^/]*$')) >= 3 WINDOW w AS (PARTITION BY feed, regexp_extract(link, '[^/]*$') ORDER BY published, feed, id))
+    SELECT id, k AS kept_id, 'confirmed' AS tier FROM a WHERE n > 1 UNION ALL SELECT id, j, 'confirmed' FROM b WHERE m > 1""")
+def g21(s, d):
+    """Titles hold no word here, so that nothing is merely possible; tests cover that tier."""
+    return L.saved_duplicates(entries(s, d).withColumn("title", F.lit(""))).select("id", "kept_id", "tier")
+
+
 @query("j1_prune_with_tombstones", f"WITH {ENTRIES}, p AS (SELECT * FROM entries WHERE read AND published < TIMESTAMP '2024-01-20 00:00:00' AND NOT starred AND feed <> 'https://src2.example.com/feed') SELECT id, published AS read_at FROM p")
 def j1(s, d):
     e = entries(s, d)
@@ -230,13 +253,13 @@ def j4(s, d):
     return L.purgeable(e.select("feed", "id"), e.where("number % 4 <> 0"), e.where("starred")).select("id")
 
 
-@query("j6_reattached", f"""WITH {ENTRIES}, live AS (SELECT link, min(id) AS id, count(*) AS n FROM entries WHERE number % 4 <> 0 GROUP BY link HAVING count(*) = 1),
-    o AS (SELECT e.id AS old_id, l.id, e.published FROM entries e JOIN live l USING (link) WHERE number % 4 = 0 AND l.id NOT IN (SELECT id FROM entries WHERE number % 4 = 1 OR number % 4 = 0))
+@query("j6_reattached", f"""WITH {ENTRIES}, live AS (SELECT link, min(id) AS id, count(*) AS n FROM entries WHERE number % 3 <> 0 GROUP BY link HAVING count(*) = 1),
+    o AS (SELECT e.id AS old_id, l.id, e.published FROM entries e JOIN live l USING (link) WHERE number % 3 = 0 AND l.id NOT IN (SELECT id FROM entries WHERE number % 3 < 2))
     SELECT old_id, id FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY published DESC, old_id) = 1""")
 def j6(s, d):
     e = entries(s, d)
-    captures = e.where("number % 4 in (0, 1)").select("feed", "id", "link", F.col("published").alias("saved_at"))
-    return L.reattached(captures, e.where("number % 4 <> 0")).select("old_id", "id")
+    captures = e.where("number % 3 in (0, 1)").select("feed", "id", "link", F.col("published").alias("saved_at"))
+    return L.reattached(captures, e.where("number % 3 <> 0")).select("old_id", "id")
 
 
 @query("j9_reclaimed", "SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' THEN CASE WHEN user_id % 4 >= 3 THEN 'failed' ELSE 'pending' END WHEN event_type = 'view' THEN 'in_progress' ELSE 'complete' END AS status FROM events")

@@ -14,9 +14,9 @@ from feedloom.plans.registry import query, t
 ROUND = 4
 
 
-@query("a1_point_lookup", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 33 AND l_linenumber = 1")
+@query("a1_point_lookup", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7 AND l_linenumber = 1")
 def a1(s, d):
-    return t(s, d, "lineitem").where("l_orderkey = 33 and l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity")
+    return t(s, d, "lineitem").where("l_orderkey = 7 and l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("a4_key_membership", "SELECT o_orderkey, o_totalprice FROM orders WHERE (o_custkey, o_orderstatus) IN (SELECT c_custkey, 'F' FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -126,11 +126,11 @@ def e2(s, d):
     return E.in_scope(t(s, d, "supplier"), feeds, ["s_nationkey"]).select("s_suppkey")
 
 
-@query("e4_inbox", """SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'""")
+@query("e4_inbox", """SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND user_id % 3 = 0""")
 def e4(s, d):
     ev = t(s, d, "events")
     stars = ev.where("event_type = 'purchase'").select("user_id").distinct()
-    return E.in_scope(stars, ev.where("event_type = 'signup'"), ["user_id"], inside=False)
+    return E.in_scope(stars, ev.where("event_type = 'signup' and user_id % 3 = 0"), ["user_id"], inside=False)
 
 
 @query("e6_text_search", """SELECT doc_id, source FROM documents WHERE contains(lower(concat_ws(chr(10), text, source, lang)), 'the') AND contains(lower(concat_ws(chr(10), text, source, lang)), 'src1')""")
@@ -138,9 +138,9 @@ def e6(s, d):
     return E.search(t(s, d, "documents"), ["The", "src1"], ["text", "source", "lang"]).select("doc_id", "source")
 
 
-@query("e7_kept_search", """SELECT doc_id FROM documents WHERE contains(lower(concat_ws(chr(10), text, source)), '%') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+@query("e7_kept_search", """SELECT doc_id FROM documents WHERE contains(lower(concat_ws(chr(10), text, source)), '%') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def e7(s, d):
-    return E.in_scope(E.search(t(s, d, "documents"), ["%"], ["text", "source"]), t(s, d, "labels").where("quality = 1"), ["doc_id"]).select("doc_id")
+    return E.in_scope(E.search(t(s, d, "documents"), ["%"], ["text", "source"]), t(s, d, "labels").where("quality = 0"), ["doc_id"]).select("doc_id")
 
 
 @query("e11_time_range", "SELECT event_id FROM events WHERE ts IS NULL OR ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00'")
@@ -213,9 +213,9 @@ def g3(s, d):
     return t(s, d, "documents").join(saved, "doc_id", "left").select("doc_id", F.coalesce("is_saved", F.lit(False)).alias("is_saved"))
 
 
-@query("g6_enqueue", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("g6_enqueue", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def g6(s, d):
-    return t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t(s, d, "customer").join(t(s, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("g7_curated_orphans", """SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id < 3000)
@@ -251,13 +251,6 @@ def g16(s, d):
     return docs.join(g, "k").where("doc_id <> keeper").select(F.col("doc_id").alias("marked"), "keeper")
 
 
-@query("g22_duplicate_tiers", """WITH k AS (SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://(www\\.)?', ''), '[?#].*$', '')) AS k FROM pages)
-    SELECT k, count(*) AS members FROM k GROUP BY k HAVING count(*) BETWEEN 2 AND 5""")
-def g22(s, d):
-    key = F.lower(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://(www\.)?", ""), "[?#].*$", ""))
-    return t(s, d, "pages").groupBy(key.alias("k")).agg(F.count("*").alias("members")).where("members between 2 and 5")
-
-
 @query("g24_last_post", "SELECT user_id, max(ts) AS last_post FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id")
 def g24(s, d):
     return t(s, d, "events").where("event_type in ('view', 'click')").groupBy("user_id").agg(F.max("ts").alias("last_post"))
