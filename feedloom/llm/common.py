@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into numpy arrays at once.
@@ -132,23 +132,39 @@ def signed(h: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b long), for each id that has an edge.
 
-    Every vertex takes the smallest label among its neighbours, then the label of its label, until no
-    label changes. A hub's edges stay separate rows: minima are aggregated before the shuffle and the
-    joins are plain equi-joins, so adaptive execution can split a hub.
+    Every vertex takes the label of the smallest label among its own and its neighbours', until no label changes.
+    Each step is one written table. A hub's edges stay separate rows: minima are aggregated before the shuffle and
+    the joins are plain equi-joins, so adaptive execution can split a hub.
     """
     pairs = edges.where("a <> b").select("a", "b")
     both = work.save(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
-    labels, kept, step = work.save(labels, f"{name}-0"), f"{name}-0", 0
+    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), f"{name}-0")
+    step = 0
     while True:
         step += 1
         near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
-        moved = labels.join(near, "id").select("id", F.least("component", "seen").alias("component"), (F.col("seen") < F.col("component")).alias("changed"))
-        moved = work.save(moved, f"{name}-{step}a")
-        jump = moved.join(moved.select(F.col("id").alias("component"), F.col("component").alias("next")), "component").select("id", F.col("next").alias("component"), (F.col("changed") | (F.col("next") < F.col("component"))).alias("changed"))
-        after = work.save(jump, f"{name}-{step}")
-        work.drop(kept, f"{name}-{step}a")
-        labels, kept = after.select("id", "component"), f"{name}-{step}"
-        if after.where("changed").limit(1).isEmpty():
+        least = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "seen").alias("next"))
+        moved = least.join(labels.select(F.col("id").alias("next"), "component"), "next").select("id", "old", "component")
+        seen = Observation()
+        after = work.save(moved.observe(seen, F.count_if(F.col("component") < F.col("old")).alias("changed")).select("id", "component"), f"{name}-{step}")
+        work.drop(f"{name}-{step - 1}")
+        labels = after
+        if not seen.get["changed"]:
             work.drop(f"{name}-edges")
             return labels
+
+
+#: Marks of a pre-filter, in words of 64: 131,072 words at most, however many keys.
+MARKS = 1 << 23
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among ``keys``: those whose hash is marked in a table of bounded size, which is broadcast.
+
+    It only spares a join the rows that can't match; the join itself decides.
+    """
+    mark = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(MARKS))
+    words = keys.groupBy(F.floor(mark / 64).alias("marked_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (mark % 64).cast("int"))).alias("marked_bits"))
+    word = F.floor(mark / 64)
+    joined = rows.join(F.broadcast(words), word == F.col("marked_word"))  # at most MARKS / 64 rows
+    return joined.where(F.getbit("marked_bits", (mark % 64).cast("int")) == 1).drop("marked_word", "marked_bits")

@@ -143,7 +143,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = RECAL
     # The blocks of a large bucket meet themselves and the later ones; rows are blocks, not vectors.
     small = packed.where("parts = 1").select("t", "dim", "n", "m")
     large = packed.where("parts > 1")
-    meets = large.join(large.select(*bucket, F.col("part").alias("with"), F.col("m").alias("other")), bucket).where("part <= with").select("t", "n", (F.col("part") == F.col("with")).alias("same"), "m", "other")
+    one = large.select(*bucket, "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("with"), "m")
+    two = large.select(*bucket, F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"), F.col("part").alias("with"), F.col("m").alias("other"))
+    meets = one.join(two, [*bucket, "part", "with"]).select("t", "n", (F.col("part") == F.col("with")).alias("same"), "m", "other")
 
     def links(a: Members, b: Members, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         ends, place = np.unique(np.concatenate([a.ids[i], b.ids[j]]), return_inverse=True)

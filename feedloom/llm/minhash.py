@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, mix, signed, slices, utf8
+from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, marked, mix, signed, slices, utf8
 
 SLOTS = 40
 BITS = 16
@@ -32,7 +32,9 @@ CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Leaders that a class is compared with at most in each round; the exhaustive comparison follows.
 LEADERS = (1, 4)
 #: Shingles in a block of the exhaustive comparison.
-BLOCK = 150_000
+BLOCK = 60_000
+#: Pairs of 64 members and a block beyond which one product over all shared shingles is quicker than pair by pair.
+MANY = 500
 
 
 class Shingler:
@@ -145,7 +147,8 @@ def packed_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
                 sums = [set_hash(x) for x in sets]
                 yield batch(schema, set_1=[a for a, _ in sums], set_2=[b for _, b in sums], n_shingles=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(classes.select("doc_id").distinct(), "doc_id")
+    ids = classes.select("doc_id").distinct()
+    source = marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, "doc_id").join(ids, "doc_id")
     sets = source.select("text").mapInArrow(shingle, "set_1 long, set_2 long, n_shingles long, shingles binary")
     key = ["set_1", "set_2", "n_shingles"]
     return sets.groupBy(*key).agg(F.first("shingles").alias("shingles")).join(classes.select("id", *key), key).select("id", "shingles")
@@ -164,7 +167,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
                     short, long = sorted((len(x) // 8, len(y) // 8))
                     both = 0
                     if den * short >= num * long:
-                        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                        both = shared_hashes(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
                     keep.append(both > 0 and den * both >= num * (short + long - both))
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep)], schema=CHECKED)
@@ -190,8 +193,11 @@ def exhaustive(open_: DataFrame, sets: DataFrame, work: Workspace, similarity: t
     rows = work.save(rows, "members")
     parts = rows.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
     blocks = rows.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    blocks = work.save(blocks.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "signature", "shingles")).alias("m")), "blocks")
-    meets = blocks.join(blocks.select("group", F.col("part").alias("with"), F.col("m").alias("n")), "group").where("part <= with")
+    blocks = work.save(blocks.groupBy("group", "part", "parts").agg(F.collect_list(F.struct("id", "component", "signature", "shingles")).alias("m")), "blocks")
+    # Each pair of a group's blocks is a key of its own, so that a large group is dealt to many tasks.
+    first = blocks.select("group", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("with"), "m")
+    second = blocks.select("group", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"), F.col("part").alias("with"), F.col("m").alias("n"))
+    meets = first.join(second, ["group", "part", "with"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -200,22 +206,50 @@ def exhaustive(open_: DataFrame, sets: DataFrame, work: Workspace, similarity: t
                 (ids_a, of_a, sign_a, own), (ids_b, of_b, sign_b, other) = parted(m), parted(n)
                 size_b = np.array([len(x) for x in other])
                 joined = Forest()
-                for i in range(len(own)):
-                    far = np.zeros(len(other), np.int16)
+                size_a = np.array([len(x) for x in own])
+                shared: tuple[np.ndarray, np.ndarray] | None = None
+                for at in range(0, len(own), 64):
+                    far = np.zeros((len(own[at : at + 64]), len(other)), np.int16)
                     for slot in range(SLOTS):
-                        far += sign_b[:, slot] != sign_a[i, slot]
-                    low, high = np.minimum(size_b, len(own[i])), np.maximum(size_b, len(own[i]))
-                    for j in np.flatnonzero((far <= errors) & (of_b != of_a[i]) & (den * low >= num * high)).tolist():
-                        if joined.together(int(of_a[i]), int(of_b[j])):
-                            continue
-                        both = len(np.intersect1d(own[i], other[j], assume_unique=True))
-                        if both and den * both >= num * (len(own[i]) + len(other[j]) - both):
-                            joined.join(int(of_a[i]), int(of_b[j]), (int(ids_a[i]), int(ids_b[j])))
+                        far += sign_a[at : at + 64, slot][:, None] != sign_b[:, slot][None, :]
+                    size = size_a[at : at + 64][:, None]
+                    near = (far <= errors) & (of_a[at : at + 64][:, None] != of_b[None, :]) & (den * np.minimum(size, size_b) >= num * np.maximum(size, size_b))
+                    i, j = np.nonzero(near)
+                    if len(i) > MANY:
+                        if shared is None:
+                            columns = np.intersect1d(np.concatenate(own), np.concatenate(other))
+                            shared = incidence(own, columns), incidence(other, columns).T
+                        both = (shared[0][at : at + 64] @ shared[1])[i, j]
+                    else:
+                        both = np.array([shared_hashes(own[at + x], other[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], float)
+                    linked = (both > 0) & (den * both >= num * (size_a[at + i] + size_b[j] - both))
+                    for x, y in zip((at + i[linked]).tolist(), j[linked].tolist(), strict=True):
+                        if not joined.together(int(of_a[x]), int(of_b[y])):
+                            joined.join(int(of_a[x]), int(of_b[y]), (int(ids_a[x]), int(ids_b[y])))
                 yield batch(CHECKED, a=[x for x, _ in joined.links], b=[y for _, y in joined.links])
 
     return meets.select("m", "n").mapInArrow(compare, "a long, b long")
 
 
+def shared_hashes(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the sorted distinct hashes are in both."""
+    place = np.searchsorted(b, a)
+    place[place == len(b)] = 0
+    return int(np.count_nonzero(b[place] == a))
+
+
+def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """(sets, columns): which set holds which of the sorted columns."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    if len(columns):
+        row, every = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        place = np.searchsorted(columns, every)
+        place[place == len(columns)] = 0
+        held = columns[place] == every
+        out[row[held], place[held]] = 1
+    return out
+
+
 def parted(block: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Ids, components, signatures and sets of a block's members."""
     ids, of = (block.field(x).to_numpy(zero_copy_only=False) for x in ("id", "component"))
