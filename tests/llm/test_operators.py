@@ -498,8 +498,9 @@ def components_of(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 200])
-def test_minhash(spark, docs, block, monkeypatch):
+@pytest.mark.parametrize(("block", "many"), [(minhash.BLOCK, minhash.MANY), (200, minhash.MANY), (20_000, 0)])
+def test_minhash(spark, docs, block, many, monkeypatch):
+    monkeypatch.setattr(minhash, "MANY", many)
     if block < minhash.BLOCK:
         monkeypatch.setattr(minhash, "LEADERS", ())  # everything is left to the last round, in many blocks
     more = [(5, BASE + " end"), (5, "quite another text of more than five words"), (9, BASE), (9, BASE), (9, BASE), (None, BASE)]
