@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions import dates, html, text, url
+from feedloom.functions import dates, html, page, text, url
 from feedloom.operators import entries as E
-from feedloom.operators import rules, state
-from feedloom.sources import feeds
+from feedloom.operators import lifecycle, rules, state
+from feedloom.sources import feeds, parse
 from feedloom.streaming import health, sinks
 
 
@@ -132,12 +132,68 @@ def test_stream_replaces_by_key(spark, tmp_path):
         sink = sinks.replacing(str(tmp_path / "out"), ["entry"], ["entry", "tag"], [F.desc("n")])
         q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).collect()}
+    got = {tuple(r) for r in sinks.current(spark, str(tmp_path / "out"), "entry string, tag string, n long").select("entry", "tag", "n").collect()}
     assert got == {("e", "c", 3), ("f", "a", 1)}
 
 
+def test_a_sink_rewrites_only_touched_buckets(spark, tmp_path):
+    schema, out = "entry string, tag string, n long", str(tmp_path / "t")
+    sink = sinks.replacing(out, ["entry"], ["entry", "tag"], [F.desc("n")], buckets=8)
+    want = {}
+    for batch in range(4):
+        rows = [(f"e{k}", f"t{batch}-{j}", j) for k in range(batch, 20, 3 + batch) for j in range(2)]
+        for again in range(2):  # a batch may run twice
+            sink(spark.createDataFrame(rows, schema), batch)
+        want |= {e: {r for r in rows if r[0] == e} for e, _, _ in rows}
+        got = {tuple(r) for r in sinks.current(spark, out, schema).collect()}
+        assert got == set().union(*want.values())
+    sink(spark.createDataFrame([("e0", "x", 1)], schema), 4)
+    assert len(list((tmp_path / "t" / "batch=4").glob("bucket=*"))) == 1
+
+
 def test_page_outline():
     page = '<head><link rel="alternate" type="application/rss+xml" href="/feed" title="F"></head><ul class="list x"><li><a href="/1">1</a><li><a href="/2">2</a></ul><p><a href="#top">t</a>'
     o = html.outlined(page, "http://a.b/")
     assert o.feeds == [("http://a.b/feed", "F")]
     assert o.anchors == [("ul.list a", "http://a.b/1"), ("ul.list a", "http://a.b/2")]
+
+
+@pytest.mark.parametrize("given, want", [("January 3, 2024", "2024-01-03"), ("Posted: 3 Jan 2024", "2024-01-03"), ("2024-01-03", "2024-01-03"), ("Sept. 5th, 2021", "2021-09-05"), ("on the 3 Jan 2024", None), ("2024", None), ("Foo 3, 2024", None)])
+def test_written_dates(spark, given, want):
+    got = one(spark, page.written_date(F.lit(given)))
+    assert (None if got is None else str(got)) == want
+
+
+@pytest.mark.parametrize("body, kind", [("RSS", "rss"), ("Atom", "atom"), ("JSON", "json")])
+def test_feeds_in_three_forms(spark, body, kind):
+    texts = {
+        "RSS": "\ufeff <?xml version='1.0'?><rss><channel><title>f</title><item><guid isPermaLink='false'>1</guid><title>A &amp; B</title><link>http://a.b/1</link><pubDate>Wed, 3 Jan 2024 04:05:06 GMT</pubDate><category>x</category></item></channel></rss>",
+        "Atom": "<feed xmlns='http://www.w3.org/2005/Atom'><entry><id>1</id><title>A &amp; B</title><link rel='self' href='http://a.b/self'/><link href='http://a.b/1'/><updated>2024-01-03T04:05:06Z</updated><category term='x' label='y'/></entry></feed>",
+        "JSON": '{"version":"1.1","items":[{"id":"1","title":"A & B","url":"http://a.b/1","date_published":"2024-01-03T04:05:06Z","tags":["x"]}]}',
+    }
+    row = parse.parsed(spark.createDataFrame([("f", texts[body])], "feed string, text string")).first()
+    assert (row.feed, row.id, row.title, row.link, str(row.published), row.tags) == ("f", "1", "A & B", "http://a.b/1", "2024-01-03 04:05:06", ["x"])
+    assert parse.parsed(spark.createDataFrame([("f", "not a feed"), ("g", None)], "feed string, text string")).count() == 0
+
+
+def test_signatures_are_those_of_hmac(spark):
+    import hashlib
+    import hmac
+
+    for secret in (b"k", b"x" * 100):
+        assert one(spark, parse.signed_by(secret, F.lit("bödy"))) == hmac.new(secret, "bödy".encode(), hashlib.sha256).hexdigest()
+
+
+def test_modes_of_the_duplicate_rule(spark):
+    rows = [("f", "1", "alpha beta gamma delta epsilon", "http://a.b/one-post", 0, "x"), ("g", "2", "Alpha beta, gamma delta epsilon!", "http://c.d/other", 5, "y"), ("h", "3", "alpha beta gamma delta zeta", "http://www.a.b/one-post/", 9, "z"), ("f", "4", "alpha beta gamma delta epsilon", "http://e.f/late", 900, "x")]
+    e = spark.createDataFrame(rows, "feed string, id string, title string, link string, h int, content string").withColumn("published", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600))
+    found = lambda mode, **how: {(r.id, r.kept_id) for r in lifecycle.duplicates(e, mode, **how).collect()}
+    assert found("slug") == {("3", "1")} and found("title") == {("2", "1")} and found("title", hours=10_000) == {("2", "1"), ("4", "1")}
+    assert found("fuzzy", percent=60) == {("2", "1"), ("3", "1")} and found("fuzzy", percent=90) == {("2", "1")} and found("title", excluded=["g"]) == set()
+    assert found("safe") == set()
+
+
+def test_saved_copies_keep_the_one_with_content(spark):
+    rows = [("f", "1", "a b c d e", "http://x.y/1?utm_source=q", "", 1), ("g", "2", "t", "https://x.y/1?utm_source=q", "body", 2), ("h", "3", "a b c d e", "http://z.w/9", "body", 3), ("i", "4", "A, b c d e", "http://q.r/8", "", 4)]
+    e = spark.createDataFrame(rows, "feed string, id string, title string, link string, content string, published int")
+    assert {tuple(r) for r in lifecycle.saved_duplicates(e).collect()} == {("f", "1", "g", "2", "confirmed"), ("i", "4", "h", "3", "possible")}
