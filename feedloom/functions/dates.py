@@ -46,15 +46,14 @@ def pacific_day(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, "America/Los_Angeles"))
 
 
-#: Where pages state their date, in order of trust.
-PAGE_DATES = {
-    "og": r'(?i)<meta[^>]+property="article:published_time"[^>]+content="([0-9-]{10})',
-    "json-ld": r'"datePublished"\s*:\s*"([0-9-]{10})',
-    "time": r'(?i)<time[^>]+datetime="([0-9-]{10})',
-}
+#: Where pages state their date, in order of trust; any date of a <time> comes last, as the first may be a comment's.
+META_DATES = {"og": "article:published_time", "itemprop": "datePublished", "meta": r"(?:date|pubdate|publish-date|DC\.date[^\"']*)"}
 
 
-def in_page(html: Column) -> Column:
-    """(date, source) of the first place that states a valid date; null where none does."""
+def in_page(html: Column, saved: Column | None = None) -> Column:
+    """(date, source) of the first place that states a valid date, not after the day behind ``saved``; null where none does."""
+    meta = lambda name: [rf"""(?i)<meta\b(?=[^>]*\b(?:property|name|itemprop)\s*=\s*["']{name}["'])[^>]*\bcontent\s*=\s*["']([0-9-]{{10}})"""]
+    places = [("og", meta(META_DATES["og"])[0]), ("json-ld", r'"datePublished"\s*:\s*"([0-9-]{10})'), ("itemprop", meta(META_DATES["itemprop"])[0]), ("meta", meta(META_DATES["meta"])[0]), ("time", r"""(?i)<time\b[^>]*\bdatetime\s*=\s*["']([0-9-]{10})""")]
     found = lambda p: F.try_to_date(F.nullif(F.regexp_extract(html, p, 1), F.lit("")), "yyyy-MM-dd")
-    return F.coalesce(*[F.when(F.year(found(p)) > 1990, F.struct(found(p).alias("date"), F.lit(name).alias("source"))) for name, p in PAGE_DATES.items()])
+    valid = lambda d: (F.year(d) > 1990) if saved is None else (F.year(d) > 1990) & (d <= F.date_add(F.to_date(saved), 1))
+    return F.coalesce(*[F.when(valid(found(p)), F.struct(found(p).alias("date"), F.lit(name).alias("source"))) for name, p in places])

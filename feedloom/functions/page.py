@@ -167,6 +167,32 @@ def markup(body: Column) -> Column:
     )
 
 
+#: What challenge pages say in their head, in the order of the tests, and whose they are.
+CHALLENGES = (
+    ("/.well-known/sgcaptcha", "SiteGround captcha"),
+    ("cf-browser-verification", "Cloudflare challenge"),
+    ("challenge-platform", "Cloudflare challenge"),
+    ("cf_chl_", "Cloudflare challenge"),
+    ("just a moment...", "Cloudflare challenge"),
+    ("attention required! | cloudflare", "Cloudflare block"),
+    ("_incapsula_resource", "Imperva/Incapsula challenge"),
+    ("sucuri_cloudproxy", "Sucuri firewall"),
+    ("ddos-guard", "DDoS-Guard challenge"),
+    ("awswaf", "AWS WAF challenge"),
+    ("/cdn-cgi/challenge", "Cloudflare challenge"),
+)
+
+
+def challenge(content_type: Column, body: Column) -> Column:
+    """Whose bot challenge a response is; null for others, for bodies without markup and for types that aren't a page or plain text."""
+    head = F.lower(F.substring(body, 1, 4096))
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    out = F.lit(None).cast("string")
+    for mark, whose in reversed(CHALLENGES):
+        out = F.when(head.contains(mark), whose).otherwise(out)
+    return F.when(((kind == "") | kind.contains("html") | kind.contains("text/plain")) & head.contains("<"), out)
+
+
 @dataclass(frozen=True)
 class SitePlugin:
     """What to strip from pages of a host, or the one part to keep: by a class of the element."""

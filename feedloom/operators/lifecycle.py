@@ -255,6 +255,43 @@ def due_maintenance(users: DataFrame, now: Column) -> DataFrame:
     return users.where((F.hour(local) == F.col("hour")) & ~F.coalesce(done, F.lit(False)))
 
 
+#: Failures in a row from which a host backs off, its longest wait in seconds, and feeds of a host that is exempt.
+DOMAIN_AFTER, DOMAIN_MOST, DOMAIN_FEEDS = 3, 3600, 8
+
+
+def domain_due(feeds: DataFrame, hosts: DataFrame, base: int = 300) -> DataFrame:
+    """(feed, due): when a feed's host lets it be fetched again, in seconds; null where it doesn't hold it back.
+
+    Hosts are rows (host, failures in a row, last_failure in seconds); a success has set failures to 0. A wait doubles from ``base``. Hosts with many feeds
+    are exempt, and a feed (feed, host, updated) that was never updated gets its first fetch.
+    """
+    many = feeds.groupBy("host").agg(F.count("*").alias("n"))
+    wait = F.least(F.lit(float(DOMAIN_MOST)), F.lit(base) * F.pow(F.lit(2.0), F.least(F.col("failures") - DOMAIN_AFTER, F.lit(30)))).cast("long")
+    j = feeds.join(many, "host").join(hosts, "host", "left")
+    held = (F.col("failures") >= DOMAIN_AFTER) & (F.col("n") < DOMAIN_FEEDS) & F.col("updated").isNotNull()
+    return j.select("feed", F.when(held, F.col("last_failure") + wait).alias("due"))
+
+
+# --- properties ----------------------------------------------------------------------------------------------------------
+
+
+def folder_properties(entries: DataFrame, feeds: DataFrame, tombstones: DataFrame, top: int = 3) -> DataFrame:
+    """(folder, feed_count, total, unread, oldest, deleted, top_feeds) of every folder; counts are by feed before they meet the folders."""
+    per = entries.groupBy("feed").agg(F.count("*").alias("n"), F.count_if(~F.col("read")).alias("u"), F.min("published").alias("o"))
+    gone = tombstones.groupBy("feed").agg(F.count("*").alias("d"))
+    j = feeds.select("feed", "folder").join(per, "feed", "left").join(gone, "feed", "left").fillna(0, ["n", "u", "d"])
+    ranked = j.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("n"), "feed")))
+    best = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= top, F.struct("place", "feed")))), lambda x: x["feed"])  # at most ``top``
+    return ranked.groupBy("folder").agg(F.count("*").alias("feed_count"), F.sum("n").alias("total"), F.sum("u").alias("unread"), F.min("o").alias("oldest"), F.sum("d").alias("deleted"), best.alias("top_feeds"))
+
+
+def captions(entries: DataFrame) -> DataFrame:
+    """(feed, id, caption): the title as a picture's caption, null where another entry of the feed has it too."""
+    repeated = entries.groupBy("feed", "title").agg(F.count("*").alias("n")).where("n > 1")
+    j = entries.select(*KEY, "title").join(repeated, ["feed", "title"], "left")
+    return j.select(*KEY, F.when(F.col("n").isNull(), F.col("title")).alias("caption"))
+
+
 # --- projections ----------------------------------------------------------------------------------------------------------
 
 
@@ -280,3 +317,32 @@ def file_assets(assets: DataFrame) -> DataFrame:
     ending = url.attachment_extension(F.col("url"))
     wrong = F.coalesce(F.col("mime"), F.lit("")).rlike("^(image|audio|video)/|^text/html|^application/xhtml")
     return assets.where(~wrong & ending.isNotNull() & ~ending.isin(*PAGE_ASSETS)).withColumn("ending", ending)
+
+
+def sync_item(entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(number, body): an entry as sync clients read it, with its states and labels as categories."""
+    e = entries.join(feeds.select("feed", F.col("title").alias("feed_title"), "folder"), "feed")
+    sec = F.coalesce(F.unix_seconds(F.col("published").cast("timestamp")), F.lit(0))
+    state = "user/-/state/com.google/"
+    labels = F.array_compact(F.array(F.lit(state + "reading-list"), F.when(F.col("read"), state + "read"), F.when(F.col("starred"), state + "starred"), F.concat(F.lit("user/-/label/"), "folder")))
+    body = F.struct(
+        F.concat(F.lit("tag:google.com,2005:reader/item/"), text.item_id_hex(F.col("number"))).alias("id"), (sec * 1_000_000).cast("string").alias("timestampUsec"), sec.alias("published"),
+        F.coalesce("title", F.lit("")).alias("title"), F.array(F.struct(F.col("link").alias("href"))).alias("canonical"), F.struct(F.concat(F.lit("feed/"), "feed").alias("streamId"), F.col("feed_title").alias("title")).alias("origin"), labels.alias("categories"),
+    )
+    return e.select("number", F.to_json(body).alias("body"))
+
+
+def fever_item(entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(number, body): an entry in the flat form with numbers as flags; without a date its time is 0."""
+    e = entries.join(feeds.select("feed", F.col("number").alias("feed_id")), "feed")
+    sec = F.coalesce(F.unix_seconds(F.col("published").cast("timestamp")), F.lit(0))
+    body = F.struct(F.col("number").alias("id"), "feed_id", F.coalesce("title", F.lit("")).alias("title"), F.col("link").alias("url"), F.coalesce("starred", F.lit(False)).cast("int").alias("is_saved"), F.coalesce("read", F.lit(False)).cast("int").alias("is_read"), sec.alias("created_on_time"))
+    return e.select("number", F.to_json(body).alias("body"))
+
+
+def marked_read(entries: DataFrame, keys: DataFrame, cutoff: Column, undated: bool) -> DataFrame:
+    """Entries with ``read`` set for those of the given feeds published up to the cutoff; clients differ in whether undated ones count."""
+    hit = keys.select("feed").distinct().withColumn("asked", F.lit(True))
+    j = entries.join(hit, "feed", "left")
+    reached = F.col("asked").isNotNull() & F.coalesce(F.col("published") <= cutoff, F.lit(undated))
+    return j.withColumn("read", F.coalesce("read", F.lit(False)) | reached).drop("asked")

@@ -428,3 +428,70 @@ def p5(s, d):
     'feed': {{'id': f.number, 'feed_url': f.feed, 'title': f.title, 'category': {{'title': folder}}}}}})::VARCHAR AS body FROM entries e JOIN feeds f USING (feed)""")
 def p5b(s, d):
     return L.api_entry(entries(s, d).withColumn("title", F.concat(F.col("id"), F.lit(" t"))), subscribed(s, d))
+
+
+@query("d7_page_date_places", "SELECT page_id, DATE '2020-01-01' + CAST(page_id % 200 AS INTEGER) AS day, CASE page_id % 5 WHEN 0 THEN 'og' WHEN 1 THEN 'json-ld' WHEN 2 THEN 'itemprop' WHEN 3 THEN 'meta' ELSE 'time' END AS source FROM pages")
+def d7(s, d):
+    """Each place beside a later one of less trust, and a date in the future that none may be."""
+    day = F.date_format(F.date_add(F.lit(datetime.date(2020, 1, 1)), (F.col("page_id") % 200).cast("int")), "yyyy-MM-dd")
+    k = F.col("page_id") % 5
+    own = F.when(k == 0, F.concat(F.lit('<meta content="'), day, F.lit('T10:00:00Z" property="article:published_time">'))).when(k == 1, F.concat(F.lit('<script>{"datePublished": "'), day, F.lit('"}</script>'))).when(k == 2, F.concat(F.lit("<meta itemprop='datePublished' content='"), day, F.lit("'>"))).when(k == 3, F.concat(F.lit('<meta name="DC.date.issued" content="'), day, F.lit('">'))).otherwise(F.concat(F.lit('<time class="x" datetime="'), day, F.lit('">')))
+    future = F.when(k > 0, '<meta property="article:published_time" content="2031-01-01">').otherwise("")
+    html = F.concat(future, own, F.when(k < 4, '<time datetime="1999-09-09">').otherwise(""))
+    found = dates.in_page(html, F.lit(datetime.date(2024, 1, 1)))
+    return t(s, d, "pages").select("page_id", found.alias("f")).select("page_id", F.col("f.date").alias("day"), "f.source")
+
+
+@query("e20_sync_items", f"""WITH {ENTRIES}, {FEEDS} SELECT e.number, to_json({{'id': 'tag:google.com,2005:reader/item/' || lpad(lower(to_hex(e.number)), 16, '0'), 'timestampUsec': CAST(epoch(published)::BIGINT * 1000000 AS VARCHAR), 'published': epoch(published)::BIGINT, 'title': e.id, 'canonical': [{{'href': link}}],
+    'origin': {{'streamId': 'feed/' || feed, 'title': f.title}}, 'categories': list_filter(['user/-/state/com.google/reading-list', CASE WHEN read THEN 'user/-/state/com.google/read' END, CASE WHEN starred THEN 'user/-/state/com.google/starred' END, 'user/-/label/' || folder], lambda x: x IS NOT NULL)}})::VARCHAR AS body FROM entries e JOIN feeds f USING (feed)""")
+def e20s(s, d):
+    return L.sync_item(entries(s, d).withColumn("title", F.col("id")), subscribed(s, d))
+
+
+@query("e20_fever_items", f"""WITH {ENTRIES}, {FEEDS} SELECT e.number, to_json({{'id': e.number, 'feed_id': f.number, 'title': e.id, 'url': link, 'is_saved': CAST(starred AS INTEGER), 'is_read': CAST(read AS INTEGER), 'created_on_time': CASE WHEN e.number % 5 = 0 THEN 0 ELSE epoch(published)::BIGINT END}})::VARCHAR AS body FROM entries e JOIN feeds f USING (feed)""")
+def e20f(s, d):
+    e = entries(s, d).withColumn("title", F.col("id")).withColumn("published", F.when(F.col("number") % 5 > 0, F.col("published")))
+    return L.fever_item(e, subscribed(s, d))
+
+
+@query("h2_folder_details", f"""WITH {ENTRIES}, {FEEDS}, p AS (SELECT feed, folder, count(*) AS n, count(*) FILTER (NOT read) AS u, min(published) AS o, count(*) FILTER (starred) AS d FROM feeds JOIN entries USING (feed) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, feed) AS place FROM p)
+    SELECT folder, count(*) AS feed_count, CAST(sum(n) AS BIGINT) AS total, CAST(sum(u) AS BIGINT) AS unread, min(o) AS oldest, CAST(sum(d) AS BIGINT) AS deleted, string_agg(feed, ' ' ORDER BY place) FILTER (place <= 3) AS top_feeds FROM r GROUP BY folder""")
+def h2(s, d):
+    e = entries(s, d)
+    return L.folder_properties(e, subscribed(s, d), e.where("starred")).withColumn("top_feeds", F.array_join("top_feeds", " "))
+
+
+@query("h12_captions", f"WITH {ENTRIES} SELECT id, CASE WHEN count(*) OVER (PARTITION BY feed, title) = 1 THEN title END AS caption FROM entries")
+def h12(s, d):
+    return L.captions(entries(s, d)).select("id", "caption")
+
+
+@query("k11_challenges", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'Cloudflare challenge' WHEN 1 THEN 'AWS WAF challenge' WHEN 2 THEN 'Cloudflare block' END AS whose FROM pages""")
+def k11(s, d):
+    k = (F.col("page_id") % 6).cast("int")
+    bodies = F.array(F.lit("<title>Just a moment...</title>"), F.lit("<script src='AwsWaf.js'>"), F.lit("<h1>Attention Required! | Cloudflare</h1><i>ddos-guard</i>"), F.lit("<feed>awswaf</feed>"), F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 4096), F.lit("awswaf")), F.lit("just a moment..."))
+    kinds = F.array(F.lit("text/html; charset=utf-8"), F.lit(None).cast("string"), F.lit("TEXT/HTML"), F.lit("application/xml"), F.lit("text/html"), F.lit("text/plain"))
+    return t(s, d, "pages").select("page_id", page.challenge(F.get(kinds, k), F.get(bodies, k)).alias("whose"))
+
+
+@query("m2_domain_due", """WITH f AS (SELECT page_id AS feed, page_id % 40 AS host, page_id % 7 > 0 AS fetched FROM pages WHERE page_id % 40 < 38 OR page_id < 200), n AS (SELECT host, count(*) AS n FROM f GROUP BY host)
+    SELECT feed, CASE WHEN host % 6 >= 3 AND n < 8 AND fetched THEN 1700000000 + CASE host % 6 WHEN 3 THEN 900 WHEN 4 THEN 1800 ELSE 3600 END END AS due FROM f JOIN n USING (host)""")
+def m2(s, d):
+    f = t(s, d, "pages").where("page_id % 40 < 38 or page_id < 200").select(F.col("page_id").alias("feed"), (F.col("page_id") % 40).alias("host"), F.when(F.col("page_id") % 7 > 0, 1).alias("updated"))
+    hosts = s.range(40).select(F.col("id").alias("host"), F.when(F.col("id") % 6 == 5, 60).otherwise(F.col("id") % 6).alias("failures"), F.lit(1_700_000_000).cast("long").alias("last_failure"))
+    return L.domain_due(f, hosts, 900)
+
+
+@query("p2_mark_all_read", f"WITH {ENTRIES} SELECT id, read OR (lang = 'de' AND (number % 9 = 0 OR published <= TIMESTAMP '2024-01-15 00:00:00')) AS read FROM entries")
+def p2(s, d):
+    """Streams by language; a ninth of the entries has no date, and this client marks those."""
+    e = entries(s, d).withColumn("published", F.when(F.col("number") % 9 > 0, F.col("published"))).withColumn("feed", F.col("lang"))
+    return L.marked_read(e, s.createDataFrame([("de",)], "feed string"), F.expr("timestamp_ntz'2024-01-15 00:00:00'"), True).select("id", "read")
+
+
+@query("p3_mark_feed_read", f"WITH {ENTRIES} SELECT id, read OR (lang = 'fr' AND number % 9 > 0 AND published <= TIMESTAMP '2024-01-15 00:00:00') AS read FROM entries")
+def p3(s, d):
+    """The other client leaves undated entries alone."""
+    e = entries(s, d).withColumn("published", F.when(F.col("number") % 9 > 0, F.col("published"))).withColumn("feed", F.col("lang"))
+    return L.marked_read(e, s.createDataFrame([("fr",)], "feed string"), F.expr("timestamp_ntz'2024-01-15 00:00:00'"), False).select("id", "read")

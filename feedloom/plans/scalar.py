@@ -49,7 +49,7 @@ def c36(s, d):
     return t(s, d, "pages").select("page_id", url.attachment_extension(F.col("url")).alias("ext"))
 
 
-@query("c10_word_jaccard", None)
+@query("c10_word_jaccard", """WITH w AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM documents), k AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'to', 'in'))) AS b FROM w) SELECT doc_id, round(b / (n + 5 - b), 6) AS similarity FROM k WHERE n IS NOT NULL""")
 def c10(s, d):
     docs = t(s, d, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
     bench = F.array(*[F.lit(x) for x in ("the", "of", "and", "to", "in")])
