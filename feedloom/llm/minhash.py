@@ -193,6 +193,7 @@ def exhaustive(open_: DataFrame, sets: DataFrame, work: Workspace, similarity: t
     rows = work.save(rows, "members")
     parts = rows.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
     blocks = rows.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = blocks.repartition("group", "part")  # or a large group would be gathered in the one task of its join
     blocks = work.save(blocks.groupBy("group", "part", "parts").agg(F.collect_list(F.struct("id", "component", "signature", "shingles")).alias("m")), "blocks")
     # Each pair of a group's blocks is a key of its own, so that a large group is dealt to many tasks.
     first = blocks.select("group", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("with"), "m")
