@@ -208,8 +208,9 @@ def _nearest(clean: DataFrame, work: Workspace, dim: int, rows: int, top: float,
     index.cells = boxes["cell"].to_numpy()
     index.lows, index.highs = (boxes[[f"{x}{i}" for i in range(DIMENSIONS)]].to_numpy() for x in "lh")
     # A cell that ties keep large is cut into parts by a hash; all of them are searched.
-    large = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * size)).cast("int").alias("parts"))
+    large = work.save(placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * size)).cast("int").alias("parts")), f"parts-{dim}")
     salted = placed.join(large, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(SEED + 1)), F.col("parts")).cast("int"))
+    salted = salted.repartition("cell", "part")  # or a large cell would be gathered in the one task of its join
     blocks = work.save(salted.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "v", "p")).alias("rows")), f"blocks-{dim}")
     work.drop(f"placed-{dim}")
 
@@ -240,8 +241,9 @@ def _nearest(clean: DataFrame, work: Workspace, dim: int, rows: int, top: float,
         visits = work.save(visits, f"visits-{dim}-{later}")
         chunks = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_A_CHUNK).cast("int").alias("chunks"))
         asked = visits.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
-        asked = asked.groupBy("cell", "chunk").agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("queries"))
-        return blocks.join(asked, "cell").select("rows", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
+        asked = asked.repartition("cell", "chunk").groupBy("cell", "chunk").agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("queries"))
+        asked = asked.join(large, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "queries")
+        return blocks.join(asked, ["cell", "part"]).select("rows", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     queries = clean.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.first("v").alias("q"))
@@ -251,5 +253,5 @@ def _nearest(clean: DataFrame, work: Workspace, dim: int, rows: int, top: float,
     later = searched(queries.join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf")))), True)
     both = ranked.select("query_id", "vec_id", "score").unionByName(later.select("query_id", "vec_id", "score"))
     out = work.save(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), f"result-{dim}")
-    work.drop(f"blocks-{dim}", f"first-{dim}", f"visits-{dim}-False", f"visits-{dim}-True")
+    work.drop(f"blocks-{dim}", f"parts-{dim}", f"first-{dim}", f"visits-{dim}-False", f"visits-{dim}-True")
     return out
