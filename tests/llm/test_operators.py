@@ -461,6 +461,35 @@ def test_mixing(spark, docs):
     assert mix.count() == sum(len(r.draws) for r in got)
 
 
+def test_what_a_mix_takes_is_recomputed(spark, docs):
+    """Blocks, their order and each block's documents by the published hashes, all else in plain Python."""
+    seed, most = mixing.SEED, mixing.MOST_PASSES
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("deal"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("inner")).collect()
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    words = [sum(r.size for r in by_source[n]) for n in names]
+    bound, want = max(mixing.BLOCKS, mixing.BLOCK_SHARE * 8), collections.Counter()
+    pairs = [(n, b) for n in names for b in range(min(bound, max(1, len(by_source[n]) // 64)))]
+    frame = spark.createDataFrame([(k, n, b) for k, (n, b) in enumerate(pairs)], "k int, source string, block int")
+    order = {pairs[r.k]: r.h for r in frame.select("k", F.xxhash64("source", "block", F.lit(seed)).alias("h")).collect()}
+    for n, total, target in zip(names, words, mixing.target_words(words), strict=True):
+        own, blocks = by_source[n], min(bound, max(1, len(by_source[n]) // 64))
+        passes = min(most, int(target // total)) if total else 0
+        left = target - passes * total if passes < most else 0
+        for b in sorted({r.deal % blocks for r in own}, key=lambda b: (order[n, b], b)):
+            inside = sorted((r for r in own if r.deal % blocks == b), key=lambda r: (r.inner, r.doc_id is not None, r.doc_id or 0, r.size))
+            size, before = sum(r.size for r in inside), 0
+            for r in inside:
+                extra = left > 0 and (left >= size or (left - before) * 2 >= r.size)
+                want[r.doc_id, n, r.size, (passes + extra) * r.size] += 1
+                before += r.size
+            left -= size
+    got = collections.Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mix_sources(docs, shards=8).collect())
+    assert got == want
+
+
 def test_splitting_tree():
     q = mixing.split_quotas([100, 7, 0, 4000], 16)
     assert q.sum(axis=0).tolist() == [100, 7, 0, 4000] and max(q.sum(axis=1)) - min(q.sum(axis=1)) <= 4 and (q >= 0).all()
