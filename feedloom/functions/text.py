@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Typographic quotes and the no-break space, and what they count as.
+PLAIN = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u00a0": " "}
+
+
 def folded(text: Column) -> Column:
     """Lower case, curly quotes straight, no-break spaces plain."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), "‘’“” ", "''\"\" "))
+    out = F.coalesce(text, F.lit(""))
+    for fancy, plain in PLAIN.items():
+        out = F.replace(out, F.lit(fancy), F.lit(plain))
+    return F.lower(out)
 
 
 def keyword_match(text: Column, keyword: str, is_regex: bool = False) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +13,10 @@ from feedloom.functions.text import folded
 
 def search(df: DataFrame, terms: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows in which every term is in some column; case-insensitive, % and _ literal. No terms select nothing."""
-    hay = folded(F.concat_ws("\n", *columns))
-    hit = F.lit(bool(terms))
-    for t in terms:
-        hit = hit & hay.contains(t.lower())
-    return df.where(hit)
+    if not terms:
+        return df.where(F.lit(False))
+    # The haystack is the one item of an array, so that it is built once for all terms.
+    return df.where(F.exists(F.array(folded(F.concat_ws("\n", *columns))), lambda hay: reduce(lambda a, b: a & b, [hay.contains(t.lower()) for t in terms])))
 
 
 def in_scope(df: DataFrame, keys: DataFrame, on: Sequence[str], inside: bool = True) -> DataFrame:

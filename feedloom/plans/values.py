@@ -22,16 +22,26 @@ def b7(s, d):
     return feeds.merged_bookmarks(rows).drop("tags")
 
 
-@query("b22_embedded_images", "SELECT page_id, url AS first, 2 AS images FROM pages")
+@query("b22_embedded_images", "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN url END AS first, CAST(page_id % 4 AS INTEGER) % 3 + CASE page_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE 1 END AS images FROM pages")
 def b22(s, d):
-    embed = F.to_json(F.struct(F.struct(F.lit("app.bsky.embed.images").alias("$type"), F.array(F.struct(F.col("url").alias("fullsize")), F.struct(F.col("url").alias("fullsize")), F.struct(F.concat(F.col("url"), F.lit("#2")).alias("fullsize"))).alias("images")).alias("embed")))
+    """One picture twice, two, two and one beside a quoted record, or none."""
+    k = F.col("page_id") % 4
+    pic = lambda u, name="fullsize": F.struct(*[(u if n == name else F.lit(None).cast("string")).alias(n) for n in ("fullsize", "thumb")])
+    own = F.when(k == 0, F.array(pic(F.col("url")), pic(F.col("url"), "thumb"))).when(k < 3, F.array(pic(F.col("url"), "thumb"), pic(F.concat("url", F.lit("#2")))))
+    quoted = F.when(k == 2, F.struct(F.array(pic(F.concat("url", F.lit("#3"))), pic(F.col("url"))).alias("images")))
+    embed = F.to_json(F.struct(F.struct(F.lit("app.bsky.embed.images").alias("$type"), own.alias("images"), quoted.alias("media")).alias("embed")))
     found = t(s, d, "pages").select("page_id", feeds.embedded_images(embed).alias("i"))
-    return found.select("page_id", F.col("i")[0].alias("first"), F.size("i").alias("images"))
+    return found.select("page_id", F.get("i", F.lit(0)).alias("first"), F.size("i").alias("images"))
 
 
-@query("b25_canonical_links", """SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"', 1), ''), nullif(regexp_extract(html, '(?i)<meta[^>]+property="og:url"[^>]+content="([^"]+)"', 1), '')) AS canonical FROM pages""")
+@query("b25_canonical_links", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://a.b/' || page_id WHEN 1 THEN 'https://a.b/' || page_id WHEN 2 THEN 'https://c.d/' || page_id WHEN 3 THEN 'https://c.d/' || page_id END AS canonical FROM pages")
 def b25(s, d):
-    return t(s, d, "pages").select("page_id", feeds.canonical_link(F.col("html")).alias("canonical"))
+    """The tags in any order of their attributes; other links and a page without any."""
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    meta = F.concat(F.lit('<meta content="https://c.d/'), n, F.lit('" property="og:url">'))
+    html = F.when(k == 0, F.concat(meta, F.lit('<link rel="canonical" href="https://a.b/'), n, F.lit('">'))).when(k == 1, F.concat(F.lit("<LINK href='https://a.b/"), n, F.lit("' rel='canonical'>"), meta)).when(k == 2, meta)
+    html = html.when(k == 3, F.concat(F.lit('<link rel="stylesheet" href="x"><meta property="og:url" content="https://c.d/'), n, F.lit('">'))).otherwise('<a href="https://e.f">canonical</a>')
+    return t(s, d, "pages").select("page_id", feeds.canonical_link(html).alias("canonical"))
 
 
 @query("c2_host_of", "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages")
@@ -99,9 +109,13 @@ def c25l(s, d):
     return t(s, d, "pages").select("page_id", F.size(text.link_words(F.col("url"))).cast("long").alias("words"))
 
 
-@query("c26_redirectors", "SELECT page_id, url AS link FROM pages")
+@query("c26_redirectors", "SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'http://feedproxy.google.com/x' WHEN 3 THEN NULL ELSE url END AS link FROM pages")
 def c26(s, d):
-    return t(s, d, "pages").select("page_id", url.one_redirector_free(F.array(F.lit(""), F.lit("http://feedproxy.google.com/x"), F.lit("https://feeds.a.b/~r/x/1"), F.col("url"))).alias("link"))
+    """A good link among redirectors and blanks, before or behind them; only redirectors; nothing."""
+    k = F.col("page_id") % 4
+    proxy, other = F.lit("http://feedproxy.google.com/x"), F.lit("https://feeds.a.b/~r/x/1")
+    links = F.when(k == 0, F.array(F.lit(""), proxy, other, F.col("url"))).when(k == 1, F.array(F.col("url"), proxy)).when(k == 2, F.array(F.lit(""), proxy, other)).otherwise(F.array(F.lit("")))
+    return t(s, d, "pages").select("page_id", url.one_redirector_free(links).alias("link"))
 
 
 @query("c27_swapped_hosts", "SELECT page_id, regexp_replace(url, '^([a-z]+://)spam-farm\\.example\\.org', '\\1moved.example.org') AS link FROM pages")
@@ -114,10 +128,14 @@ def c28(s, d):
     return t(s, d, "pages").select("page_id", url.with_width(F.concat(F.col("url"), F.lit("?a=1&w=300")), 1200).alias("image"))
 
 
-@query("c30_same_link", "SELECT page_id, true AS same, false AS other FROM pages")
+@query("c30_same_link", "SELECT page_id, page_id % 6 < 3 AS same FROM pages")
 def c30(s, d):
-    variant = F.concat(F.regexp_replace(F.col("url"), r"^https?://(www\.)?", "http://www."), F.when(F.col("url").contains("#"), "").otherwise("#x"))
-    return t(s, d, "pages").select("page_id", url.same_link(F.regexp_replace(F.col("url"), r"//(m|blog)\.", "//"), F.regexp_replace(variant, r"//www\.((m|blog)\.)?", "//www.")).alias("same"), url.same_link(F.col("url"), F.concat(F.lit("http://x.y"), F.col("url"))).alias("other"))
+    """Alike but for scheme, www and fragment; or another path, another case of it, or another host."""
+    k, n = F.col("page_id") % 6, F.col("page_id").cast("string")
+    here = F.concat(F.lit("https://a.b/Path/"), n)
+    there = F.when(k == 0, F.concat(F.lit("http://www.a.b/Path/"), n)).when(k == 1, F.concat(F.lit("https://A.B/Path/"), n, F.lit("#x"))).when(k == 2, F.concat(here, F.lit("/")))
+    there = there.when(k == 3, F.concat(here, F.lit("0"))).when(k == 4, F.lower(here)).otherwise(F.concat(F.lit("https://c.a.b/Path/"), n))
+    return t(s, d, "pages").select("page_id", url.same_link(here, there).alias("same"))
 
 
 @query("c31_video_ids", "SELECT page_id, lpad(page_id::VARCHAR, 11, 'x') AS ids FROM pages")

@@ -77,9 +77,11 @@ def merge_takeout(existing: DataFrame, path: str, key: list[str]) -> DataFrame:
 
 
 def canonical_link(html: Column) -> Column:
-    """Of a captured page: its canonical link, else its og:url."""
-    first = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
-    return F.coalesce(first(r'(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"'), first(r'(?i)<meta[^>]+property="og:url"[^>]+content="([^"]+)"'))
+    """Of a captured page: its canonical link, else its og:url; attributes in any order and quotes."""
+    first = lambda p: F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit(""))
+    link = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']([^"']+)"""
+    meta = r"""(?i)<meta\b(?=[^>]*\b(?:property|name)\s*=\s*["']og:url["'])[^>]*\bcontent\s*=\s*["']([^"']+)"""
+    return F.coalesce(first(link), first(meta))
 
 
 def embedded_images(post: Column) -> Column:
