@@ -31,7 +31,11 @@ def k11(s, d):
     return t(s, d, "pages").select("page_id", F.when(F.contains(head, F.lit("just a moment")), "challenge").when(F.contains(head, F.lit("captcha")), "captcha").alias("kind"))
 
 
-@query("k15_page_links")
+LINKS = """WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS x FROM pages),
+    u AS (SELECT page_id, root, unnest(h) AS href, unnest(x) AS text, generate_subscripts(h, 1) AS k FROM a), f AS (SELECT page_id, root || replace(href, '&amp;', '&') AS url, replace(text, '&amp;', '&') AS text, k FROM u), o AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY k) AS r FROM f)"""
+
+
+@query("k15_page_links", LINKS + " SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS place, url, text FROM o WHERE r = 1")
 def k15(s, d):
     p = t(s, d, "pages").select("page_id", F.posexplode(html.links(F.col("html"), F.col("url"))).alias("place", "l"))
     return p.select("page_id", "place", F.col("l.url").alias("url"), F.col("l.text").alias("text"))
@@ -81,7 +85,7 @@ def b19(s, d):
     return t(s, d, "pages").select("page_id", F.size(html.announced_feeds(F.col("html"), F.col("url"))).alias("feeds"))
 
 
-@query("b10_unseen_links")
+@query("b10_unseen_links", LINKS + " SELECT DISTINCT url FROM o WHERE url NOT IN (SELECT url FROM pages)")
 def b10(s, d):
     links = t(s, d, "pages").select(F.explode(html.links(F.col("html"), F.col("url"))).alias("l")).select("l.url").distinct()
     return links.join(t(s, d, "pages").select("url"), "url", "left_anti")

@@ -29,7 +29,7 @@ def c6(s, d):
     return t(s, d, "pages").select("page_id", url.slug(F.col("url")).alias("slug"))
 
 
-@query("c17_path_tags", None)
+@query("c17_path_tags", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/([a-z][a-z-]{1,29})/[^/?#]', 1) AS tags FROM pages")
 def c17(s, d):
     return t(s, d, "pages").select("page_id", F.array_join(url.path_tags(F.col("url")), ",").alias("tags"))
 
@@ -101,10 +101,14 @@ def d1(s, d):
     return t(s, d, "events").select("event_id", F.unix_timestamp(dates.parsed(naive)).alias("a"), F.unix_timestamp(dates.parsed(iso)).alias("b"))
 
 
-@query("d3_date_in_url", None)
+@query("d3_date_in_url", "SELECT page_id, CASE WHEN page_id % 5 < 2 THEN make_date(2001 + CAST(page_id % 20 AS INTEGER), 1 + CAST(page_id % 12 AS INTEGER), 1 + CAST(page_id % 28 AS INTEGER)) END AS day, CASE WHEN page_id % 5 = 4 THEN make_date(2001 + CAST(page_id % 20 AS INTEGER), 1 + CAST(page_id % 12 AS INTEGER), 1) END AS month FROM pages")
 def d3(s, d):
-    link = F.concat(F.col("url"), F.lit("/2021/04/12/"))
-    return t(s, d, "pages").select("page_id", dates.date_in_url(link).alias("day"), dates.month_in_url(F.lit("http://a.b/2021/04/x")).alias("month"))
+    """With slashes, with hyphens, no valid day, before 2000, or a month alone."""
+    n = lambda k, first: (first + F.col("page_id") % k).cast("string")
+    k = F.col("page_id") % 5
+    link = F.when(k == 0, F.concat_ws("/", F.lit("https://a.b"), n(20, 2001), n(12, 1), n(28, 1), F.lit("x"))).when(k == 1, F.concat(F.lit("https://a.b/"), F.concat_ws("-", n(20, 2001), F.lpad(n(12, 1), 2, "0"), F.lpad(n(28, 1), 2, "0")), F.lit("/x")))
+    link = link.when(k == 2, F.concat_ws("/", F.lit("https://a.b"), n(20, 2001), F.lit("13"), F.lit("40"), F.lit("x"))).when(k == 3, "https://a.b/1999/01/02/x").otherwise(F.concat_ws("/", F.lit("https://a.b"), n(20, 2001), n(12, 1), F.lit("some-post")))
+    return t(s, d, "pages").select("page_id", dates.date_in_url(link).alias("day"), dates.month_in_url(link).alias("month"))
 
 
 @query("d10_coerced", "SELECT o_orderkey, epoch_us(o_orderdate) AS us FROM orders")
