@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, marked, mix, signed, slices, utf8
+from feedloom.llm.common import MIX_1, RollingHash, Workspace, batch, connected_components, marked, mix, released, signed, slices, utf8
 
 SLOTS = 40
 BITS = 16
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for column, value in zip(out, (doc, len(found), *set_hash(found), least), strict=True):
                     column.append(value)
             yield batch(SETS, **dict(zip(SETS.names, out, strict=True)))
+        released()
 
     return docs.select(id_col, text_col).mapInArrow(sign, "doc_id long, n_shingles long, set_1 long, set_2 long, signature binary")
 
@@ -146,6 +147,7 @@ def packed_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
                 sets = list(shingler.sets(utf8(whole.slice(at, 500).column(0))))
                 sums = [set_hash(x) for x in sets]
                 yield batch(schema, set_1=[a for a, _ in sums], set_2=[b for _, b in sums], n_shingles=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
+        released()
 
     ids = classes.select("doc_id").distinct()
     source = marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, "doc_id").join(ids, "doc_id")
@@ -171,6 +173,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
                     keep.append(both > 0 and den * both >= num * (short + long - both))
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep)], schema=CHECKED)
+        released()
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
@@ -228,6 +231,7 @@ def exhaustive(open_: DataFrame, sets: DataFrame, work: Workspace, similarity: t
                         if not joined.together(int(of_a[x]), int(of_b[y])):
                             joined.join(int(of_a[x]), int(of_b[y]), (int(ids_a[x]), int(ids_b[y])))
                 yield batch(CHECKED, a=[x for x, _ in joined.links], b=[y for _, y in joined.links])
+        released()
 
     return meets.select("m", "n").mapInArrow(compare, "a long, b long")
 

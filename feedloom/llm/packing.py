@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, batch, slices
+from feedloom.llm.common import Workspace, batch, released, slices
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: Distinct chunks of text whose ids a worker remembers; forgetting only costs time.
@@ -133,7 +133,7 @@ class ChunkTokenizer:
 
 @cache
 def remembered(path: str, end_id: int) -> ChunkTokenizer:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker, which each begin without chunks."""
     return ChunkTokenizer(path, end_id)
 
 
@@ -158,6 +158,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
                         for column, value in zip(out, (doc, k, x, y - x, zlib.crc32(ids[low + x : low + y])), strict=True):
                             column.append(value)
                 yield batch(PIECES, **dict(zip(PIECES.names, out, strict=True)))
+        tokenizer.forget()
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import batch, slices, utf8
+from feedloom.llm.common import batch, released, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -537,6 +537,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                     for column, value in zip(out, (written(base), written(sorted(base + added)), *count, len(added)), strict=True):
                         column.append(value)
                 yield batch(FOUND, doc_id=rows.column(0), **dict(zip(FOUND.names[1:], out, strict=True)))
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, base string, spans string, n_email long, n_ip long, n_card long, n_phone long, n_added long")
 
