@@ -28,7 +28,9 @@ FOLDS = 5
 ORDINARY_BYTES = 65536
 TOXIC_BYTES = 1024
 #: A word stays in the toxic windows if chance explains its share of toxic texts so badly (log-likelihood ratio).
-EVIDENCE = 40
+EVIDENCE = 60
+#: Bytes of a word's beginning that count as a unit too.
+STEM = 6
 #: Segments and matches of the toxic dictionary's trainer, in bytes.
 SEGMENT, MATCH = 20, 8
 PUNCTUATION = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -82,6 +84,11 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(z), 1)), z])
 
 
+def units(word: bytes) -> tuple[bytes, ...]:
+    """What a word counts as: itself, and its beginning, which inflected and compound words share."""
+    return (word, word[:STEM] + b"*") if len(word) > STEM else (word,)
+
+
 def trained(samples: list[bytes], sizes: tuple[int, ...], **how) -> bytes:
     for want in sizes:
         try:
@@ -108,11 +115,11 @@ def evidence(here: int, here_of: int, there: int, there_of: int) -> float:
 
 
 def toxic_dictionary(texts: list[list[bytes]], toxic: Counter, ordinary: Counter, ordinary_texts: int, size: int = TOXIC_BYTES) -> bytes:
-    """Trained on the windows of toxic texts (as words); ``toxic`` and ``ordinary`` count the texts that hold a word."""
+    """Trained on the windows of toxic texts (as words); ``toxic`` and ``ordinary`` count the texts that hold a unit of a word."""
     telling = {w for w, n in toxic.items() if evidence(n, len(texts), ordinary[w], ordinary_texts) >= EVIDENCE}
     samples = []
     for text in texts:
-        left = [w for w in text if w in telling]
+        left = [w for w in text if any(u in telling for u in units(w))]
         samples += [b" " + b" ".join(left[i : i + WINDOW]) for i in range(0, len(left), WINDOW)]
     return trained(samples, (size,), k=SEGMENT, d=MATCH, steps=4)
 
@@ -145,7 +152,7 @@ def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
     fold = np.random.default_rng(2).integers(0, FOLDS, len(rows))
     counts: dict[tuple[int, int], Counter] = {(label, k): Counter() for label in (0, 1) for k in range(FOLDS)}
     for (t, label), k in zip(rows, fold.tolist(), strict=True):
-        counts[label, k].update(set(words(t)))
+        counts[label, k].update({u for w in set(words(t)) for u in units(w)})
 
     def model(left_out: int) -> Model:
         used = [k for k in range(FOLDS) if k != left_out]
