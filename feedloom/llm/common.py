@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into numpy arrays at once.
@@ -177,3 +177,33 @@ def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     word = F.floor(mark / 64)
     joined = rows.join(F.broadcast(words), word == F.col("marked_word"))  # at most MARKS / 64 rows
     return joined.where(F.getbit("marked_bits", (mark % 64).cast("int")) == 1).drop("marked_word", "marked_bits")
+
+
+def places(rows: DataFrame, group: list[str], order: list[str], work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``place``, their number from 0 within ``group`` by ``order`` (nulls first), and each group's size in ``n``.
+
+    Rows are dealt by ranges of (group, order), so that a group of any size lies in many tasks; rows that agree in both
+    get any order and lie in many tasks too. What a part of the ranges adds to its groups is one row for each of them. Group columns aren't null.
+    """
+    tie = rows.withColumn("tie", F.monotonically_increasing_id())
+    keys = [F.col(c).asc_nulls_first() for c in [*group, *order, "tie"]]
+    ranged = tie.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie").withColumn("at", F.monotonically_increasing_id())
+    saved = work.save(ranged, name).withColumn("part", F.call_function("shiftright", F.col("at"), F.lit(33)))
+    runs = work.save(saved.groupBy(*group, "part").agg(F.min("at").alias("first"), F.count("*").alias("n")), f"{name}-runs")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select(*group, "part", (before - F.col("first")).alias("shift"))
+    placed = saved.join(starts, [*group, "part"]).withColumn("place", F.col("at") + F.col("shift")).drop("at", "part", "shift")
+    return placed, runs.groupBy(*group).agg(F.sum("n").alias("n"))
+
+
+def dense(keys: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The distinct rows of ``keys`` with ``name``, numbers from 0 without gaps. What reaches the driver is one count for each partition."""
+    saved = work.save(keys.distinct().withColumn("at", F.monotonically_increasing_id()), name)
+    part = F.call_function("shiftright", F.col("at"), F.lit(33))
+    counts = {r.part: r.n for r in saved.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    shifts, before = [], 0
+    for p in sorted(counts):
+        shifts.append((p, before - (p << 33)))
+        before += counts[p]
+    parts = work.spark.createDataFrame(shifts, "part long, shift long")
+    return saved.join(F.broadcast(parts), part == F.col("part")).withColumn("name", F.col("at") + F.col("shift")).drop("at", "part", "shift")  # a row for each partition

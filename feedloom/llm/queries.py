@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import ann, embed_dedup, minhash, mixing, packing, pii, secrets, suffix, toxicity, warc
+from feedloom.llm import ann, embed_dedup, licenses, merkle, minhash, mixing, oracles, packing, pii, secrets, suffix, toxicity, trie, warc
 from feedloom.llm.common import table
 
 #: Where the public tokenizers' files are; only a default, operators take the path as a parameter.
@@ -67,6 +67,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, F.translate("text", licenses.UPPER, licenses.LOWER)))
+    return found.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_best_fit_packing, op2_warc, op3_toxicity, op4_secret_scans, op5_nearest_neighbours, op6_pii, op7_embedding_near_dedup, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup]
+    own = [op1_best_fit_packing, op2_warc, op3_toxicity, op4_secret_scans, op5_nearest_neighbours, op6_pii, op7_embedding_near_dedup, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup, op11_license_scans, op12_merkle_manifest, op13_conversation_prefix_trie]
     out = {f.__name__: f for f in own}
     if importlib.util.find_spec("corpus_pipeline"):
         out["pipeline"] = pipeline
@@ -94,4 +108,7 @@ def oracle_sql() -> dict[str, str]:
                 array_to_string(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS INTEGER), 1)), '') AS payload_digest,
                 CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                 CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM d""",
+        "op11_license_scans": oracles.license_scans(),
+        "op12_merkle_manifest": oracles.merkle_manifest(),
+        "op13_conversation_prefix_trie": oracles.prefix_trie(),
     }
