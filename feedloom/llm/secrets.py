@@ -1,7 +1,9 @@
 """Secret scans: candidates by shape, false positives removed by a random forest, all in Catalyst expressions.
 
 Candidates are found with SQL functions over the words of a text. The forest is trained on the driver from
-labelled findings (a fixed small table) and compiled to CASE expressions, so that scoring never leaves the JVM.
+labelled findings, some from a fixed table and most made by rule from a seed, and compiled to CASE expressions, so that
+scoring never leaves the JVM. Every finding stands in several surroundings, drawn alike for both labels, so that the words beside it
+tell of a secret only where they name one.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TREES = 25
-DEPTH = 5
+DEPTH = 7
+#: About so many thresholds of a feature are tried for each split.
+CUTS = 24
 SEED = 41
-#: A candidate is a run of these characters, at least so long.
-RUN = r"[A-Za-z0-9_+/=.\-]{16,}"
+SIGN, LAST = r"[A-Za-z0-9_+/=.\-]", r"[A-Za-z0-9_+/=\-]"
+#: A candidate is a whole run of these characters, without dots behind it: 16 or more of any, 8 to 15 with letters and digits among them.
+RUN = rf"(?<!{SIGN})(?:{SIGN}{{15,}}{LAST}|(?=[A-Za-z_+/=.\-]{{0,15}}[0-9])(?=[0-9_+/=.\-]{{0,15}}[A-Za-z]){SIGN}{{7,14}}{LAST}(?!\.*{LAST}))"
 NAMES = r"(?i)(token|secret|passw|api.?key|access.?key|auth|credential|private)"
 #: Frequent letter pairs of words in Latin script; a random string seldom holds them.
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un au qu el la os ue ai".split()
-#: Words that addresses, paths, names in code and prose are made of.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un au qu el la os ue ai sch ei ge un be zu au do ci ad ta tr na".split()
+#: Words that addresses, paths, names in code and prose of four languages are made of.
 DICTIONARY = """
 about access account action admin after and answer api app archive article assets author auth backup base blog body book branch build cache call card chapter class client code comment
 common component config constant contact content count country course create css data database date day default demo dev dist doc docs document download draft edit email entry error event
@@ -30,6 +35,10 @@ month name new news node number object of old order org output package page pass
 record release report request resource response result review root sample save script search section secret server service session set setting settings share site size source src start
 static status store story style system table tag target task team temp template test text the this time title to token tool top topic type update upload url user util utils value version
 video view web week wiki with word work www year
+aber alle auch beim bericht buch das datei dem den der des die durch ein eine einer frage gesellschaft haus ist kapitel mit nach nicht oder ohne ordner seite sich sind teil und unter von vor war werden wort zeit zum zur
+avec chapitre comme dans des dossier elle est etre fichier les livre maison mot nous page par partie pas plus pour que qui sans sont sur temps tout une vous
+archivo capitulo carpeta casa como con del esta este las libro los mas palabra para parte pero por sin sobre son tiempo todo una uno
+able ation ing keit lich ment ness schaft sion tion ung ciones mente
 """.split()
 #: Labelled findings: word before, candidate, word after, whether it is a secret.
 FINDINGS = [
@@ -46,7 +55,45 @@ FINDINGS = [
     ("url", "example.com/articles/2021/04/12/title-of-post", "here", 0), ("der", "verschiedenheitungen2", "und", 0), ("page", "section-10-of-chapter-3", "ends", 0), ("uuid", "00000000-0000-0000-0000-000000000001", "nil", 0),
     ("line", "----------------1---------------", "end", 0), ("the", "isbn-978-3-16-148410-0", "book", 0), ("of", "theandofthatis.Thenext1word", "was", 0), ("constant", "MAX_RETRY_COUNT_VALUE_10", "is", 0),
 ]
-FEATURES = ("length", "digits", "upper", "turns", "pairs", "coverage", "parts", "path", "repeats", "named", "quoted", "followed")
+FEATURES = ("length", "digits", "upper", "lower", "turns", "pairs", "coverage", "parts", "path", "repeats", "hex", "named", "assigned", "named_behind")
+#: Fixed values of our own: what a generated finding is made of.
+SYLLABLES = "tion ing er re st the an en on he ou ea ver ung keit lich sch ge be zu ein und pf tz heit au eau ment que aux elle ier ion ai le pa vi chi ci dad os es la ta na ro do ar con al mente".split()
+PLACES = ("", "the", "see", "in", "der", "de", "and", "=", ":", "A", "(x)", "by", "this.")
+BEHIND = ("", "and", "The", "is", ".", "de", "Und", "=", "9", "in")
+NAMED = ("token =", "secret", "password:", "api_key", "auth", "key for access_key", "credential", "private")
+GENERATED = 320
+
+
+def generated(n: int = GENERATED, seed: int = SEED) -> list[tuple[str, str, str, int]]:
+    """Labelled findings by rule: n secrets and n others, each in three surroundings. Both labels stand in the same ones, but names of secrets stand oftener before secrets."""
+    rng = np.random.default_rng(seed)
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda signs, k: "".join(rng.choice(list(signs), k))
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    size = lambda a, b: int(rng.integers(a, b + 1))
+    plain = DICTIONARY
+    word = lambda a=2, b=6: "".join(rng.choice(SYLLABLES, size(a, b)))
+    mixed = lambda k: "".join(rng.permutation(list(draw(digits, 2) + draw(up, 2) + draw(low, 2) + draw(digits + low + up, max(0, k - 6)))))
+    secrets = [
+        lambda: draw(digits + "abcdef", pick((20, 32, 40, 40, 64))), lambda: mixed(size(9, 15)), lambda: mixed(size(16, 48)), lambda: "AKIA" + draw(up + digits, 16), lambda: draw(up + low + digits + "+/", 43) + "=",
+        lambda: pick(("ghp_", "sk_live_", "glpat-", "AIza", "npm_", "xoxb-1234567890-")) + mixed(size(16, 36)), lambda: "eyJ" + mixed(17) + ".eyJ" + mixed(size(10, 30)) + "." + mixed(20),
+        lambda: draw(up + low, size(20, 36)), lambda: draw(low, size(22, 32)), lambda: pick(("TOKEN=", "api_key=", "secret=", "PASSWORD=")) + mixed(size(12, 30)), lambda: draw(digits + low, size(20, 32)),
+    ]
+    others = [
+        lambda: word(5, 14), lambda: word(5, 12).capitalize(), lambda: word(5, 12) + ".", lambda: word(5, 10) + "." + draw(digits, 2), lambda: word(3, 5) + "-" + word(3, 5), lambda: word(2, 4) + "." + word(2, 4) + ".",
+        lambda: f"mail{size(0, 99)}.example.{pick(('com', 'org', ''))}", lambda: "www." + pick(plain) + pick(plain) + ".com/" + pick(plain) + f"/{size(1990, 2030)}/" + pick(plain) + "-" + pick(plain) + ".html",
+        lambda: "/".join(pick(plain) for _ in range(size(3, 6))) + pick((".py", ".yml", ".md", "", "/")), lambda: "/" + "/".join(pick(plain) for _ in range(size(3, 5))), lambda: "_".join(pick(plain) for _ in range(size(3, 5))),
+        lambda: "_".join(pick(plain) for _ in range(size(3, 5))).upper() + pick(("", "_2", "_10")), lambda: "".join(pick(plain).capitalize() for _ in range(size(3, 6))), lambda: draw(digits, size(16, 30)),
+        lambda: f"{size(1990, 2030)}-{size(10, 12)}-{size(10, 28)}T{size(10, 23)}", lambda: f"{size(1990, 2030)}-{size(10, 12)}-{size(10, 28)}-{size(10, 23)}-{size(10, 59)}-{size(10, 59)}", lambda: f"{pick(plain)}-{size(1, 20)}.{size(0, 20)}.{size(0, 99)}-release",
+        lambda: pick(plain) + str(size(1000, 99999)), lambda: pick(("-", "=", ".", "_")) * size(16, 60), lambda: f"{pick(plain)}_{size(1990, 2030)}_{pick(plain)}_v{size(1, 9)}.{pick(('pdf', 'csv', 'png'))}",
+        lambda: f"{pick(plain)}{size(1, 9)}.{pick(plain)}{size(1, 9)}", lambda: "-".join(pick(plain) for _ in range(size(3, 5))) + f"-{size(1, 30)}", lambda: f"{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 4)}",
+    ]
+    out = []
+    for label, kinds, named in ((1, secrets, 0.4), (0, others, 0.1)):
+        for k in range(n):
+            run = kinds[k % len(kinds)]()
+            out += [(pick(NAMED) if rng.random() < named else pick(PLACES), run, pick(BEHIND), label) for _ in range(3)]
+    return out
 
 
 def features_of(before: Column, run: Column, after: Column) -> list[Column]:
@@ -59,15 +106,17 @@ def features_of(before: Column, run: Column, after: Column) -> list[Column]:
         n,
         count("[0-9]") / n,
         count("[A-Z]") / n,
+        count("[a-z]") / n,
         count("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]") / n,
-        count("(?i)(?:" + "|".join(PAIRS) + ")") * 2 / n,
+        count("(?i)(?=" + "|".join(PAIRS) + ")") / n,
         1 - F.length(F.regexp_replace(run, known, "")) / n,
         count(r"[/.\-_]") / n,
         when(run.rlike(r"^/|/$|/[^/]*/|\.[A-Za-z]{1,5}$|^www\.")),
         count(r"(.)(?=\1)") / n,
+        when(run.rlike("^[0-9a-f]+$") & run.rlike("[0-9]") & run.rlike("[a-f]")),
         when(F.concat_ws(" ", before, F.regexp_extract(run, "^[A-Za-z_]{3,}[=:_]", 0)).rlike(NAMES)),
         when(before.isin("=", ":", ":=") | before.endswith("=") | before.endswith(":")),
-        when(after.rlike("^[a-z]")),
+        when(after.rlike(NAMES)),
     ]
 
 
@@ -78,7 +127,8 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
     best = None
     for f in rng.choice(x.shape[1], 4, replace=False).tolist():
         values = np.unique(x[:, f])
-        for cut in ((values[1:] + values[:-1]) / 2).tolist():
+        cuts = (values[1:] + values[:-1]) / 2
+        for cut in cuts[:: max(1, len(cuts) // CUTS)].tolist():
             low = x[:, f] <= cut
             cost = sum(k.sum() * (p := y[k].mean()) * (1 - p) for k in (low, ~low))
             if best is None or cost < best[0]:
@@ -107,21 +157,25 @@ def compiled(tree: tuple | float, features: list[Column]) -> Column:
 
 @cache
 def trained(spark) -> list:
-    """The forest from FINDINGS; their features come from the same expressions that candidates get."""
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(FINDINGS)], "k int, before string, run string, after string, secret int")
+    """The forest from all labelled findings; their features come from the same expressions that candidates get.
+
+    Those of the table stand in every surrounding that isn't a name besides their own.
+    """
+    fixed = [r for before, run, _, label in FINDINGS for r in ([(before, run, after, label) for after in BEHIND[:4]] + [(PLACES[len(run) % 5], run, after, label) for after in BEHIND[:2]])]
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(fixed + generated())], "k int, before string, run string, after string, secret int")
     got = rows.select("k", "secret", *[c.alias(n) for n, c in zip(FEATURES, features_of(F.col("before"), F.col("run"), F.col("after")), strict=True)]).orderBy("k").collect()
     return forest(np.array([[r[n] for n in FEATURES] for r in got]), np.array([r.secret for r in got]))
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, place, before, run, after): every long run of each word, with its number in the word from 0.
+    """(doc_id, word, place, before, run, after): every run of each word, with its number in the word from 0.
 
     Every run is one, whatever its characters; the forest tells them apart. The word's own number is also from 0. Neighbours are the words beside it, and between runs of one word the
     other run with what separates them.
     """
     words = F.split(F.col("text"), r"[\x20\x09-\x0D\"'`,;#*$%&<>(){}|]+")
     near = docs.where(F.col("text").rlike(RUN)).select("doc_id", words.alias("w"))
-    hits = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(RUN), i)), lambda i: i.isNotNull())
+    hits = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= 8) & w.rlike(RUN), i)), lambda i: i.isNotNull())
     found = near.withColumn("hits", hits).where(F.size("hits") > 0).select("doc_id", "w", F.explode("hits").alias("word"))
     at = lambda d: F.coalesce(F.try_element_at("w", F.when(F.col("word") + d + 1 > 0, F.col("word") + d + 1)), F.lit(""))
     mark = F.when(at(-1).rlike("^[=:]+$"), F.concat(at(-2), at(-1))).otherwise(at(-1))

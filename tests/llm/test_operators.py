@@ -188,10 +188,30 @@ HELD_OUT = [
 
 
 def test_secrets_of_held_out_findings(spark):
-    rows = [(k, t, "", "", 0) for k, (t, _, _) in enumerate(HELD_OUT)]
-    got = {(r.doc_id, r.secret): r.is_secret for r in secrets.scan(odd(spark, rows)).collect()}
-    right = [got[k, run] == want for k, (_, run, want) in enumerate(HELD_OUT)]
-    assert np.mean(right) >= 0.9, [x for x, ok in zip(HELD_OUT, right, strict=True) if not ok]
+    """As they stand, and cut behind the candidate, with a capital and with a word behind it."""
+    cases = [(text, run, want) for t, run, want in HELD_OUT for at in [t.index(run) + len(run)] for text in (t, t[:at], t[:at] + ". The", t[:at] + " and")]
+    got = {(r.doc_id, r.secret): r.is_secret for r in secrets.scan(odd(spark, [(k, t, "", "", 0) for k, (t, _, _) in enumerate(cases)])).collect()}
+    right = [got[k, run] == want for k, (_, run, want) in enumerate(cases)]
+    assert np.mean(right) >= 0.9, [x for x, ok in zip(cases, right, strict=True) if not ok]
+
+
+def test_planted_secrets_at_every_kind_of_position(spark):
+    """Secrets of other draws than the forest's, in whole documents: at sentence and line ends, before capitals, in quotes, alone."""
+    rng = np.random.default_rng(77)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = [lambda: rng.bytes(20).hex(), lambda: rng.bytes(16).hex(), lambda: "AKIA" + "".join(rng.choice(list(signs[26:]), 16)), lambda: "ghp_" + "".join(rng.choice(list(signs), 30)) + "4", lambda: "".join(rng.choice(list(signs), 24)) + "7Q"]
+    around = ["{a}. The {s}. {b}", "{a} {s}\n{b}", "{a} {s} Then {b}", "{a} '{s}' und {b}", "{s} {b}", "{a} {s}", "{a}: {s}, {b}", "{a} token = \"{s}\"; {b}"]
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()
+    planted, out = set(), []
+    for k, r in enumerate(rows):
+        secret, half = kinds[k % len(kinds)](), len(r.text) // 2
+        planted.add((r.doc_id, secret))
+        out.append((r.doc_id, around[k // len(kinds) % len(around)].format(a=r.text[:half], s=secret, b=r.text[half:])))
+    got = secrets.scan(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    known = {(r.doc_id, m) for r in rows for m in re.findall(r'(?i)token ?=[ "]*([0-9a-f]{40})', r.text)}
+    flagged = {(r.doc_id, r.secret) for r in got if r.is_secret}
+    assert len(flagged & planted) / len(planted) >= 0.95 and len(flagged & (planted | known)) / len(flagged) >= 0.95
+    assert not [x for x in flagged - planted if re.fullmatch(r"[A-Za-z.\-]+", x[1])]  # words of the texts' prose
 
 
 def test_secrets_in_a_very_long_word_take_seconds(spark):
