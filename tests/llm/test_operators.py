@@ -147,6 +147,32 @@ def test_toxicity_is_of_whole_texts_and_never_of_other_columns(spark):
     assert got[1] > got[2] and got[3] == pytest.approx(got[None]) and got[1] == pytest.approx(got[5])
 
 
+def test_toxicity_scores_are_lengths_under_two_dictionaries(spark):
+    """Scores again from the model's dictionaries by zstandard and its weights, window by window."""
+    import zstandard
+
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 53}" for k in range(60)) + (" zwurbelig grintz" if i % 3 == 0 else ""), "en", "s", 1) for i in range(240)]
+    model = toxicity.train(odd(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(odd(spark, rows), model).collect()}
+    how = zstandard.ZstdCompressionParameters(min_match=5, strategy=zstandard.STRATEGY_FAST, window_log=17, hash_log=20, chain_log=20, search_log=4, target_length=0, write_content_size=0, write_checksum=0, write_dict_id=0)
+    size = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress for d in (model.ordinary, model.ordinary + model.toxic)]
+    for i, text, *_ in rows:
+        words = text.split()
+        saved = [len(size[0](w)) - len(size[1](w)) for k in range(0, len(words), 12) for w in [(" " + " ".join(words[k : k + 12])).encode()]]
+        gain, top, n = [max(0, s) for s in saved], sorted(saved)[::-1][:3], len(saved)
+        x = np.array([top[0], np.mean(top), np.log1p(sum(gain)), np.mean(gain), sum(s >= 3 for s in saved) / n, np.log1p(sum(s >= 4 for s in saved)), np.log(n), np.mean(saved)])
+        z = np.clip((x - model.mean) / model.scale, -4, 4)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.weights[0] + z @ model.weights[1:]))))
+    assert np.mean([got[i] for i in got if i % 3 == 0]) > 0.9 > 0.1 > np.mean([got[i] for i in got if i % 3])
+
+
+def test_toxicity_settings_are_chosen_without_the_rows_they_are_judged_by():
+    rng = np.random.default_rng(3)
+    rows = [(" ".join(rng.choice([f"w{k}" for k in range(80)], 50)).encode(), int(i % 2)) for i in range(300)]  # labels by chance
+    for s in toxicity.SETTINGS:
+        assert abs(toxicity.cross_validated(toxicity.measured(rows, s), 0.5)["auc"] - 0.5) < 0.12
+
+
 def test_secrets(spark, docs):
     text = 'set token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" here and docs/2024/index.html/page or 4465758382889437 there'
     got = {r.secret: r.is_secret for r in secrets.scan(odd(spark, [(1, text, "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0)])).collect()}
