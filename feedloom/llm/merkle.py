@@ -20,7 +20,7 @@ from feedloom.llm.common import Workspace, places
 
 FANOUT = 8
 #: Leaves that one task holds at once.
-RUN = 20_000
+RUN = 5_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODES = "key string, total long, level int, index long, hash string, open boolean"
 PATHS = "doc_id long, leaf string, subroot string, root string, proof string, folded string"
