@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -11,55 +10,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed values of our own: what the sanitiser keeps, and what it drops with its content.
-KEPT = frozenset("a abbr article b blockquote br caption code dd del div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img ins li ol p pre q s section small span strong sub sup table tbody td th thead tr u ul".split())
+from feedloom.functions.clean import sanitised  # noqa: F401  the tree sanitiser under its known name
+
 DROPPED = frozenset("script style iframe object embed form noscript template svg math".split())
-ATTRIBUTES = frozenset("href src alt title width height colspan rowspan".split())
 VOID = frozenset("br hr img".split())
-SAFE = re.compile(r"(?i)^(?:https?:|mailto:|/|#|\?|[^:/?#]*(?:[/?#]|$))")
-
-
-def safe_url(url: str) -> bool:
-    return bool(SAFE.match(re.sub(r"[\x00-\x20]", "", url)))
-
-
-class Sanitiser(HTMLParser):
-    def __init__(self, base: str = ""):
-        super().__init__(convert_charrefs=True)
-        self.base, self.out, self.skip, self.stack = base, [], 0, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.skip += 1
-        if self.skip or tag not in KEPT:
-            return
-        own = []
-        for name, value in attrs:
-            if name not in ATTRIBUTES or (name in ("href", "src") and not safe_url(value or "")):
-                continue
-            if name in ("href", "src") and self.base:
-                value = urljoin(self.base, value or "")
-            own.append(f' {name}="{escape(value or "", quote=True)}"')
-        self.out.append(f"<{tag}{''.join(own)}>")
-        if tag not in VOID:
-            self.stack.append(tag)
-
-    def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.skip = max(0, self.skip - 1)
-        elif not self.skip and tag in self.stack:
-            while self.stack:
-                top = self.stack.pop()
-                self.out.append(f"</{top}>")
-                if top == tag:
-                    break
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.out.append(escape(data, quote=False))
-
-    def result(self) -> str:
-        return "".join(self.out) + "".join(f"</{t}>" for t in reversed(self.stack))
 
 
 class Collector(HTMLParser):
@@ -84,7 +38,7 @@ class Collector(HTMLParser):
         if tag in DROPPED:
             self.skip = max(0, self.skip - 1)
         elif tag == "a" and self.open:
-            self.links.append((self.open[0], " ".join(self.open[1].split())[:500]))
+            self.links.append((self.open[0], " ".join(self.open[1].split())))
             self.open = None
 
     def handle_data(self, data):
@@ -124,18 +78,6 @@ def image_score(url: str, width: int, height: int, alt: str, place: int) -> int:
     return (40 if area >= 200_000 else 20 if area >= 40_000 else 0) + (10 if len(alt) > 8 else 0) + (10 if place == 0 else 0) - (15 if height and width > 4 * height else 0)
 
 
-@F.pandas_udf(T.StringType())
-def sanitised(html: pd.Series, base: pd.Series) -> pd.Series:
-    def one(h: str | None, b: str | None) -> str | None:
-        if h is None:
-            return None
-        s = Sanitiser(b or "")
-        s.feed(h)
-        s.close()
-        return s.result()
-    return pd.Series([one(h, b) for h, b in zip(html, base, strict=True)], dtype=object)
-
-
 def collected(h: str | None, b: str | None) -> Collector:
     c = Collector(b or "")
     c.feed(h or "")
@@ -204,12 +146,6 @@ def outlined(h: str | None, b: str | None) -> Outline:
     return o
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("selector", T.StringType()), T.StructField("url", T.StringType())])))
-def anchors(html: pd.Series, base: pd.Series) -> pd.Series:
-    """Every anchor with the selector that would find it."""
-    return pd.Series([[{"selector": s, "url": u} for s, u in outlined(h, b).anchors] for h, b in zip(html, base, strict=True)], dtype=object)
-
-
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("title", T.StringType())])))
 def announced_feeds(html: pd.Series, base: pd.Series) -> pd.Series:
     """Feeds that a page's head announces, in order."""

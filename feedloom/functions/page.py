@@ -57,16 +57,6 @@ def sizes_reapplied(html: Column, sizes: Column) -> Column:
     return F.aggregate(sizes, html, lambda h, x: F.regexp_replace(h, quoted(x), put(x)))
 
 
-def clean_svg(svg: Column) -> Column:
-    """A drawing without scripts, foreign content, event handlers, foreign references and processing instructions; null where it is none."""
-    out = F.regexp_replace(svg, r"(?is)<\?.*?\?>|<!DOCTYPE[^>]*>|<!--.*?-->", "")
-    for tag in ("script", "foreignObject", "iframe", "object", "embed", "style", "handler", "animate", "set"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*?/>|<{tag}\b.*?</{tag}\s*>|<{tag}\b.*$", "")
-    out = F.regexp_replace(out, r"""(?i)\s(?:on[a-z]+|style)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
-    out = F.regexp_replace(out, r"""(?i)\s(?:xlink:)?href\s*=\s*(?:"(?!#)[^"]*"|'(?!#)[^']*'|(?![#"'])[^\s>]+)""", "")
-    return F.when(F.trim(out).rlike(r"(?is)^<svg\b.*</svg>$"), F.trim(out))
-
-
 def page_tags(html: Column, most: int = 15) -> Column:
     """Tags of a page in order of trust: article:tag, JSON-LD keywords, keyed meta, meta keywords, rel=tag anchors, anchors of taxonomies.
 

@@ -72,14 +72,6 @@ def m2(s, d):
     return health.current(t(s, d, "events"), "user_id", F.col("event_type") == "error")
 
 
-@query("b12_selector_ranking")
-def b12(s, d):
-    a = t(s, d, "pages").select("page_id", F.explode(html.anchors(F.col("html"), F.col("url"))).alias("a"))
-    n = a.groupBy("page_id", F.col("a.selector").alias("selector")).agg(F.countDistinct("a.url").alias("links")).where("links >= 2")
-    generic = ~F.col("selector").contains(".")
-    return E.top_per_group(n, ["page_id"], [generic.asc(), F.desc("links"), F.asc("selector")], 6).select("page_id", "selector", "links", F.col("rank").cast("long").alias("rank"))
-
-
 @query("b19_announced_feeds")
 def b19(s, d):
     return t(s, d, "pages").select("page_id", F.size(html.announced_feeds(F.col("html"), F.col("url"))).alias("feeds"))

@@ -7,7 +7,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from feedloom.functions import dates, page, text
+from feedloom.functions import clean, dates, page, text
 from feedloom.functions import url as U
 from feedloom.operators import lifecycle as L
 from feedloom.plans.registry import query, t
@@ -313,11 +313,11 @@ def k5(s, d):
     return t(s, d, "pages").select("page_id", F.regexp_replace(tidy, r'<img width="(\d+)" height="7" src="/a\+\(1\)\.png" alt="x">', '<img width="$1" height="7" src="/a+(1).png" alt="x">').alias("html"))
 
 
-@query("k6_clean_svg", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<svg viewBox="0 0 9 9"><path d="M' || page_id || '"/><use href="#a"/></svg>' END AS svg FROM pages""")
+@query("k6_clean_svg", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<svg viewBox="0 0 9 9" xmlns="http://www.w3.org/2000/svg" width="9" height="9"><path d="M' || page_id || '"></path></svg>' END AS svg FROM pages""")
 def k6(s, d):
     n = F.col("page_id").cast("string")
     raw = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><svg viewBox="0 0 9 9" onload="x()"><script>a</script><path d="M'), n, F.lit('" style="fill:url(http://x)"/><use href="#a"/><foreignObject><b>x</b></foreignObject></svg>'))).otherwise(F.concat(F.lit("<p>"), n))
-    return t(s, d, "pages").select("page_id", page.clean_svg(raw).alias("svg"))
+    return t(s, d, "pages").select("page_id", clean.clean_svg(raw).alias("svg"))
 
 
 @query("k7_page_tags", "SELECT page_id, 'alpha,key-' || (page_id % 9) || ',beta,gamma' AS tags FROM pages")
