@@ -8,8 +8,11 @@ each source's permuted draws and shuffles locally by a hash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import Workspace
@@ -19,6 +22,8 @@ MOST_PASSES = 3
 #: Output shards at least, and words of one beyond that; blocks of a source at most, for each of so many shards.
 SHARDS, SHARD_WORDS = 64, 50_000_000
 BLOCKS, BLOCK_SHARE = 2048, 4
+#: Draws that numpy samples from at once, and tasks that split the tree's lower nodes.
+DRAWS, TASKS = 10**9, 256
 SEED = 20240229
 
 
@@ -41,23 +46,75 @@ def target_words(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int
         full |= over
 
 
+def portion(counts: np.ndarray, share: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``share`` draws without replacement come from each source of ``counts``.
+
+    Beyond the sampler's limit sources are drawn in groups below it: a group gets its exact part of the share, and chance
+    decides within the group.
+    """
+    total = int(counts.sum())
+    if total < DRAWS:
+        return rng.multivariate_hypergeometric(counts, share, method="marginals") if total else counts
+    groups, size = [[]], 0
+    for i, n in enumerate(counts.tolist()):
+        if groups[-1] and size + n >= DRAWS:
+            groups.append([])
+            size = 0
+        groups[-1].append(i)
+        size += n
+    out, before, given = np.zeros_like(counts), 0, 0
+    for own in groups:
+        before += int(counts[own].sum())
+        part = before * share // total - given
+        given += part
+        out[own] = portion(counts[own], part, rng) if len(own) > 1 else part
+    return out
+
+
+def halves(first: int, last: int, starts: np.ndarray, counts: np.ndarray, seed: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The two nodes below that of shards ``first`` to ``last``: each with its sources' first draws and how many it has of each."""
+    half = (first + last) // 2
+    left = portion(counts, int(counts.sum()) * (half - first) // (last - first), np.random.default_rng([seed, first, last]))
+    return [(first, half, starts, left), (half, last, starts + left, counts - left)]
+
+
+def quotas_below(first: int, last: int, starts: np.ndarray, counts: np.ndarray, seed: int, least: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The nodes of at most ``least`` shards below a node, in order."""
+    stack = [(first, last, starts, counts)]
+    while stack:
+        node = stack.pop()
+        if node[1] - node[0] <= least:
+            yield node
+        else:
+            stack += halves(*node, seed)[::-1]
+
+
 def split_quotas(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     """(shards, sources): how many draws of each source go to each shard, exactly summing to ``draws``."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(draws)), np.int64)
-
-    def split(first: int, last: int, counts: np.ndarray) -> None:
-        if last - first == 1:
-            out[first] = counts
-            return
-        half = (first + last) // 2
-        share = int(counts.sum()) * (half - first) // (last - first)
-        left = rng.multivariate_hypergeometric(counts, share, method="marginals") if counts.sum() else counts
-        split(first, half, left)
-        split(half, last, counts - left)
-
-    split(0, shards, np.asarray(draws, np.int64))
-    return out
+    counts = np.asarray(draws, np.int64)
+    return np.array([own for *_, own in quotas_below(0, shards, np.zeros_like(counts), counts, seed)]).reshape(shards, len(draws))
+
+
+def shard_runs(spark: SparkSession, draws: list[int], shards: int, seed: int = SEED) -> DataFrame:
+    """(number, bucket, shard, start, end) of each shard's run of each source's draws, once for each bucket that it reaches into.
+
+    The tree's upper nodes are split here, TASKS of them at most; what is below each is split by a task. A bucket is as wide as a run is on
+    average, so that all runs together reach into few more buckets than there are runs.
+    """
+    counts = np.asarray(draws, np.int64)
+    top = [(f, n, s.tolist(), c.tolist()) for f, n, s, c in quotas_below(0, shards, np.zeros_like(counts), counts, seed, max(1, -(-shards // TASKS)))] if len(draws) else []
+    widths = [max(1, -(-n // shards)) for n in draws]
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for f, n, s, c in batch.itertuples(index=False):
+                for shard, _, starts, own in quotas_below(f, n, np.asarray(s, np.int64), np.asarray(c, np.int64), seed):
+                    some = np.flatnonzero(own)
+                    yield pd.DataFrame({"number": some, "shard": shard, "start": starts[some], "end": starts[some] + own[some], "width": np.asarray(widths, np.int64)[some]})
+
+    nodes = spark.createDataFrame(top, "f int, n int, s array<long>, c array<long>").repartition(max(1, min(len(top), TASKS)))
+    runs = nodes.mapInPandas(below, "number int, shard int, start long, end long, width long")
+    return runs.select("number", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")), F.floor((F.col("end") - 1) / F.col("width")))).alias("bucket"), "shard", "start", "end")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, shards: int | None = None, seed: int = SEED, carry: Column | None = None) -> DataFrame:
@@ -66,8 +123,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     ``carry`` comes along as a column of that name. ``draws`` has a struct (shard, place) for each time that the row is taken; sorting a
     shard by place is its local shuffle. Sizes are words; null and empty texts have none, null is a source of its own, and
     a source without words has target 0. Repeated rows draw alike, each counted; a null doc_id is one more id. A source's taken words
-    miss its target by less than one document (and its repeats). An empty table gives no rows. Only totals by source and, for
-    each source and shard, the number of draws reach the driver; documents learn their shards from a table of blocks.
+    miss its target by less than one document (and its repeats). An empty table gives no rows, texts are counted whole at any length, and
+    further columns aren't read. Only totals by source reach the driver; documents learn their shards from a table of blocks, and blocks theirs
+    from runs of draws that tasks split.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
@@ -89,11 +147,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     partial = counts.groupBy("source").agg(F.count("*").alias("blocks"), F.count_if(F.col("rest") > 0).alias("drawn")).collect()
     found = {r.source: r for r in partial}
     present = [(r[0], found[r[0]].blocks, r[4] * found[r[0]].blocks + (found[r[0]].drawn if r[4] < most else 0)) for r in known if r[0] in found]
-    quotas = split_quotas([n for _, _, n in present], shards, seed).cumsum(axis=0) if present else np.zeros((shards, 0), np.int64)
-    ends = spark.createDataFrame([(s, b, quotas[:, i].tolist()) for i, (s, b, _) in enumerate(present)], "name string, present int, ends array<long>").coalesce(1)
     # The shard of each of a block's draws: its slot in the source's permuted passes falls into the run that a shard owns.
-    slots = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("present") + F.col("rank"))
-    placed = counts.join(ends, F.col("source").eqNullSafe(F.col("name"))).select(F.col("source").alias("of"), F.col("block").alias("at"), "words", "rest", F.transform(slots, lambda x: F.size(F.filter("ends", lambda e: e <= x))).alias("owners"))
+    numbered = spark.createDataFrame([(s, i, b, max(1, -(-n // shards))) for i, (s, b, n) in enumerate(present)], "name string, number int, present int, width long").coalesce(1)
+    slots = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.struct(p.alias("turn"), (p * F.col("present") + F.col("rank")).cast("long").alias("slot")))
+    named = counts.join(numbered, F.col("source").eqNullSafe(F.col("name"))).select(F.col("source").alias("of"), F.col("block").alias("at"), "words", "rest", "rank", "number", "present", "width")
+    asked = named.select("number", "rank", "width", F.explode(slots).alias("s")).select("number", "rank", F.floor(F.col("s.slot") / F.col("width")).alias("bucket"), "s.turn", "s.slot")
+    runs = work.save(shard_runs(spark, [n for *_, n in present], shards, seed), "runs")
+    owned = asked.join(runs, ["number", "bucket"]).where((F.col("slot") >= F.col("start")) & (F.col("slot") < F.col("end")))
+    owners = owned.groupBy("number", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "shard"))), lambda x: x["shard"]).alias("owners"))  # at most ``most``
+    placed = named.join(owners, ["number", "rank"], "left").select("of", "at", "words", "rest", F.coalesce("owners", F.array().cast("array<int>")).alias("owners"))
     joined = dealt.join(work.save(placed, "placed"), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
     #: Of the last pass, blocks before the boundary are taken whole; the one block across it only up to the target.
     across = (F.col("rest") > 0) & (F.col("rest") < F.col("words")) & (F.col("passes") < most)

@@ -536,6 +536,26 @@ def test_what_a_mix_takes_is_recomputed(spark, docs):
     assert got == want
 
 
+def test_quotas_of_more_draws_than_numpy_samples_at_once():
+    draws = [12_000_000 + 1000 * k for k in range(300)]
+    shards = 64
+    q = mixing.split_quotas(draws, shards)
+    assert q.sum(axis=0).tolist() == draws and q.min() > 0 and sum(draws) > 3 * 10**9
+    assert np.ptp(q.sum(axis=1)) <= shards and np.abs(q / np.array(draws) * shards - 1).max() < 0.02
+    one = mixing.portion(np.array([5 * 10**9, 3]), 10**9, np.random.default_rng(1))
+    assert one.sum() == 10**9 and one[1] <= 3
+
+
+def test_runs_of_shards_are_those_of_the_quotas(spark):
+    draws, shards = [100, 7, 0, 4000, 1], 19
+    want = mixing.split_quotas(draws, shards, 5)
+    ends = want.cumsum(axis=0)
+    runs = mixing.shard_runs(spark, draws, shards, 5)
+    got = {tuple(r) for r in runs.select("number", "shard", "start", "end").distinct().collect()}
+    assert got == {(i, s, int(ends[s, i] - want[s, i]), int(ends[s, i])) for s in range(shards) for i in range(5) if want[s, i]}
+    assert runs.count() <= 3 * len(got) and "CartesianProduct" not in mixing.mix_sources(odd(spark))._jdf.queryExecution().toString()
+
+
 def test_splitting_tree():
     q = mixing.split_quotas([100, 7, 0, 4000], 16)
     assert q.sum(axis=0).tolist() == [100, 7, 0, 4000] and max(q.sum(axis=1)) - min(q.sum(axis=1)) <= 4 and (q >= 0).all()
