@@ -6,7 +6,7 @@ from feedloom.functions import html
 from feedloom.operators import entries as E
 from feedloom.plans.registry import query, t
 from feedloom.sources import feeds
-from feedloom.streaming import health
+from feedloom.streaming import health, memory
 
 
 @query("k1_sanitised")
@@ -99,3 +99,13 @@ def m9(s, d):
 @query("m10_recent_memory", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 300 AND ts >= TIMESTAMP '2024-01-29 12:00:00'")
 def m10(s, d):
     return E.newest_and_young(t(s, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 300, F.expr("ts >= timestamp_ntz '2024-01-29 12:00:00'")).select("user_id", "event_id")
+
+
+@query("m10_refused_extractions", """WITH RECURSIVE e AS (SELECT user_id AS feed, event_id AS entry, event_type AS f, epoch_us(ts) // 1000 AS at_ms FROM events),
+    c(feed, f, entry, at_ms) AS (SELECT feed, f, arg_min(entry, (at_ms, entry)), min(at_ms) FROM e GROUP BY feed, f UNION ALL SELECT e.feed, e.f, arg_min(e.entry, (e.at_ms, e.entry)), min(e.at_ms) FROM c JOIN e ON e.feed = c.feed AND e.f = c.f AND e.at_ms - c.at_ms > 21600000 GROUP BY e.feed, e.f),
+    s AS (SELECT e.feed, e.entry, e.at_ms, max_by(c.entry, (c.at_ms, c.entry)) AS noted FROM e JOIN c ON c.feed = e.feed AND c.f = e.f AND (c.at_ms < e.at_ms OR c.at_ms = e.at_ms AND c.entry <= e.entry) GROUP BY ALL)
+    SELECT feed, entry, at_ms AS "at", CASE WHEN noted <> entry THEN noted END AS sibling FROM s""")
+def m10_refused(s, d):
+    """Events whose kind the same user's memory holds for another one of the last six hours."""
+    e = t(s, d, "events").select(F.col("user_id").alias("feed"), F.col("event_id").alias("entry"), F.col("event_type").alias("fingerprint"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return memory.replayed(e)
