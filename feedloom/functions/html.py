@@ -10,18 +10,19 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions.clean import sanitised  # noqa: F401  the tree sanitiser under its known name
+from feedloom.functions.clean import sanitised  # noqa: F401  the tree's functions under their known names
+from feedloom.functions.images import gallery, lead_image  # noqa: F401
 
 DROPPED = frozenset("script style iframe object embed form noscript template svg math".split())
 VOID = frozenset("br hr img".split())
 
 
 class Collector(HTMLParser):
-    """Links, images and visible text of a page."""
+    """Links and visible text of a page."""
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.links, self.images, self.text, self.skip, self.open = base, [], [], [], 0, None
+        self.base, self.links, self.text, self.skip, self.open = base, [], [], 0, None
 
     def handle_starttag(self, tag, attrs):
         own = dict(attrs)
@@ -29,10 +30,6 @@ class Collector(HTMLParser):
             self.skip += 1
         elif tag == "a" and own.get("href"):
             self.open = [urljoin(self.base, own["href"]), ""]
-        elif tag == "img":
-            source = own.get("data-src") or own.get("src") or best_of_srcset(own.get("srcset") or "")
-            if source:
-                self.images.append((urljoin(self.base, source), number(own.get("width")), number(own.get("height")), own.get("alt") or ""))
 
     def handle_endtag(self, tag):
         if tag in DROPPED:
@@ -48,36 +45,6 @@ class Collector(HTMLParser):
                 self.open[1] += data
 
 
-def number(value: str | None) -> int:
-    m = re.match(r"\d+", value or "")
-    return int(m[0]) if m else 0
-
-
-def best_of_srcset(text: str) -> str:
-    """The candidate with the largest width, or density times 1000; the first of equals."""
-    best, size = "", -1.0
-    for part in text.split(","):
-        bits = part.split()
-        if bits:
-            m = re.match(r"([\d.]+)([wx])$", bits[1]) if len(bits) > 1 else None
-            own = float(m[1]) * (1000 if m[2] == "x" else 1) if m else 1000.0
-            if own > size:
-                best, size = bits[0], own
-    return best
-
-
-#: Fixed values of our own: marks of pictures that illustrate nothing.
-CHROME = re.compile(r"(?i)(?:pixel|tracker|spacer|blank|emoji|avatar|logo|icon|sprite|badge|button|placeholder|doubleclick|/ads?/)")
-
-
-def image_score(url: str, width: int, height: int, alt: str, place: int) -> int:
-    """Additive: size, shape, alternative text and first place; chrome and tiny images score below zero."""
-    if CHROME.search(url) or 0 < width < 50 or 0 < height < 50:
-        return -100
-    area = width * height
-    return (40 if area >= 200_000 else 20 if area >= 40_000 else 0) + (10 if len(alt) > 8 else 0) + (10 if place == 0 else 0) - (15 if height and width > 4 * height else 0)
-
-
 def collected(h: str | None, b: str | None) -> Collector:
     c = Collector(b or "")
     c.feed(h or "")
@@ -97,18 +64,6 @@ def links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.StructType([T.StructField("url", T.StringType()), T.StructField("score", T.IntegerType())]))
-def lead_image(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-    """The best image at or above zero; the first of equals."""
-    out = []
-    for h, b in zip(html, base, strict=True):
-        scored = [(image_score(u, w, hh, alt, k), -k, u) for k, (u, w, hh, alt) in enumerate(collected(h, b).images)]
-        best = max(scored, default=(-1, 0, None))
-        out.append((best[2], best[0]) if best[0] >= 0 else (None, None))
-    frame = pd.DataFrame(out, columns=["url", "score"])
-    return frame.astype({"score": "Int32"})
-
-
 @F.pandas_udf(T.StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: " ".join(" ".join(collected(h, "").text).split()))
@@ -150,16 +105,3 @@ def outlined(h: str | None, b: str | None) -> Outline:
 def announced_feeds(html: pd.Series, base: pd.Series) -> pd.Series:
     """Feeds that a page's head announces, in order."""
     return pd.Series([[{"url": u, "title": t} for u, t in outlined(h, b).feeds] for h, b in zip(html, base, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def gallery(html: pd.Series, base: pd.Series) -> pd.Series:
-    """A page's pictures in order, each file name once, without chrome and tiny ones."""
-    out = []
-    for h, b in zip(html, base, strict=True):
-        seen: dict[str, str] = {}
-        for k, (u, w, hh, alt) in enumerate(collected(h, b).images):
-            if image_score(u, w, hh, alt, k) >= 0:
-                seen.setdefault(re.sub(r"-\d+x\d+(?=\.\w+$)", "", re.split("[?#]", u)[0].rsplit("/", 1)[-1]), u)
-        out.append(list(seen.values()))
-    return pd.Series(out, dtype=object)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from feedloom.functions import body, clean, edits, lists
+from feedloom.functions import body, clean, edits, images, lists
 from feedloom.operators import entries as E
 from feedloom.plans.documents import LINKS
 from feedloom.plans.registry import query, t
@@ -97,3 +97,30 @@ def b10(s, d):
     p = t(s, d, "pages").select("page_id", "url", F.explode(lists.list_items(F.concat("html", F.lit(PLANTED_LIST)), F.col("url"), F.lit("ol.updates > li"))).alias("i")).select("page_id", F.col("i.url").alias("url"), "i.title", F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("root"))
     seen = t(s, d, "pages").select("page_id", F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.get(F.array(F.lit("/u/1"), F.lit("/u/2"), F.lit("/u/2#x")), (F.col("page_id") % 3).cast("int"))).alias("url"))
     return p.join(seen, ["page_id", "url"], "left_anti").select("page_id", "url", "title")
+
+
+def illustrated():
+    """A page with pictures planted in its article, and more around it; what wins depends on the page's number and address."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    inside = F.concat(
+        F.lit('<article><img src="/pixel.gif"><img class="avatar" src="/me.jpg"><img src="/small-90x60.jpg"><figure><img alt="The first of the pictures" src="/first-'), n, F.lit('.jpg"></figure><picture><source type="image/webp" srcset="/w-'), n, F.lit('.webp 500w, /wide-'), n,
+        F.lit('.webp 1500w"><img src="/second.jpg" class="'), F.when(k == 1, "hero-image").otherwise("plain"), F.lit('"></picture><div class="'), F.when(k == 2, "comic-body").otherwise("box"), F.lit('"><div><img src="data:image/gif;base64,R0" data-src="strip-'), n, F.lit('.png" width="700" height="300"></div></div>'),
+    )
+    around = F.lit('</article><div class="related-posts"><ul><li><div><img class="hero-image" src="/other.jpg"></div></li></ul></div><a href="https://twitter.com/x"><img src="/t.jpg" class="hero"></a>')
+    return F.regexp_replace(F.regexp_replace("html", "<article>", inside), "</article>", around)
+
+
+PICTURES = """SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') AS folder, page_id % 4 AS k FROM pages"""
+
+
+@query("l2_l5_page_images", f"""WITH p AS ({PICTURES}) SELECT page_id, CASE WHEN k = 1 THEN root || '/wide-' || page_id || '.webp' ELSE root || '/first-' || page_id || '.jpg' END AS url, CASE WHEN k = 1 THEN 160 ELSE 15 END AS score,
+    CASE WHEN k <> 1 THEN 'The first of the pictures' END AS alt, CASE WHEN k = 2 THEN folder || 'strip-' || page_id || '.png' END AS comic FROM p""")
+def l2_l5(s, d):
+    """Lead image with its points, and comic panel, of each page."""
+    i = images.lead_image(illustrated(), F.col("url"))
+    return t(s, d, "pages").select("page_id", i.alias("i")).select("page_id", "i.url", "i.score", "i.alt", "i.comic")
+
+
+@query("l7_page_galleries", f"WITH p AS ({PICTURES}) SELECT page_id, root || '/first-' || page_id || '.jpg ' || root || '/wide-' || page_id || '.webp ' || folder || 'strip-' || page_id || '.png' AS images FROM p")
+def l7(s, d):
+    return t(s, d, "pages").select("page_id", F.array_join(images.gallery(illustrated(), F.col("url")), " ").alias("images"))
