@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.session import scratch
+
 from feedloom.functions.text import folded
 
 
@@ -34,11 +36,31 @@ def after_cursor(df: DataFrame, key: Column, cursor, size: int, tiebreak: Sequen
     return beyond.orderBy(key.desc() if newest_first else key.asc(), *tiebreak).limit(size)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Every row with its number from 1 in one order of all rows: dealt and sorted by ranges, numbered within them, and moved by what lies before.
+
+    The dealt rows are written once to the shared folder, as ranges are drawn from a sample and must stay as they are. Of each
+    part one count reaches the driver. Rows that agree in the whole order get any of their numbers.
+    """
+    spark, tie = df.sparkSession, F.col("tie").asc()
+    dealt = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop("tie")
+    path = scratch(spark, "numbered")
+    dealt.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    saved = spark.read.parquet(path)
+    part = F.call_function("shiftright", F.col("at"), F.lit(33))
+    before, shifts = 1, []
+    for p, n in sorted((r.part, r.n) for r in saved.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        shifts.append((p, before - (p << 33)))
+        before += n
+    parts = spark.createDataFrame(shifts, "part long, shift long")
+    return saved.withColumn("part", part).join(F.broadcast(parts), "part").withColumn(name, F.col("at") + F.col("shift")).select(*df.columns, name)  # a row for each part
+
+
 def relative_to(df: DataFrame, order: Sequence[Column], anchor: Column, above: bool) -> DataFrame:
-    """Rows before or after the anchor in the whole order."""
-    ranked = df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    at = ranked.where(anchor).agg(F.min("position").alias("at"))
-    return ranked.crossJoin(F.broadcast(at)).where(F.col("position") < F.col("at") if above else F.col("position") > F.col("at")).drop("at")  # one row
+    """Rows before or after the anchor in the whole order; without a row that is the anchor, none. Of several the first counts."""
+    ranked = numbered(df, order)
+    at = ranked.where(anchor).agg(F.min("position")).first()[0]
+    return ranked.where(F.lit(False) if at is None else F.col("position") < at if above else F.col("position") > at)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

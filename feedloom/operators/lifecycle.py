@@ -60,11 +60,24 @@ def duplicates(entries: DataFrame, mode: str, hours: int = 168, percent: int = 8
     else:
         key = url.host_slug(F.col("link")) if mode == "slug" else F.when(F.size(words) >= least, F.concat_ws(" ", words))
     # Of a group, copies further apart than the window form runs of their own, each with its own keeper.
-    keyed = e.withColumn("key", key).where("key is not null").withColumn("us", F.unix_micros(F.col("published").cast("timestamp")))
-    w = Window.partitionBy("key").orderBy("us", *KEY)
-    run = keyed.withColumn("run", F.sum(F.when(F.col("us") - F.lag("us").over(w) <= hours * 3_600_000_000, 0).otherwise(1)).over(w))
-    keeper = run.withColumn("k", F.first(F.struct(*KEY)).over(Window.partitionBy("key", "run").orderBy("us", *KEY)))
-    return keeper.where((F.col("k.feed") != F.col("feed")) | (F.col("k.id") != F.col("id"))).select(*KEY, F.col("k.feed").alias("kept_feed"), F.col("k.id").alias("kept_id"))
+    keyed = e.select(*KEY, key.alias("key"), F.unix_micros(F.col("published").cast("timestamp")).alias("us")).where("key is not null and us is not null")
+    return later_copies(keyed, hours * 3_600_000_000)
+
+
+def later_copies(rows: DataFrame, apart: int) -> DataFrame:
+    """(feed, id, kept_feed, kept_id) of rows (feed, id, key, us) that follow the first of their run: rows of a key none of which comes more than ``apart`` after the one before.
+
+    Rows of a key within one slot of that length are of one run, whatever lies between them. So rows are summed up by key and
+    slot, a key however frequent in as many tasks as its rows come from, and only slots are put in order.
+    """
+    slot = F.floor(F.col("us") / apart) if apart else F.col("us")
+    dealt = rows.withColumn("slot", slot)
+    blocks = dealt.groupBy("key", "slot").agg(F.min("us").alias("start"), F.max("us").alias("end"), F.min(F.struct("us", *KEY)).alias("first"))
+    w = Window.partitionBy("key").orderBy("slot")
+    run = blocks.withColumn("run", F.sum(F.when(F.col("start") - F.lag("end").over(w) <= apart, 0).otherwise(1)).over(w))
+    keeper = run.select("key", "slot", F.min("first").over(Window.partitionBy("key", "run")).alias("k"))
+    joined = dealt.join(keeper, ["key", "slot"])
+    return joined.where((F.col("k.feed") != F.col("feed")) | (F.col("k.id") != F.col("id"))).select(*KEY, F.col("k.feed").alias("kept_feed"), F.col("k.id").alias("kept_id"))
 
 
 def cleanup(entries: DataFrame, saved_feed: str, hours: int = 1 << 20) -> DataFrame:
@@ -142,13 +155,13 @@ def saved_duplicates(saved: DataFrame, least: int = 5) -> DataFrame:
 
     Confirmed ones share a link key or a host and slug; possible ones only a title of ``least`` words.
     """
-    rank = [F.desc(F.coalesce(F.length("content") > 0, F.lit(False))), F.desc(F.col("link").startswith("https:")), F.asc("published"), *[F.asc(c) for c in KEY]]
+    rank = F.struct((~F.coalesce(F.length("content") > 0, F.lit(False))).alias("bare"), (~F.col("link").startswith("https:")).alias("plain"), "published", *KEY)
     words = F.split(F.trim(text.normal_title(F.col("title"))), " ")
 
     def copies(rows: DataFrame, key: Column, tier: str) -> DataFrame:
-        w = Window.partitionBy("key").orderBy(*rank)
-        k = rows.withColumn("key", key).where("key is not null").withColumn("k", F.first(F.struct(*KEY)).over(w)).withColumn("n", F.row_number().over(w))
-        return k.where("n > 1").select(*KEY, F.col("k.feed").alias("kept_feed"), F.col("k.id").alias("kept_id"), F.lit(tier).alias("tier"))
+        k = rows.select(*KEY, key.alias("key"), rank.alias("rank")).where("key is not null")
+        best = k.groupBy("key").agg(F.min("rank").alias("k"))
+        return k.join(best, "key").where("rank > k").select(*KEY, F.col("k.feed").alias("kept_feed"), F.col("k.id").alias("kept_id"), F.lit(tier).alias("tier"))
 
     by_link = copies(saved, url.link_key(F.col("link")), "confirmed")
     by_slug = copies(saved.join(by_link, KEY, "left_anti"), url.host_slug(F.col("link")), "confirmed")

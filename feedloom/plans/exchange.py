@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from feedloom.plans.registry import query, t
+from feedloom.session import scratch
 from feedloom.sources import exchange, feeds
 
 
 def there_and_back(s, df, kind: str):
     exchange.register(s)
-    path = exchange.scratch(s, kind)
+    path = scratch(s, kind)
     df.write.format(kind).mode("append").save(path)
     return s.read.format(kind).load(path)
 

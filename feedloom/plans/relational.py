@@ -148,6 +148,14 @@ def e11(s, d):
     return t(s, d, "events").where("ts is null or ts between timestamp_ntz '2024-01-05 00:00:00' and timestamp_ntz '2024-01-06 00:00:00'").select("event_id")
 
 
+@query("e14_below_in_whole_order", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS position FROM events) SELECT event_id, position FROM r WHERE position > (SELECT position FROM r WHERE event_id = (SELECT min(event_id) FROM events WHERE event_type = 'purchase'))""")
+def e14_whole(s, d):
+    """All events after the first purchase by number, in one order of all users' events."""
+    e = t(s, d, "events").select("event_id", "ts", "event_type")
+    first = e.where("event_type = 'purchase'").agg(F.min("event_id")).first()[0]
+    return E.relative_to(e, [F.desc("ts"), F.asc("event_id")], F.col("event_id") == first, above=False).select("event_id", "position")
+
+
 @query("e14_range_above", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS p FROM events WHERE user_id = 3)
     WHERE p < (SELECT p FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS p FROM events WHERE user_id = 3) ORDER BY abs(p - 5) LIMIT 1)""")
 def e14(s, d):

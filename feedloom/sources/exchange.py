@@ -11,14 +11,12 @@ import csv
 import io
 import json
 import re
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from functools import cache
 from xml.etree.ElementTree import iterparse
 from xml.sax.saxutils import escape, quoteattr
 
@@ -387,16 +385,3 @@ def merged(existing: DataFrame, takeout: DataFrame, kind: str, keys: list[str])
     match = [F.col(f"there.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
     added = rows.alias("new").join(existing.select(*keys).distinct().alias("there"), match, "left_anti").dropDuplicates(keys)
     return existing.unionByName(added), added
-
-
-@cache
-def own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="feedloom-exchange-")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for an export, in the folder that driver and executors share; a local session without one uses a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or own_folder(spark.conf.get('spark.app.id'))).rstrip('/')}/{name}-{uuid.uuid4().hex}"
