@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from feedloom.functions import body, clean, edits, images, lists
+from feedloom.operators import discovery
 from feedloom.operators import entries as E
 from feedloom.plans.documents import LINKS
 from feedloom.plans.registry import query, t
@@ -124,3 +125,28 @@ def l2_l5(s, d):
 @query("l7_page_galleries", f"WITH p AS ({PICTURES}) SELECT page_id, root || '/first-' || page_id || '.jpg ' || root || '/wide-' || page_id || '.webp ' || folder || 'strip-' || page_id || '.png' AS images FROM p")
 def l7(s, d):
     return t(s, d, "pages").select("page_id", F.array_join(images.gallery(illustrated(), F.col("url")), " ").alias("images"))
+
+
+@query("b19_discovered_feeds", """WITH p AS (SELECT page_id AS n, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS folder FROM pages),
+    a AS (SELECT *, root || '/f/' || n || '.xml' AS main, root || '/f/' || n || '-2.json' AS more, length(url) AS u, length(root || folder) AS k FROM p),
+    r AS (SELECT n, CASE WHEN u % 11 = 10 THEN 'unreachable' WHEN u % 11 = 9 AND k % 5 = 0 THEN 'path' WHEN u % 11 = 9 THEN 'refused' WHEN u % 11 = 8 THEN 'empty' WHEN n % 4 IN (0, 3) THEN 'announced' WHEN k % 5 = 0 THEN 'path'
+        WHEN k % 7 = 0 THEN 'query' WHEN n % 4 = 1 THEN 'announced, gone' ELSE 'announced, refused' END AS why, url, root, folder, main, more FROM a)
+    SELECT n AS page_id, CASE why WHEN 'unreachable' THEN 'error' WHEN 'refused' THEN 'error' WHEN 'empty' THEN 'blocked' WHEN 'announced' THEN CASE WHEN n % 4 = 3 THEN 'feeds' ELSE 'feed' END WHEN 'query' THEN 'feeds' WHEN 'announced, gone' THEN 'none' ELSE 'feed' END AS status, why,
+        CASE why WHEN 'announced' THEN CASE WHEN n % 4 = 3 THEN main || ' ' || more ELSE main END WHEN 'path' THEN root || folder || '/rss' WHEN 'query' THEN root || folder || '/?feed=rss2 ' || root || folder || '/?feed=atom' WHEN 'announced, refused' THEN main ELSE '' END AS feeds FROM r""")
+def b19(s, d):
+    """Each page with announcements planted in its head, and probes whose answers depend on its number."""
+    n, root = F.col("page_id"), discovery.root_of(F.col("url"))
+    number = n.cast("string")
+    folder = F.concat(root, F.rtrim(discovery.path_of(F.col("url")), F.lit("/")))
+    u, k = F.length("url"), F.length(folder)
+    main, more = F.concat(root, F.lit("/f/"), number, F.lit(".xml")), F.concat(root, F.lit("/f/"), number, F.lit("-2.json"))
+    links = F.concat(F.lit('<head><link rel="alternate" type="application/rss+xml" href="/f/'), number, F.lit('.xml"><link rel=stylesheet href=x>'), F.when(n % 4 == 3, F.concat(F.lit('<link title=x type="application/feed+json" href="/f/'), number, F.lit('-2.json" rel="ALTERNATE home">'))).otherwise(""))
+    pages = t(s, d, "pages").select("page_id", "url", F.regexp_replace("html", "<head>", links).alias("html"))
+    answer = lambda url, code, kind, size=9999: F.struct(url.alias("url"), code.cast("int").alias("status"), F.lit(kind).alias("content_type"), F.lit(size).alias("size") if isinstance(size, int) else size.alias("size"))
+    asked = F.array(
+        F.when(u % 11 != 10, answer(F.col("url"), F.when(u % 11 == 9, 503).otherwise(200), "text/html; charset=utf-8", F.when(u % 11 == 8, 100).otherwise(5000))),
+        F.when(n % 4 != 3, answer(main, F.get(F.array(F.lit(200), F.lit(404), F.lit(403)), (n % 4).cast("int")), "application/rss+xml")), F.when(k % 5 == 0, answer(F.concat(folder, F.lit("/rss")), F.lit(200), "application/xml")), answer(F.concat(folder, F.lit("/feed")), F.lit(200), "text/html"),
+        F.when(k % 7 == 0, answer(F.concat(folder, F.lit("/?feed=rss2")), F.lit(200), "application/rss+xml")), F.when(k % 7 == 0, answer(F.concat(folder, F.lit("/?feed=atom")), F.lit(204), "application/atom+xml")), answer(F.concat(folder, F.lit("/?feed=rss")), F.lit(404), "application/rss+xml"),
+    )
+    probes = pages.select(F.explode(F.filter(asked, lambda a: a.isNotNull())).alias("a")).select("a.*").dropDuplicates(["url"])
+    return discovery.discovered(pages, probes).select("page_id", "status", "why", F.array_join("feeds", " ").alias("feeds"))
