@@ -262,6 +262,14 @@ def j6(s, d):
     return L.reattached(captures, e.where("number % 3 <> 0")).select("old_id", "id")
 
 
+@query("j6_moved_captures", f"""WITH {ENTRIES}, u AS (SELECT link, min(id) AS id FROM entries GROUP BY link HAVING count(*) = 1) SELECT 'x' || number AS old_id, u.id FROM entries JOIN u USING (link) WHERE number % 3 = 0 AND number % 6 <> 0""")
+def j6_moved(s, d):
+    """Captures of a feed that is gone, by other spellings of their links; half of the entries have a capture already."""
+    e = entries(s, d)
+    old = e.where("number % 3 = 0").select(F.lit("https://gone.example.com/feed").alias("feed"), F.concat(F.lit("x"), "id").alias("id"), F.replace("link", F.lit("https://www."), F.lit("http://")).alias("link"), F.col("published").alias("saved_at"))
+    return L.reattached(old.unionByName(e.where("number % 6 = 0").select("feed", "id", "link", F.col("published").alias("saved_at"))), e).select("old_id", "id")
+
+
 @query("j9_reclaimed", "SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' THEN CASE WHEN user_id % 4 >= 3 THEN 'failed' ELSE 'pending' END WHEN event_type = 'view' THEN 'in_progress' ELSE 'complete' END AS status FROM events")
 def j9(s, d):
     q = t(s, d, "events").select("event_id", F.when(F.col("event_type") == "view", "in_progress").otherwise("complete").alias("status"), F.col("ts").alias("started"), (F.col("user_id") % 4).alias("tries"))

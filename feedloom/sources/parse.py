@@ -16,12 +16,14 @@ RSS = (
     f"`media:thumbnail`:array<{MEDIA}>,`media:content`:array<{MEDIA}>,enclosure:array<{MEDIA}>>>>"
 )
 ATOM = f"title string, entry array<struct<id:string,title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string,category:array<{CATEGORY}>,content:string,summary:string>>"
+#: An Atom feed's first element, behind any prolog, comments and declarations.
+ATOM_ROOT = r"(?s)^(?:\s+|<\?.*?\?>|<!--.*?-->|<!(?!--)[^>]*>)*+<(?:[\w.-]+:)?feed[\s/>]"
 JSON_FEED = "title string, items array<struct<id:string,title:string,url:string,date_published:string,tags:array<string>,content_html:string,content_text:string>>"
 
 
 def cleaned(text: Column) -> Column:
     """A response without control characters that XML forbids and without anything before its first bracket or brace."""
-    return F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r"^[\s﻿]+", "")
+    return F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r"^[^<{]+", "")
 
 
 def feed_time(text: Column) -> Column:
@@ -55,11 +57,11 @@ def best_media(found: Column) -> Column:
 def parsed(df: DataFrame, text: str = "text") -> DataFrame:
     """Each feed's entries: the frame's other columns with id, title, link, published, tags, thumbnail, content.
 
-    RSS, Atom or JSON Feed, told by the text's beginning. An entry without an id goes by its link; what can't be parsed gives no rows.
+    RSS, Atom or JSON Feed, told by the first element or brace. An entry without an id goes by its link; what can't be parsed gives no rows.
     """
     other = [c for c in df.columns if c != text]
     body = df.select(*other, cleaned(F.col(text)).alias("body"))
-    kind = F.when(F.col("body").startswith("{"), "json").when(F.substring("body", 1, 2000).rlike(r"<feed[\s>]"), "atom").otherwise("rss")
+    kind = F.when(F.col("body").startswith("{"), "json").when(F.col("body").rlike(ATOM_ROOT), "atom").otherwise("rss")
     told = body.withColumn("kind", kind)
     none = F.lit(None).cast("string")
     media = f"array<{MEDIA}>"

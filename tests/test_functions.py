@@ -197,3 +197,11 @@ def test_saved_copies_keep_the_one_with_content(spark):
     rows = [("f", "1", "a b c d e", "http://x.y/1?utm_source=q", "", 1), ("g", "2", "t", "https://x.y/1?utm_source=q", "body", 2), ("h", "3", "a b c d e", "http://z.w/9", "body", 3), ("i", "4", "A, b c d e", "http://q.r/8", "", 4)]
     e = spark.createDataFrame(rows, "feed string, id string, title string, link string, content string, published int")
     assert {tuple(r) for r in lifecycle.saved_duplicates(e).collect()} == {("f", "1", "g", "2", "confirmed"), ("i", "4", "h", "3", "possible")}
+
+
+@pytest.mark.parametrize("before", ["", "Notice: undefined index\n", "\ufeff  ", "<?xml version='1.0'?><!-- " + "x" * 5000 + " <rss> --><!DOCTYPE feed>\n<!-- y -->", "\x01\x02"])
+def test_feeds_behind_junk_and_long_prologs(spark, before):
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title><entry><id>1</id><title>A</title><link href="https://a/"/></entry></feed>'
+    rss = "<rss><channel><item><guid>2</guid><title>mentions &lt;feed&gt;</title></item></channel></rss>"
+    df = spark.createDataFrame([("a", before + atom), ("r", before + rss), ("j", (before if "<" not in before else "") + '{"items":[{"id":"3","title":"<feed>"}]}')], "feed string, text string")
+    assert sorted((r.feed, r.id) for r in parse.parsed(df).collect()) == [("a", "1"), ("j", "3"), ("r", "2")]
