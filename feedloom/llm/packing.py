@@ -222,7 +222,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """Packs every document into sequences of at most ``capacity`` tokens.
 
     Returns PIECES' columns with sequence_id and offset. Repeated rows are packed once each; a null
-    doc_id is kept. The number of a piece among those of its length comes from counts of (length,
+    doc_id is kept. A null or empty text is the end id alone, texts of any length are encoded whole, no rows give none, and
+    further columns aren't read. The number of a piece among those of its length comes from counts of (length,
     block) and its rank in its block; blocks are dealt by a hash and grow in number with the rows,
     so that no length, however frequent, meets in one task.
     """

@@ -249,7 +249,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row's whole text, repeated rows too; null and empty texts get the score of no evidence."""
+    """(doc_id, score) of each row's whole text, repeated rows too; null and empty texts get the score of no evidence.
+
+    Texts of any length are scored window by window, no rows give none, and further columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
@@ -265,7 +268,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text scores below ``threshold``, unchanged."""
+    """The rows whose text scores below ``threshold``, unchanged with all their columns; null, empty and very long texts as in ``score``, no rows give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()

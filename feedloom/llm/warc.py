@@ -80,16 +80,20 @@ def headers_of(data: bytes) -> dict[str, str]:
 
 
 def inflated(source: BinaryIO) -> Iterator[bytes]:
-    """The plain bytes of a gzip file of one member or several, chunk by chunk."""
+    """The plain bytes of a gzip file of one member or several, in chunks of bounded size however well they are compressed."""
     stream = zlib.decompressobj(31)
     while data := source.read(CHUNK):
-        while data:
-            yield stream.decompress(data)
-            data = stream.unused_data
+        while True:
+            out = stream.decompress(data, CHUNK)
+            yield out
             if stream.eof:
-                stream = zlib.decompressobj(31)
-            elif not data:
-                break
+                data, stream = stream.unused_data, zlib.decompressobj(31)
+                if not data:
+                    break
+            else:
+                data = stream.unconsumed_tail
+                if not data and len(out) < CHUNK:
+                    break
 
 
 def records_in(chunks: Iterator[bytes]) -> Iterator[bytes]:

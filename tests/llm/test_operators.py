@@ -127,6 +127,16 @@ def test_warc(spark, sf_dir, tmp_path):
     assert b"".join(warc.inflated(open(tmp_path / name, "rb"))) == plain  # every record, byte for byte
 
 
+def test_gzip_is_inflated_in_bounded_chunks(tmp_path):
+    import gzip
+
+    for k, plain in enumerate([b"", b"x", b"\0" * 9_000_000, bytes(range(256)) * 5000, b"\0" * (4 * warc.CHUNK)]):
+        (tmp_path / f"{k}.gz").write_bytes(gzip.compress(plain) + gzip.compress(b"second") + gzip.compress(plain))
+        with open(tmp_path / f"{k}.gz", "rb") as f:
+            chunks = list(warc.inflated(f))
+        assert b"".join(chunks) == plain + b"second" + plain and max(map(len, chunks)) <= warc.CHUNK
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = queries.op3_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").select("toxic", "score").toPandas()
     y, s = got.toxic.to_numpy(), got.score.to_numpy()
