@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions.tree import BLOCKS, Node, parsed
+from feedloom.functions.tree import BLOCKS, Node, parsed, select
+from feedloom.functions.url import article_host
 
 #: Fixed values of our own: names of blocks that hold no text of the page, or that hold it; elements that never do.
 CHROME = re.compile(r"(?i)(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|header|masthead|menu|meta|nav\w*|newsletter|pager|pagination|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?:$|[-_ ])")
@@ -125,3 +128,40 @@ def blocks_of(part: Node) -> list[str]:
 def readable(html: pd.Series) -> pd.DataFrame:
     """(html, text, words) of a page's body; nulls for an empty page."""
     return pd.DataFrame([read(h) for h in html], columns=["html", "text", "words"])
+
+
+@F.pandas_udf(T.StringType())
+def bare(html: pd.Series) -> pd.Series:
+    """A page without its chrome, at any depth; null stays null."""
+    return pd.Series([None if h is None else without_chrome(parsed(h)).html() for h in html], dtype=object)
+
+
+@dataclass(frozen=True)
+class Plugin:
+    """What a site's pages lose and what of them stays, by selectors: all that ``strip`` finds goes, then the first that ``content`` finds is the page."""
+
+    host: str
+    strip: tuple[str, ...] = ()
+    content: str | None = None
+
+
+def after_plugins(html: Column, link: Column, plugins: list[Plugin]) -> Column:
+    """A page after the plugin of its site, the first that fits; pages of other sites, and those whose content isn't found, keep what isn't stripped."""
+
+    @F.pandas_udf(T.StringType())
+    def run(pages: pd.Series, hosts: pd.Series) -> pd.Series:
+        def one(h: str | None, host: str | None) -> str | None:
+            own = next((p for p in plugins if host and (host == p.host or host.endswith("." + p.host))), None)
+            if h is None or own is None:
+                return h
+            root = parsed(h)
+            for s in own.strip:
+                for n in select(root, s):
+                    if n.parent is not None:
+                        n.replaced([])
+            kept = next(iter(select(root, own.content)), None) if own.content else None
+            return root.html() if kept is None else kept.html(own=True)
+
+        return pd.Series([one(*row) for row in zip(pages, hosts, strict=True)], dtype=object)
+
+    return run(html, article_host(link))

@@ -1,12 +1,16 @@
 """SURVEY 2.K and 2.B on the pages themselves: element trees, selectors, sanitised pages, replayed edits, bodies."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
-from feedloom.functions import body, clean, edits, images, lists
+from feedloom.functions import body, clean, dates, edits, html, images, lists, page
+from feedloom.functions import url as U
 from feedloom.operators import discovery
 from feedloom.operators import entries as E
 from feedloom.plans.documents import LINKS
 from feedloom.plans.registry import query, t
+from feedloom.sources import feeds
 
 #: What stands around an article: related blocks, comments and lists of links, within blocks of their own kind.
 RELATED = '<div class="related"><div><p>Related: other things, and more of them, that say nothing about this page, again and again.</p></div></div>'
@@ -150,3 +154,92 @@ def b19(s, d):
     )
     probes = pages.select(F.explode(F.filter(asked, lambda a: a.isNotNull())).alias("a")).select("a.*").dropDuplicates(["url"])
     return discovery.discovered(pages, probes).select("page_id", "status", "why", F.array_join("feeds", " ").alias("feeds"))
+
+
+def planted(before: str, what):
+    """The page with something put before what occurs in it once."""
+    return F.replace("html", F.lit(before), F.concat(what, F.lit(before)))
+
+
+def letters(piece: str) -> str:
+    """SQL for the letters of a piece of a page, its tags gone and its entities read."""
+    out = f"regexp_replace({piece}, '<[^>]+>', '', 'g')"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{sign}')"
+    return f"md5(regexp_replace({out}, '\\s+', '', 'g'))"
+
+
+ARTICLE = letters("regexp_extract(html, '<article>(.*)</article>', 1, 's')")
+
+
+@query("l10_page_chrome", f"SELECT page_id, {ARTICLE} AS body FROM pages")
+def l10(s, d):
+    """Pages without navigation, adverts, footers and what is planted of related blocks, comments and lists, within blocks of their own kind."""
+    around = F.replace(F.replace("html", F.lit("</article>"), F.lit(f"{COMMENTS}</article></div></div>{SIDEBAR}")), F.lit("<article>"), F.lit(f'<div class="wrap"><div>{RELATED}<article>'))
+    return t(s, d, "pages").select("page_id", F.md5(F.regexp_replace(html.visible_text(body.bare(around)), r"\s+", "")).alias("body"))
+
+
+@query("k13_page_plugins", f"""WITH p AS (SELECT page_id, html, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '<!DOCTYPE html>', '') AS h FROM pages)
+    SELECT page_id, CASE WHEN ends_with(host, '.example.com') THEN {ARTICLE} WHEN ends_with(host, '.example.net') THEN {letters("regexp_replace(h, '<div class=.ad.>[^<]*</div>', '', 'g')")} ELSE {letters("h")} END AS letters FROM p""")
+def k13(s, d):
+    """Each page after its site's plugin: one keeps the article, one strips adverts with the blocks in them, others change nothing."""
+    plugins = [body.Plugin("example.com", ("div.ad", "nav > ul"), "body article"), body.Plugin("example.net", ("body > .ad, div.nothing",), "main.none")]
+    nested = F.replace("html", F.lit('<div class="ad">'), F.lit('<div class="ad"><div class="in"><div></div></div>'))
+    return t(s, d, "pages").select("page_id", F.md5(F.regexp_replace(html.visible_text(body.after_plugins(nested, F.col("url"), plugins)), r"\s+", "")).alias("letters"))
+
+
+@query("k7_tags_of_pages", "SELECT page_id, 'alpha,key-' || (page_id % 9) || ',beta,gamma' AS tags FROM pages")
+def k7(s, d):
+    """Tags planted in the heads and bodies of pages, in the order of trust, among the pages' own links."""
+    head = F.concat(F.lit('<meta name="keywords" content="beta, alpha"><script type="application/ld+json">{"keywords":["Key '), (F.col("page_id") % 9).cast("string"), F.lit('","alpha"]}</script><meta property="article:tag" content="Alpha">'))
+    tail = F.lit('<a rel="nofollow tag" href="/x">Gamma</a><a href="/2019" rel="tag">2019</a><a rel="tag">2020</a><a rel="tag">2021</a></article>')
+    return t(s, d, "pages").select("page_id", F.array_join(page.page_tags(F.replace(planted("</head>", head), F.lit("</article>"), tail)), ",").alias("tags"))
+
+
+@query("k12_embeds_of_pages", "SELECT page_id, 'https://www.youtube.com/embed/abcdefghi' || lpad(CAST(page_id % 90 AS VARCHAR), 2, '0') || ' https://x.org/a.mp3' AS embeds FROM pages")
+def k12(s, d):
+    """Players that a page holds, one of them also in its stored body."""
+    two = F.lpad((F.col("page_id") % 90).cast("string"), 2, "0")
+    players = F.concat(F.lit('<iframe src="https://www.youtube.com/embed/abcdefghi'), two, F.lit('"></iframe><div><iframe src="https://www.youtube.com/embed/ABCDEFGHIJK"></iframe><audio src="https://x.org/a.mp3"></audio></div>'))
+    stored = planted("</article>", F.lit('<iframe src="https://www.youtube.com/embed/ABCDEFGHIJK"></iframe>'))
+    return t(s, d, "pages").select("page_id", F.array_join(page.missing_embeds(planted("</article>", players), stored), " ").alias("embeds"))
+
+
+@query("k11_challenges_of_pages", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Cloudflare challenge' WHEN 1 THEN 'AWS WAF challenge' END AS whose FROM pages")
+def k11(s, d):
+    """Pages with a challenge's marks in their heads, behind their first 4,096 bytes, or nowhere."""
+    k = F.col("page_id") % 4
+    far = F.concat(F.repeat(F.lit("x "), 2500), F.lit("awswaf"))
+    marked = F.when(k == 0, F.replace("html", F.lit("<title>"), F.lit("<title>Just a moment... "))).when(k == 1, planted("</head>", F.lit("<script src='AwsWaf.js'></script>"))).when(k == 2, planted("</article>", far)).otherwise(F.col("html"))
+    return t(s, d, "pages").select("page_id", page.challenge(F.lit("text/html; charset=utf-8"), marked).alias("whose"))
+
+
+@query("d7_dates_of_pages", "SELECT page_id, DATE '2020-01-01' + CAST(page_id % 200 AS INTEGER) AS day, CASE page_id % 5 WHEN 0 THEN 'og' WHEN 1 THEN 'json-ld' WHEN 2 THEN 'itemprop' WHEN 3 THEN 'meta' ELSE 'time' END AS source FROM pages")
+def d7(s, d):
+    """Dates planted in five places of pages, each with one of less trust in the text and one in the future before it."""
+    k = F.col("page_id") % 5
+    day = F.date_format(F.date_add(F.lit(datetime.date(2020, 1, 1)), (F.col("page_id") % 200).cast("int")), "yyyy-MM-dd")
+    og, ld = F.concat(F.lit('<meta content="'), day, F.lit('T10:00:00Z" property="article:published_time">')), F.concat(F.lit('<script type="application/ld+json">{"datePublished": "'), day, F.lit('"}</script>'))
+    prop, dc = F.concat(F.lit("<meta itemprop='datePublished' content='"), day, F.lit("'>")), F.concat(F.lit('<meta name="DC.date.issued" content="'), day, F.lit('">'))
+    head = F.when(k == 0, og).when(k == 1, ld).when(k == 2, prop).when(k == 3, dc).otherwise("")
+    text = F.when(k == 4, F.concat(F.lit('<time class="x" datetime="'), day, F.lit('"></time></article>'))).otherwise('<time datetime="1999-09-09"></time></article>')
+    future = F.when(k > 0, '<meta property="article:published_time" content="2031-01-01">').otherwise("")
+    found = dates.in_page(F.replace(planted("</head>", F.concat(future, head)), F.lit("</article>"), text), F.lit(datetime.date(2024, 1, 1)))
+    return t(s, d, "pages").select("page_id", found.alias("f")).select("page_id", F.col("f.date").alias("day"), "f.source")
+
+
+@query("b25_canonical_of_pages", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '#c' WHEN 1 THEN url || '#c' WHEN 2 THEN url || '#og' END AS canonical FROM pages")
+def b25(s, d):
+    """Canonical links in the heads of pages, with og:url beside them, instead of them, and neither."""
+    k = F.col("page_id") % 4
+    link, meta = F.concat(F.lit("<LINK href='"), "url", F.lit("#c' rel='canonical'>")), F.concat(F.lit('<meta content="'), "url", F.lit('#og" property="og:url">'))
+    head = F.when(k == 0, F.concat(meta, link)).when(k == 1, link).when(k == 2, meta).otherwise('<link rel="stylesheet" href="x">')
+    return t(s, d, "pages").select("page_id", feeds.canonical_link(planted("</head>", head)).alias("canonical"))
+
+
+@query("c31_videos_of_pages", "SELECT page_id, 'abcdefghi' || lpad(CAST(page_id % 90 AS VARCHAR), 2, '0') || ' ZYXWVUTSRQP' AS videos FROM pages")
+def c31(s, d):
+    """Videos that pages link to and show, each once in its order."""
+    two = F.lpad((F.col("page_id") % 90).cast("string"), 2, "0")
+    text = F.concat(F.lit('<a href="https://youtu.be/abcdefghi'), two, F.lit('?t=1">v</a><iframe src="https://www.youtube-nocookie.com/embed/ZYXWVUTSRQP"></iframe><a href="https://www.youtube.com/watch?v=abcdefghi'), two, F.lit('">again</a>'))
+    return t(s, d, "pages").select("page_id", F.array_join(U.youtube_ids(planted("</article>", text)), " ").alias("videos"))
