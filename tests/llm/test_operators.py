@@ -719,4 +719,4 @@ def test_pipeline_stages_take_odd_rows_and_none(spark):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
