@@ -5,10 +5,12 @@ import html as escapes
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from feedloom.functions import body, clean, edits, lists, tree
+from feedloom.functions import batches, body, clean, edits, lists, tree
 from feedloom.plans import pages
 
 SOUP = """<p>|</p>|<div class="a">|</div>|<b>|</b>|<svg>|</svg>|<path d="M0"/>|<x>|</x>|<li>|<ul>|</ul>|<table>|<td>|<tr>|</table>|&lt;em&gt;|&lt;/em&gt;|text|<script>|</script>|<math>|<mi>|</math>|<a href="javascript:1">|<a href="x">|</a>|<!-- c -->
@@ -162,3 +164,20 @@ def test_selectors_of_links_find_their_groups(spark, sf_dir):
             assert [i["url"] for i in lists.found(page, row.url, s)] == list(dict.fromkeys(lists.item(a, row.url)[0] for a in links if id(a) in own))
     got = spark.createDataFrame([("<ul><li><a href='/a'>A</a><a href='/a'>B</a></ul>", "https://h/", s) for s in ("li", "li:hover", None)], "h string, b string, s string").select(lists.list_items("h", "b", "s").alias("i")).collect()
     assert [None if r.i is None else [tuple(x) for x in r.i] for r in got] == [[("https://h/a", "A")], None, [("https://h/a", "A")]]
+
+
+def test_results_leave_in_small_batches():
+    """Neither a batch of many rows nor one of large rows is held as Python objects whole."""
+    seen = []
+
+    def double(text):
+        seen.append(len(text))
+        return {"text": text * 2, "n": len(text)}
+
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
+    run = batches.by_row(kind)(double).func
+    out = run(iter([(pa.array(["ab"] * 1000),)]))
+    first = next(out)
+    assert len(first) == len(seen) == batches.ROWS and first[0].as_py() == {"text": "abab", "n": 2}
+    assert sum(map(len, out)) == 1000 - batches.ROWS
+    assert [len(x) for x in run(iter([pa.array(["x" * batches.CHARS] * 3), pa.array([], pa.string())]))] == [1, 1, 1]
