@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +76,36 @@ def redundant(rules: DataFrame, key: Sequence[str]) -> DataFrame:
     return rules.groupBy(*key).agg(F.count("*").alias("n"), F.min("rule_id").alias("keep")).where("n > 1")
 
 
+#: Words in a block of sets, and cells of a matrix, that a task holds at once.
+BLOCK, CELLS = 1 << 17, 1 << 22
+#: The percentage from which an index of rare words is quicker, and the share of a matrix that a word may fill to be counted pair by pair.
+FEW, RARE = 50, 1 / 500
+PAIRS = "a long, b long, shared int, united int"
+
+
 def fuzzy_pairs(df: DataFrame, ident: str, words: Column, percent: int = 80, least: int = 5) -> DataFrame:
-    """(a, b, shared, united) of word sets with at least ``least`` words and Jaccard similarity of ``percent`` or more.
+    """(a, b, shared, united) of word sets with at least ``least`` words and Jaccard similarity of ``percent`` or more; ids are numbers.
 
-    Equal sets form one class by its smallest id, and pairs are between classes. A set of n words indexes its
-    n - ceil(n * percent / 100) + 1 rarest words; similar sets share one of them, so frequent words join nothing.
+    Equal sets form one class by its smallest id, and pairs are between classes. From FEW percent on they are found by an index of
+    rare words. Below, most pairs share one of so many, so sets are dealt to blocks of a bounded number of words, and
+    each pair of blocks meets in one task that counts shared words: exact too, in bounded memory, with work that grows
+    with the square of the classes. Only similar pairs become rows.
     """
-    sets = df.select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(F.filter(words, lambda w: w != ""))).alias("w")).where(F.size("w") >= least)
+    sets = df.select(F.col(ident).cast("long").alias("id"), F.array_sort(F.array_distinct(F.filter(words, lambda w: w != ""))).alias("w")).where(F.size("w") >= least)
     sets = sets.groupBy("w").agg(F.min("id").alias("id"))
+    if percent >= FEW:
+        return indexed_pairs(sets, percent)
+    total = sets.agg(F.sum(F.size("w"))).first()[0] or 0
+    parts = max(1, math.ceil(total / BLOCK))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    met = sets.select("id", "w", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = met.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "w")
+    blocks = met.repartition(min(parts * (parts + 1) // 2, 4096), "low", "high").groupBy("low", "high")
+    return blocks.applyInArrow(lambda block: similar(block, percent), PAIRS)
+
+
+def indexed_pairs(sets: DataFrame, percent: float) -> DataFrame:
+    """Similar pairs of the sets (id, w): one of n words indexes its n - ceil(n * percent / 100) + 1 rarest; similar ones share one of them, so frequent words join nothing."""
     of_word = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
     ranked = of_word.join(of_word.groupBy("word").agg(F.count("*").alias("df")), "word")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
@@ -93,6 +118,73 @@ def fuzzy_pairs(df: DataFrame, ident: str, words: Column, percent: int = 80, lea
     return both.where(F.col("shared") * 100 >= F.col("united") * percent)
 
 
+def similar(block: pa.Table, percent: float) -> pa.Table:
+    """The similar pairs of the sets (low, high, part, id, w) of two blocks, one from each; of one block with itself, each once."""
+    block = block.combine_chunks()
+    of, ids = block["part"].to_numpy(), block["id"].to_numpy()
+    words = block["w"].chunk(0) if block.num_rows else pa.array([], block["w"].type)
+    sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
+    codes = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(ids)), sizes)
+    same = block["low"][0].as_py() == block["high"][0].as_py()
+    left = np.flatnonzero(of == block["low"][0].as_py())
+    right = left if same else np.flatnonzero(of == block["high"][0].as_py())
+    # Words of one side alone are no one's to share.
+    place = [np.full(len(ids), -1), np.full(len(ids), -1)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    most = codes.max(initial=-1) + 1
+    held = [np.bincount(codes[p[rows] >= 0], minlength=most) for p in place]
+    shared = (held[0] > 1) if same else (held[0] > 0) & (held[1] > 0)
+    often = held[0] * held[1] > RARE * len(left) * len(right)
+    known = np.flatnonzero(shared & often)
+    column = np.full(most, -1)
+    column[known] = np.arange(len(known))
+    order = np.argsort(codes, kind="stable")
+    codes, rows = codes[order], rows[order]
+    seldom = (shared & ~often)[codes]
+    rare, rare_rows = codes[seldom], rows[seldom]
+    of_right = place[1][rare_rows] >= 0
+    right_codes, right_place = rare[of_right], place[1][rare_rows][of_right]
+    order = np.argsort(column[codes], kind="stable")
+    kept, rows = column[codes][order], rows[order]
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    tall = max(1, min(len(left), CELLS // max(1, len(right)), 1024))
+    wide = max(64, CELLS // max(1, len(right), tall))
+    for top in range(0, len(left), tall):
+        here = left[top : top + tall]
+        both = np.zeros((len(here), len(right)), np.float32)
+        for first in range(0, len(known), wide):
+            span = slice(*np.searchsorted(kept, (first, first + wide)))
+            at, row = kept[span] - first, rows[span]
+            shape = min(wide, len(known) - first)
+            a, b = np.zeros((len(here), shape), np.float32), np.zeros((len(right), shape), np.float32)
+            i, j = place[0][row] - top, place[1][row]
+            inside = (i >= 0) & (i < len(here))
+            a[i[inside], at[inside]] = 1
+            b[j[j >= 0], at[j >= 0]] = 1
+            both += a @ b.T
+        # Rare words pair by pair: each holder on the left with all holders on the right.
+        i = place[0][rare_rows] - top
+        inside = (i >= 0) & (i < len(here))
+        i, begin = i[inside], np.searchsorted(right_codes, rare[inside])
+        times = np.searchsorted(right_codes, rare[inside], "right") - begin
+        upto = np.cumsum(times)
+        for k in range(0, int(upto[-1]) if len(upto) else 0, CELLS):
+            some = slice(np.searchsorted(upto, k, "right"), np.searchsorted(upto, k + CELLS, "right"))
+            n, before = times[some], upto[some] - times[some]
+            j = right_place[np.repeat(begin[some] - before, n) + np.arange(n.sum()) + (before[0] if len(n) else 0)]
+            both += np.bincount(np.repeat(i[some], n) * len(right) + j, minlength=both.size).reshape(both.shape)
+        united = sizes[here][:, None] + sizes[right][None, :] - both
+        i, j = np.nonzero((both > 0) & (both * 100 >= united * percent))
+        if same:
+            i, j = i[i + top < j], j[i + top < j]
+        x, y = ids[here[i]], ids[right[j]]
+        for one, values in zip(out, (np.minimum(x, y), np.maximum(x, y), both[i, j], united[i, j]), strict=True):
+            one.append(values)
+    kinds = (np.int64, np.int64, np.int32, np.int32)
+    return pa.table({n: np.concatenate([np.empty(0, k), *v]).astype(k) for n, k, v in zip(("a", "b", "shared", "united"), kinds, out, strict=True)})
+
+
 def clamp_percent(value: float | str | None) -> float:
     """A fuzzy threshold between 0.5 and 1; anything that isn't a number is 0.8."""
     try:

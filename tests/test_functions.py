@@ -1,6 +1,9 @@
 """URL, text and date functions, table-driven; operators on tiny tables; streams against batches."""
 
+import random
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,40 @@ def test_fuzzy_pairs_are_complete(spark):
     assert got == {(0, 1, 4, 6), (0, 6, 5, 6), (1, 6, 5, 6)}
 
 
+@pytest.mark.parametrize("cells, rare", [(1 << 22, 1 / 500), (50, 0.0), (1000, 0.05), (7, 1.0)])
+def test_similar_sets_of_two_blocks(monkeypatch, cells, rare):
+    """Words counted by products and pair by pair, in pieces of any size, give brute force's pairs."""
+    monkeypatch.setattr(rules, "CELLS", cells)
+    monkeypatch.setattr(rules, "RARE", rare)
+    pick = random.Random(cells)
+    sets = {k: sorted({f"w{int(pick.paretovariate(0.6)) % 80}" for _ in range(pick.randint(5, 14))}) for k in range(90)}
+    got = []
+    for low, high in ((0, 0), (0, 1), (1, 1)):
+        ids = [k for k in sets if k % 2 in (low, high)]
+        block = pa.table({"low": [low] * len(ids), "high": [high] * len(ids), "part": pa.array([k % 2 for k in ids], pa.int32()), "id": pa.array(ids, pa.int64()), "w": [sets[k] for k in ids]})
+        got += [tuple(r.values()) for r in rules.similar(block, 25).to_pylist()]
+    every = [(a, b, len({*x} & {*y}), len({*x} | {*y})) for a, x in sets.items() for b, y in sets.items() if a < b]
+    assert sorted(got) == sorted(p for p in every if p[2] * 100 >= p[3] * 25)
+
+
+@pytest.mark.parametrize("block", [1 << 17, 120])
+def test_loose_pairs_by_blocks(spark, monkeypatch, block):
+    """At low percentages nearly all sets share indexed words; blocks of any size give brute force's pairs."""
+    monkeypatch.setattr(rules, "BLOCK", block)
+    pick = random.Random(block)
+    sets = {k: sorted({f"w{int(pick.paretovariate(0.6)) % 80}" for _ in range(pick.randint(4, 14))}) for k in range(60)}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in sets.items()], "id long, title string")
+    pairs = rules.fuzzy_pairs(df, "id", F.split("title", " "), 25, 5)
+    # No pair is a row before it is known to be similar.
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    first = {}
+    for k, v in sets.items():
+        if len(v) >= 5:
+            first.setdefault(tuple(v), k)
+    every = [(a, b, len({*x} & {*y}), len({*x} | {*y})) for x, a in first.items() for y, b in first.items() if a < b]
+    assert sorted(map(tuple, pairs.collect())) == sorted(p for p in every if p[2] * 100 >= p[3] * 25)
+
+
 def test_rekeyed_and_enqueued(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 2, "z")], "tag string, entry int, v string")
     changes = spark.createDataFrame([("b", "a")], "old string, new string")
