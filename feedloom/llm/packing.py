@@ -6,6 +6,7 @@ plan, so the driver plans over that histogram and the pieces meet their places i
 
 from __future__ import annotations
 
+import contextlib
 import os
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model, self.end_id = Tokenizer.from_file(path), end_id
+        # Each distinct chunk comes once, so that the model's own cache of words never answers and only costs.
+        with contextlib.suppress(AttributeError):  # only where the tokenizers' version has it
+            self.model.model._resize_cache(0)
         vocabulary = self.model.get_vocab()
         space = self.model.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)

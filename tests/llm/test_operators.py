@@ -720,3 +720,34 @@ def test_pipeline_stages_take_odd_rows_and_none(spark):
 
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
+
+
+def test_words_are_encoded_without_the_model_s_cache(monkeypatch):
+    """The model is told to remember no words, and ids of whole texts are the plain tokenizer's."""
+    import pyarrow as pa
+    import tokenizers
+
+    from feedloom.llm import packing
+    from feedloom.llm.queries import tokenizer_path
+
+    plain, told = tokenizers.Tokenizer.from_file(tokenizer_path()), []
+
+    class Model:
+        def _resize_cache(self, capacity):
+            told.append(capacity)
+
+    class Watched:
+        model, pre_tokenizer = Model(), plain.pre_tokenizer
+        get_vocab, encode_batch_fast = plain.get_vocab, plain.encode_batch_fast
+
+        @staticmethod
+        def from_file(path):
+            return Watched()
+
+    texts = ["a few words, twice: a few words", "", " lead  and tail ", "Größe élan 12ab 3.5", "x\ny zqwxv" * 9]
+    want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    for kind in (tokenizers.Tokenizer, Watched):
+        monkeypatch.setattr(tokenizers, "Tokenizer", kind)
+        bounds, ids = packing.ChunkTokenizer(tokenizer_path(), 2).ids(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert told == [0]
