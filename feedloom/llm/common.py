@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into numpy arrays at once.
@@ -141,26 +141,34 @@ def signed(h: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b long), for each id that has an edge.
 
-    Every vertex takes the label of the smallest label among its own and its neighbours', until no label changes.
-    Each step is one written table. A hub's edges stay separate rows: minima are aggregated before the shuffle and
-    the joins are plain equi-joins, so adaptive execution can split a hub.
+    Contraction: every vertex moves to whichever of itself and its neighbours has the least hash, and the edges between
+    what is left, without loops and repeats, are the next round's. A star is gone after two rounds and half of a path after
+    each, so the joins of all rounds make a small multiple of the edges' rows. A hub's edges stay separate rows: minima
+    are aggregated before the shuffle and the joins are plain equi-joins, so adaptive execution can split a hub.
     """
-    pairs = edges.where("a <> b").select("a", "b")
-    both = work.save(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), f"{name}-0")
-    step = 0
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left = work.save(edges.where("a <> b").select(*pair).distinct(), f"{name}-edges-0")
+    moves: list[DataFrame] = []
     while True:
-        step += 1
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
-        least = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "seen").alias("next"))
-        moved = least.join(labels.select(F.col("id").alias("next"), "component"), "next").select("id", "old", "component")
-        seen = Observation()
-        after = work.save(moved.observe(seen, F.count_if(F.col("component") < F.col("old")).alias("changed")).select("id", "component"), f"{name}-{step}")
-        work.drop(f"{name}-{step - 1}")
-        labels = after
-        if not seen.get["changed"]:
-            work.drop(f"{name}-edges")
-            return labels
+        step = len(moves)
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.xxhash64("b")).alias("near"))
+        to = F.when(F.xxhash64("near") < F.xxhash64("id"), F.col("near")).otherwise(F.col("id"))
+        moves.append(work.save(near.select("id", to.alias("to")), f"{name}-moves-{step}"))
+        ends = [moves[-1].select(F.col("id").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab"]
+        moved = left.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        left = work.save(moved.select(*pair).distinct(), f"{name}-edges-{step + 1}")
+        work.drop(f"{name}-edges-{step}")
+        if left.isEmpty():
+            break
+    last = moves[-1]
+    for earlier in reversed(moves[:-1]):
+        last = earlier.join(last.select(F.col("id").alias("to"), F.col("to").alias("last")), "to", "left").select("id", F.coalesce("last", "to").alias("to"))
+    last = work.save(last, f"{name}-last")
+    smallest = work.save(last.groupBy("to").agg(F.min("id").alias("component")), f"{name}-smallest")
+    labels = work.save(last.join(smallest, "to").select("id", "component"), name)
+    work.drop(f"{name}-last", f"{name}-smallest", f"{name}-edges-{step + 1}", *(f"{name}-moves-{k}" for k in range(step + 1)))
+    return labels
 
 
 #: Marks of a pre-filter, in words of 64: 131,072 words at most, however many keys.

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.llm import ann, embed_dedup, minhash, mixing, packing, pii, queries, secrets, suffix, toxicity, warc
+from feedloom.llm import ann, common, embed_dedup, minhash, mixing, packing, pii, queries, secrets, suffix, toxicity, warc
 
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(3000))
 BASE = " ".join(f"word{i}" for i in range(120))
@@ -615,6 +615,46 @@ def test_minhash(spark, docs, block, many, monkeypatch):
     assert collections.Counter(map(tuple, got)) == collections.Counter(components_of([(r.doc_id, r.text) for r in rows.collect()]))
 
 
+def rows_of_joins(spark, run):
+    """What ``run`` returns, and the rows that all joins by the same keys made meanwhile."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(k).executionId() for k in range(found.size())}
+
+    known, out, made = executions(), run(), collections.Counter()
+    for x in executions() - known:
+        values, nodes = store.executionMetrics(x), store.planGraph(x).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if keys := re.search(r"Join \[(\w+)#", node.desc()):
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                made[keys[1]] += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return out, made
+
+
+def test_components_join_each_edge_a_few_times_in_all(spark):
+    rng = np.random.default_rng(3)
+    path = rng.permutation(400).tolist()
+    buckets = [(-1 - int(h), int(k)) for k in range(1000, 2500) for h in rng.integers(0, 40, 8)]  # as members of many buckets, each with its least member
+    edges = [*zip(path, path[1:], strict=False), *((k, k + 1) for k in range(5000, 5300)), *((9000, k) for k in range(8000, 8300)), *buckets, (7, 7), (7000, 7000)]
+    edges += [(b, a) for a, b in edges[::3]]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got, made = rows_of_joins(spark, lambda: common.connected_components(frame, common.Workspace(spark, "test"), "c").collect())
+    forest = minhash.Forest()
+    for a, b in edges:
+        forest.parent[forest.root(a)] = forest.root(b)
+    linked, least = {x for a, b in edges if a != b for x in (a, b)}, {}
+    for x in sorted(linked):
+        least.setdefault(forest.root(x), x)
+    assert sorted(map(tuple, got)) == [(x, least[forest.root(x)]) for x in sorted(linked)]
+    distinct = len({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    assert made and max(made.values()) <= 2.5 * distinct, (made, distinct)
+    none = common.connected_components(frame.where("a = b"), common.Workspace(spark, "test"), "c")
+    assert none.count() == 0 and none.columns == ["id", "component"]
+
+
 def test_keys_of_any_pair_within_the_distance_meet(spark):
     rng = np.random.default_rng(2)
     errors = minhash.allowed_errors((85, 100))
