@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.session import scratch
+
 #: Failure categories in order, each with the words of an error that put it there.
 FAILURES = {
     "blocked": ("403", "forbidden"),
@@ -76,32 +81,85 @@ def redundant(rules: DataFrame, key: Sequence[str]) -> DataFrame:
     return rules.groupBy(*key).agg(F.count("*").alias("n"), F.min("rule_id").alias("keep")).where("n > 1")
 
 
-#: Words in a block of sets, and cells of a matrix, that a task holds at once.
-BLOCK, CELLS = 1 << 17, 1 << 22
-#: The percentage from which an index of rare words is quicker, and the share of a matrix that a word may fill to be counted pair by pair.
+#: Words in a block of sets, sets in a saved file at most, and cells of a matrix, that a task holds at once.
+BLOCK, ROWS, CELLS = 1 << 21, 1 << 12, 1 << 22
+#: The percentage from which an index of rare words in Spark is quicker, and the share of a matrix that a word may fill to be counted pair by pair.
 FEW, RARE = 50, 1 / 500
-PAIRS = "a long, b long, shared int, united int"
+#: Shares of a matrix beyond which all its cells are counted: sets that meet by a rare word, candidates among them, candidates with close signatures.
+MUCH = (1, 1 / 4, 1 / 16)
+#: The most frequent words by 64, of which sets keep a bit each; bits of a set's signatures, by 512; candidates whose signatures are compared at once.
+TOP, BITS, SOME = 2, (1024, 2048), 1 << 12
+LOW, EIGHT, ONES, UPPER = np.uint64(0x00FF00FF00FF00FF), np.uint64(8), np.uint64(0x0001000100010001), np.uint64(48)
+#: What rounding may take from a bound.
+SLACK = 1e-6
 
 
 def fuzzy_pairs(df: DataFrame, ident: str, words: Column, percent: int = 80, least: int = 5) -> DataFrame:
-    """(a, b, shared, united) of word sets with at least ``least`` words and Jaccard similarity of ``percent`` or more; ids are numbers.
+    """(a, b, shared, united) of word sets with at least ``least`` words and Jaccard similarity of ``percent`` or more.
 
     Equal sets form one class by its smallest id, and pairs are between classes. From FEW percent on they are found by an index of
-    rare words. Below, most pairs share one of so many, so sets are dealt to blocks of a bounded number of words, and
-    each pair of blocks meets in one task that counts shared words: exact too, in bounded memory, with work that grows
-    with the square of the classes. Only similar pairs become rows.
+    rare words in Spark. Below, too many sets share a word of it for candidates to be rows. So sets are written once to the shared
+    folder, in files that make up blocks of a bounded number of words, and a task reads two blocks from there at a time: nothing is dealt out a copy for each pair
+    of blocks, and disk grows with the input. Pairs of blocks grow with its square. Only similar pairs become rows.
     """
-    sets = df.select(F.col(ident).cast("long").alias("id"), F.array_sort(F.array_distinct(F.filter(words, lambda w: w != ""))).alias("w")).where(F.size("w") >= least)
+    sets = df.select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(F.filter(words, lambda w: w != ""))).alias("w")).where(F.size("w") >= least)
     sets = sets.groupBy("w").agg(F.min("id").alias("id"))
     if percent >= FEW:
         return indexed_pairs(sets, percent)
-    total = sets.agg(F.sum(F.size("w"))).first()[0] or 0
-    parts = max(1, math.ceil(total / BLOCK))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    met = sets.select("id", "w", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = met.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "w")
-    blocks = met.repartition(min(parts * (parts + 1) // 2, 4096), "low", "high").groupBy("low", "high")
-    return blocks.applyInArrow(lambda block: similar(block, percent), PAIRS)
+    spark, path = df.sparkSession, scratch(df.sparkSession, "sets")
+    sets.write.option("maxRecordsPerFile", ROWS).option("compression", "zstd").parquet(path)
+    saved = spark.read.schema(sets.schema).parquet(path)
+    sized = saved.groupBy(F.input_file_name().alias("file")).agg(F.sum(F.size("w")).alias("n"))
+    blocks = dealt([(r.file, r.n) for r in sized.collect()])
+    meetings = len(blocks) * (len(blocks) + 1) // 2
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left = -1, None
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                high = (math.isqrt(8 * k + 1) - 1) // 2
+                low = k - high * (high + 1) // 2
+                if at != high:  # numbers of one block follow each other
+                    at, left = high, sets_of(*blocks[high])
+                both = [(low, left if low == high else sets_of(*blocks[low])), *([(high, left)] if low < high else [])]
+                block = pa.concat_tables([x.append_column("part", pa.repeat(pa.scalar(p, pa.int32()), len(x))) for p, x in both])
+                for name, value in (("low", low), ("high", high)):
+                    block = block.append_column(name, pa.repeat(pa.scalar(value, pa.int32()), len(block)))
+                for found in similar_by_tiles(block, percent):
+                    yield from found.to_batches(max_chunksize=1 << 16)
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return spark.range(0, meetings, 1, max(1, min(meetings, 4096))).mapInArrow(met, f"a {kind}, b {kind}, shared int, united int")
+
+
+def dealt(files: Sequence[tuple[str, int]]) -> list[tuple[list[str], int, int]]:
+    """Blocks (files, n, k) of files with their numbers of words: every n-th set of the files, from the k-th on. Small files share a block, larger ones are dealt to several."""
+    blocks, total = [], BLOCK
+    for file, n in sorted(files):
+        if n > BLOCK:
+            parts = math.ceil(n / BLOCK)
+            blocks += [([file], parts, k) for k in range(parts)]
+            total = BLOCK
+        elif total + n > BLOCK:
+            blocks.append(([file], 1, 0))
+            total = n
+        else:
+            blocks[-1][0].append(file)
+            total += n
+    return blocks
+
+
+def sets_of(files: Sequence[str], n: int, k: int) -> pa.Table:
+    """The sets (id, w) of a block, read in small batches."""
+    out = []
+    for file in files:
+        store, where = FileSystem.from_uri(file)
+        with store.open_input_file(where) as f:
+            at = 0
+            for batch in pq.ParquetFile(f).iter_batches(1024, columns=["id", "w"]):
+                out.append(batch if n == 1 else batch.take(pa.array(np.arange((k - at) % n, len(batch), n))))
+                at += len(batch)
+    return pa.Table.from_batches(out)
 
 
 def indexed_pairs(sets: DataFrame, percent: float) -> DataFrame:
@@ -120,43 +178,207 @@ def indexed_pairs(sets: DataFrame, percent: float) -> DataFrame:
 
 def similar(block: pa.Table, percent: float) -> pa.Table:
     """The similar pairs of the sets (low, high, part, id, w) of two blocks, one from each; of one block with itself, each once."""
+    kind = block["id"].type
+    none = pa.schema([("a", kind), ("b", kind), ("shared", pa.int32()), ("united", pa.int32())]).empty_table()
+    return pa.concat_tables([none, *similar_by_tiles(block, percent)])
+
+
+def similar_by_tiles(block: pa.Table, percent: float) -> Iterator[pa.Table]:
+    """The same, for some sets of the left block at a time.
+
+    Sets are lists of words from the rarest on. Of two with n and m words that are similar, (n + m) * percent / (100 + percent) are shared, so
+    the first that is shared has as many left behind it in both. By an index of such words, with the sizes that can meet there, sets are
+    candidates; signatures bound what they share, and those left are counted. Where so many meet that counting all is quicker, all is counted.
+    """
+    if not block.num_rows:
+        return
     block = block.combine_chunks()
-    of, ids = block["part"].to_numpy(), block["id"].to_numpy()
-    words = block["w"].chunk(0) if block.num_rows else pa.array([], block["w"].type)
+    of, ids, words = block["part"].to_numpy(), block["id"].chunk(0), block["w"].chunk(0)
     sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
-    codes = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    codes = words.flatten().dictionary_encode().indices.to_numpy()
     rows = np.repeat(np.arange(len(ids)), sizes)
     same = block["low"][0].as_py() == block["high"][0].as_py()
     left = np.flatnonzero(of == block["low"][0].as_py())
     right = left if same else np.flatnonzero(of == block["high"][0].as_py())
-    # Words of one side alone are no one's to share.
     place = [np.full(len(ids), -1), np.full(len(ids), -1)]
     place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
-    most = codes.max(initial=-1) + 1
+    most = int(codes.max(initial=-1)) + 1
     held = [np.bincount(codes[p[rows] >= 0], minlength=most) for p in place]
+    # Words of one side alone are no one's to share.
     shared = (held[0] > 1) if same else (held[0] > 0) & (held[1] > 0)
-    often = held[0] * held[1] > RARE * len(left) * len(right)
-    known = np.flatnonzero(shared & often)
-    column = np.full(most, -1)
-    column[known] = np.arange(len(known))
-    order = np.argsort(codes, kind="stable")
-    codes, rows = codes[order], rows[order]
-    seldom = (shared & ~often)[codes]
-    rare, rare_rows = codes[seldom], rows[seldom]
-    of_right = place[1][rare_rows] >= 0
-    right_codes, right_place = rare[of_right], place[1][rare_rows][of_right]
-    order = np.argsort(column[codes], kind="stable")
-    kept, rows = column[codes][order], rows[order]
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    kept = shared[codes]
+    weight = np.where(shared, held[0] * held[1], 0)
+    order = np.argsort(weight, kind="stable")
+    rank = np.empty(most, np.int64)
+    rank[order] = np.arange(most)
+    key = np.sort(rows[kept] * most + rank[codes[kept]])
+    rows, codes = np.divmod(key, max(1, most))
+    frequent = int(np.searchsorted(weight[order], RARE * len(left) * len(right), "right"))
+    older = np.empty(len(ids), np.int64)
+    older[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
     tall = max(1, min(len(left), CELLS // max(1, len(right)), 1024))
-    wide = max(64, CELLS // max(1, len(right), tall))
+    sets = Sets(rows, codes, sizes, left, right, place, same, most, frequent, percent)
+    index, counts = Index(sets) if percent > 0 else None, None
     for top in range(0, len(left), tall):
-        here = left[top : top + tall]
+        found = index.similar(top, tall) if index else None
+        if found is None:
+            counts = counts or Counts(sets)
+            found = counts.similar(top, tall)
+        x, y, both = left[found[0]], right[found[1]], found[2]
+        x, y = np.where(older[x] < older[y], (x, y), (y, x))
+        united = sizes[x] + sizes[y] - both
+        yield pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "shared": both.astype(np.int32), "united": united.astype(np.int32)})
+
+
+class Sets(NamedTuple):
+    """Words (rows, codes) of sets that both sides have, in order; codes from the rarest on, from ``frequent`` on such as fill much of a matrix."""
+
+    rows: np.ndarray
+    codes: np.ndarray
+    sizes: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    place: list[np.ndarray]
+    same: bool
+    most: int
+    frequent: int
+    percent: float
+
+    def once(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of places are to be reported: of a block with itself those that lead to a larger set, or to a later one as large."""
+        if not self.same:
+            return np.ones(len(i), bool)
+        x, y = self.sizes[self.left[i]], self.sizes[self.right[j]]
+        return (x < y) | (x == y) & (i < j)
+
+
+class Index:
+    """Similar pairs by words that could be the first, from the rarest on, that two similar sets share."""
+
+    def __init__(self, sets: Sets):
+        self.sets, p = sets, sets.percent
+        rows, codes, sizes = sets.rows, sets.codes, sets.sizes
+        self.own = np.bincount(rows, minlength=len(sizes))
+        self.start = np.cumsum(self.own) - self.own
+        behind = (self.start + self.own)[rows] - np.arange(len(rows))
+        #: The sizes of what a set can be similar to at all, and at most where a word is the first that they share.
+        self.least, self.largest = np.ceil(sizes * p / 100 - SLACK).astype(np.int64), np.floor(sizes * 100 / p + SLACK).astype(np.int64)
+        reach = np.floor(behind * (100 + p) / p + SLACK).astype(np.int64) - sizes[rows]
+        first = reach >= self.least[rows]
+        top = sets.most - 64 * TOP
+        self.often = [self.signature(codes - top - 64 * k, codes >= top + 64 * k, 64)[:, 0] for k in range(TOP)]
+        behind = np.maximum(behind - sum(map(np.bitwise_count, self.often))[rows], 0)
+        rows, codes, reach, behind = rows[first], codes[first], reach[first], behind[first]
+        mine, other = sets.place[0][rows], sets.place[1][rows]
+        at = mine >= 0
+        self.mine, self.codes, self.reach, self.behind = mine[at], codes[at], np.minimum(reach[at], self.largest[rows[at]]), behind[at].astype(np.int32)
+        at = other >= 0
+        self.step = int(sizes.max(initial=0)) + 1
+        key = codes[at] * self.step + sizes[rows[at]]
+        order = np.argsort(key)
+        self.key, self.other = key[order], other[at][order].astype(np.int32)
+        self.other_reach, self.other_behind = reach[at][order].astype(np.int32), behind[at][order].astype(np.int32)
+        self.bits = [self.signature(sets.codes % n, np.ones(len(sets.codes), bool), n) for n in BITS]
+        self.need = np.ceil(np.arange(2 * self.step) * (p / (100 + p)) - SLACK).astype(np.int32)
+
+    def signature(self, bit: np.ndarray, of: np.ndarray, bits: int) -> np.ndarray:
+        """Each set with the bits of some of its words, where they are below ``bits``."""
+        out = np.empty((len(self.own), bits // 64), np.uint64)
+        for k in range(0, len(out), 1 << 14):
+            span = slice(*np.searchsorted(self.sets.rows, (k, k + (1 << 14))))
+            has = of[span] & (bit[span] < bits)
+            flags = np.zeros((min(1 << 14, len(out) - k), bits), bool)
+            flags[self.sets.rows[span][has] - k, bit[span][has]] = True
+            out[k : k + (1 << 14)] = np.packbits(flags, axis=1).view(np.uint64)
+        return out
+
+    def similar(self, top: int, tall: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(place left, place right, shared) for sets on the left from ``top`` on; None where too many meet."""
+        s = self.sets
+        left, right, sizes = s.left, s.right, s.sizes
+        span = slice(*np.searchsorted(self.mine, (top, top + tall)))
+        order = np.argsort(self.codes[span])
+        mine, codes, reach = self.mine[span][order], self.codes[span][order], self.reach[span][order]
+        n = sizes[left[mine]]
+        begin = np.searchsorted(self.key, codes * self.step + (n if s.same else np.minimum(self.least[left[mine]], self.step - 1)))
+        times = np.maximum(np.searchsorted(self.key, codes * self.step + np.minimum(reach, self.step - 1), "right") - begin, 0)
+        total, cells = int(times.sum()), min(tall, len(left) - top) * len(right)
+        if total > MUCH[0] * cells:
+            return None
+        at = np.repeat((begin - (np.cumsum(times) - times)).astype(np.int32), times) + np.arange(total, dtype=np.int32)
+        of = np.repeat(np.arange(len(mine), dtype=np.int32), times)
+        ok = np.flatnonzero(self.other_reach[at] >= n.astype(np.int32)[of])
+        of, at = of[ok], at[ok]
+        i, j = mine[of], self.other[at].astype(np.int64)
+        # What is shared behind: of the most frequent words as many as both have, of the others what the set with fewer has left.
+        x, y = left[i], right[j]
+        most = np.minimum(self.behind[span][order][of], self.other_behind[at])
+        for bits in self.often:
+            most += np.bitwise_count(bits[x] & bits[y])
+        ok = most >= self.need[sizes[x] + sizes[y]]
+        i, j = i[ok], j[ok]
+        once = s.once(i, j)
+        i, j = i[once], j[once]
+        if len(i) > MUCH[1] * cells:
+            return None
+        close = [self.close(i[k : k + SOME], j[k : k + SOME]) for k in range(0, len(i), SOME)]
+        pairs = np.unique(np.concatenate([np.empty(0, np.int64), *close]))
+        if len(pairs) > MUCH[2] * cells:
+            return None
+        i, j = np.divmod(pairs, len(right))
+        both = np.zeros(len(i), np.int64)
+        words = np.cumsum(self.own[left[i]] + self.own[right[j]])
+        for k in range(0, int(words[-1]) if len(i) else 0, CELLS):
+            part = slice(np.searchsorted(words, k, "right"), np.searchsorted(words, k + CELLS, "right"))
+            both[part] = self.shared(left[i[part]], right[j[part]])
+        hit = both * 100 >= (sizes[left[i]] + sizes[right[j]] - both) * s.percent
+        return i[hit], j[hit], both[hit]
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs whose signatures don't differ in more than similar sets' can: a bit that differs is a word that isn't shared."""
+        s = self.sets
+        for bits in self.bits:
+            x, y = s.left[i], s.right[j]
+            differ = np.bitwise_count(bits.take(x, 0) ^ bits.take(y, 0)).view(np.uint64)
+            # Eight counts in each number, none of which passes a byte before they are added by two.
+            differ = ((differ & LOW) + (differ >> EIGHT & LOW)).sum(1) * ONES >> UPPER
+            ok = self.own[x] + self.own[y] - differ.astype(np.int64) >= 2 * self.need[s.sizes[x] + s.sizes[y]]
+            i, j = i[ok], j[ok]
+        return i * len(s.right) + j
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Words that the sets of each pair share: those that come twice among its words."""
+        rows = np.concatenate([x, y])
+        n = self.own[rows]
+        at = np.repeat(self.start[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = np.sort(np.repeat(np.tile(np.arange(len(x)), 2), n) * self.sets.most + self.sets.codes[at])
+        return np.bincount(key[1:][key[1:] == key[:-1]] // max(1, self.sets.most), minlength=len(x))
+
+
+class Counts:
+    """Similar pairs by counting all shared words: frequent ones by products of matrices, rare ones pair by pair."""
+
+    def __init__(self, sets: Sets):
+        self.sets = sets
+        order = np.argsort(sets.codes, kind="stable")
+        codes, rows = sets.codes[order], sets.rows[order]
+        rare = int(np.searchsorted(codes, sets.frequent))
+        self.rare, self.rare_rows = codes[:rare], rows[:rare]
+        self.codes, self.rows = codes[rare:] - sets.frequent, rows[rare:]
+        of_right = sets.place[1][self.rare_rows] >= 0
+        self.right_codes, self.right_place = self.rare[of_right], sets.place[1][self.rare_rows][of_right]
+        self.known = sets.most - sets.frequent
+
+    def similar(self, top: int, tall: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = self.sets
+        sizes, right, place = s.sizes, s.right, s.place
+        wide = max(64, CELLS // max(1, len(right), tall))
+        here = s.left[top : top + tall]
         both = np.zeros((len(here), len(right)), np.float32)
-        for first in range(0, len(known), wide):
-            span = slice(*np.searchsorted(kept, (first, first + wide)))
-            at, row = kept[span] - first, rows[span]
-            shape = min(wide, len(known) - first)
+        for first in range(0, self.known, wide):
+            span = slice(*np.searchsorted(self.codes, (first, first + wide)))
+            at, row = self.codes[span] - first, self.rows[span]
+            shape = min(wide, self.known - first)
             a, b = np.zeros((len(here), shape), np.float32), np.zeros((len(right), shape), np.float32)
             i, j = place[0][row] - top, place[1][row]
             inside = (i >= 0) & (i < len(here))
@@ -164,25 +386,21 @@ def similar(block: pa.Table, percent: float) -> pa.Table:
             b[j[j >= 0], at[j >= 0]] = 1
             both += a @ b.T
         # Rare words pair by pair: each holder on the left with all holders on the right.
-        i = place[0][rare_rows] - top
+        i = place[0][self.rare_rows] - top
         inside = (i >= 0) & (i < len(here))
-        i, begin = i[inside], np.searchsorted(right_codes, rare[inside])
-        times = np.searchsorted(right_codes, rare[inside], "right") - begin
+        i, begin = i[inside], np.searchsorted(self.right_codes, self.rare[inside])
+        times = np.searchsorted(self.right_codes, self.rare[inside], "right") - begin
         upto = np.cumsum(times)
         for k in range(0, int(upto[-1]) if len(upto) else 0, CELLS):
             some = slice(np.searchsorted(upto, k, "right"), np.searchsorted(upto, k + CELLS, "right"))
             n, before = times[some], upto[some] - times[some]
-            j = right_place[np.repeat(begin[some] - before, n) + np.arange(n.sum()) + (before[0] if len(n) else 0)]
+            j = self.right_place[np.repeat(begin[some] - before, n) + np.arange(n.sum()) + (before[0] if len(n) else 0)]
             both += np.bincount(np.repeat(i[some], n) * len(right) + j, minlength=both.size).reshape(both.shape)
         united = sizes[here][:, None] + sizes[right][None, :] - both
-        i, j = np.nonzero((both > 0) & (both * 100 >= united * percent))
-        if same:
-            i, j = i[i + top < j], j[i + top < j]
-        x, y = ids[here[i]], ids[right[j]]
-        for one, values in zip(out, (np.minimum(x, y), np.maximum(x, y), both[i, j], united[i, j]), strict=True):
-            one.append(values)
-    kinds = (np.int64, np.int64, np.int32, np.int32)
-    return pa.table({n: np.concatenate([np.empty(0, k), *v]).astype(k) for n, k, v in zip(("a", "b", "shared", "united"), kinds, out, strict=True)})
+        i, j = np.nonzero((both > 0) & (both * 100 >= united * s.percent))
+        hit = s.once(i + top, j)
+        i, j = i[hit], j[hit]
+        return i + top, j, both[i, j].astype(np.int64)
 
 
 def clamp_percent(value: float | str | None) -> float:

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,65 @@ def test_loose_pairs_by_blocks(spark, monkeypatch, block):
     assert sorted(map(tuple, pairs.collect())) == sorted(p for p in every if p[2] * 100 >= p[3] * 25)
 
 
+def brute_force(sets, percent):
+    every = [(a, b, len({*x} & {*y}), len({*x} | {*y})) for a, x in sets.items() for b, y in sets.items() if a < b]
+    return sorted(p for p in every if p[2] * 100 >= p[3] * percent)
+
+
+def test_loose_pairs_write_each_set_once(spark, monkeypatch, tmp_path):
+    """Blocks meet by reading saved sets: nothing is shuffled for pairs of blocks, and disk doesn't grow with their number."""
+    pick = random.Random(5)
+    sets = {k: sorted({f"w{int(pick.paretovariate(0.4)) % 300}" for _ in range(pick.randint(8, 40))}) for k in range(150)}
+    sets = {f"k{k}": v for k, v in sets.items() if len(v) >= 5}
+    monkeypatch.setattr(rules, "BLOCK", 200)
+    monkeypatch.setattr(rules, "ROWS", 20)
+    monkeypatch.setattr(rules, "scratch", lambda spark, name: f"file://{tmp_path}/{name}", raising=False)
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in sets.items()], "id string, title string")
+    pairs = rules.fuzzy_pairs(df, "id", F.split("title", " "), 25, 5)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.dtypes[:2] == [("a", "string"), ("b", "string")]
+    assert sorted(map(tuple, pairs.collect())) == brute_force(sets, 25)
+    saved = sorted(r.id for r in spark.read.parquet(str(tmp_path / "sets")).collect())
+    assert saved == sorted(sets) and len([*(tmp_path / "sets").glob("*.parquet")]) >= len(sets) / 20
+
+
+def test_loose_pairs_of_nothing(spark):
+    assert rules.fuzzy_pairs(spark.createDataFrame([], "id long, title string"), "id", F.split("title", " "), 25, 5).collect() == []
+
+
+def test_blocks_hold_each_set_once(monkeypatch, tmp_path):
+    """Small files share a block, of a large one each block has a part."""
+    monkeypatch.setattr(rules, "BLOCK", 100)
+    files, start = [], 0
+    for name, rows in (("a", 3), ("b", 4), ("c", 2500), ("d", 9), ("e", 2)):
+        pq.write_table(pa.table({"id": range(start, start + rows), "w": [["x"] * 10] * rows}), tmp_path / name)
+        files.append((f"file://{tmp_path}/{name}", 10 * rows))
+        start += rows
+    blocks = rules.dealt(files)
+    assert [len(b[0]) for b in blocks] == [2, *[1] * 250, 1, 1]
+    held = [rules.sets_of(*b)["id"].to_pylist() for b in blocks]
+    assert max(map(len, held)) <= 10 and sorted(sum(held, [])) == list(range(start))
+
+
+@pytest.mark.parametrize("percent", [3, 25, 33.3, 49])
+@pytest.mark.parametrize("much", [(0, 0, 0), (0.2, 1e9, 1e9), (1e9, 0, 0), (1e9, 1e9, 0), (1e9, 1e9, 1e9)])
+def test_similar_sets_by_index_and_by_counts(monkeypatch, percent, much):
+    """The index of rare words, its bounds and the signatures lose no pair, whether or not all is counted in the end; sizes differ widely."""
+    monkeypatch.setattr(rules, "MUCH", much, raising=False)
+    monkeypatch.setattr(rules, "CELLS", 1000)
+    pick = random.Random(int(percent))
+    sets = {}
+    for k in range(160):
+        base = sets[pick.choice([*sets])] if sets and pick.random() < 0.7 else []
+        sets[k] = sorted({*pick.sample(base, int(len(base) * pick.random())), *(f"w{int(pick.paretovariate(0.3)) % 5000}" for _ in range(int(5 + pick.paretovariate(0.6)) % 200 + 5))})
+    got = []
+    for low, high in ((0, 0), (0, 1), (1, 1)):
+        ids = [k for k in sets if k % 2 in (low, high)]
+        block = pa.table({"low": [low] * len(ids), "high": [high] * len(ids), "part": pa.array([k % 2 for k in ids], pa.int32()), "id": pa.array(ids, pa.int64()), "w": [sets[k] for k in ids]})
+        got += [tuple(r.values()) for r in rules.similar(block, percent).to_pylist()]
+    assert sorted(got) == brute_force(sets, percent)
+
+
 def test_rekeyed_and_enqueued(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 2, "z")], "tag string, entry int, v string")
     changes = spark.createDataFrame([("b", "a")], "old string, new string")
