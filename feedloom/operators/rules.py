@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -81,14 +82,15 @@ def redundant(rules: DataFrame, key: Sequence[str]) -> DataFrame:
     return rules.groupBy(*key).agg(F.count("*").alias("n"), F.min("rule_id").alias("keep")).where("n > 1")
 
 
-#: Words in a block of sets, sets in a saved file at most, and cells of a matrix, that a task holds at once.
-BLOCK, ROWS, CELLS = 1 << 21, 1 << 12, 1 << 22
+#: Words in a block of sets, where a set counts as OWN words more for what is held of it; sets in a saved file at most; cells of a matrix that a task holds at once.
+BLOCK, OWN, ROWS, CELLS = 1 << 21, 32, 1 << 12, 1 << 22
 #: The percentage from which an index of rare words in Spark is quicker, and the share of a matrix that a word may fill to be counted pair by pair.
 FEW, RARE = 50, 1 / 500
-#: Shares of a matrix beyond which all its cells are counted: sets that meet by a rare word, candidates among them, candidates with close signatures.
-MUCH = (1, 1 / 4, 1 / 16)
-#: The most frequent words by 64, of which sets keep a bit each; bits of a set's signatures, by 512; candidates whose signatures are compared at once.
-TOP, BITS, SOME = 2, (1024, 2048), 1 << 12
+#: Matrices that the index goes through at once, and shares of their cells beyond which all are counted: sets that meet by a rare word, candidates among
+#: them, candidates with close signatures.
+STRIP, MUCH = 16, (1, 1 / 4, 1 / 16)
+#: The most frequent words by 64, of which sets keep a bit each; bits of a set's signature, by 1,024; meetings, and candidates' signatures, that are held at once.
+TOP, BITS, MEET, SOME = 2, 2048, 1 << 16, 1 << 12
 LOW, EIGHT, ONES, UPPER = np.uint64(0x00FF00FF00FF00FF), np.uint64(8), np.uint64(0x0001000100010001), np.uint64(48)
 #: What rounding may take from a bound.
 SLACK = 1e-6
@@ -102,14 +104,14 @@ def fuzzy_pairs(df: DataFrame, ident: str, words: Column, percent: int = 80, lea
     folder, in files that make up blocks of a bounded number of words, and a task reads two blocks from there at a time: nothing is dealt out a copy for each pair
     of blocks, and disk grows with the input. Pairs of blocks grow with its square. Only similar pairs become rows.
     """
-    sets = df.select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(F.filter(words, lambda w: w != ""))).alias("w")).where(F.size("w") >= least)
+    none = F.array(F.lit(""), F.lit(None).cast("string"))
+    sets = df.select(F.col(ident).alias("id"), F.sort_array(F.array_except(words, none)).alias("w")).where(F.size("w") >= least)
     sets = sets.groupBy("w").agg(F.min("id").alias("id"))
     if percent >= FEW:
         return indexed_pairs(sets, percent)
     spark, path = df.sparkSession, scratch(df.sparkSession, "sets")
-    sets.write.option("maxRecordsPerFile", ROWS).option("compression", "zstd").parquet(path)
-    saved = spark.read.schema(sets.schema).parquet(path)
-    sized = saved.groupBy(F.input_file_name().alias("file")).agg(F.sum(F.size("w")).alias("n"))
+    sets.withColumn("n", F.size("w") + OWN).write.option("maxRecordsPerFile", ROWS).option("compression", "zstd").parquet(path)
+    sized = spark.read.schema("n int").parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.sum("n").alias("n"))
     blocks = dealt([(r.file, r.n) for r in sized.collect()])
     meetings = len(blocks) * (len(blocks) + 1) // 2
 
@@ -133,7 +135,7 @@ def fuzzy_pairs(df: DataFrame, ident: str, words: Column, percent: int = 80, lea
 
 
 def dealt(files: Sequence[tuple[str, int]]) -> list[tuple[list[str], int, int]]:
-    """Blocks (files, n, k) of files with their numbers of words: every n-th set of the files, from the k-th on. Small files share a block, larger ones are dealt to several."""
+    """Blocks (files, n, k) of files with what they count: every n-th set of the files, from the k-th on. Small files share a block, larger ones are dealt to several."""
     blocks, total = [], BLOCK
     for file, n in sorted(files):
         if n > BLOCK:
@@ -150,16 +152,26 @@ def dealt(files: Sequence[tuple[str, int]]) -> list[tuple[list[str], int, int]]:
 
 
 def sets_of(files: Sequence[str], n: int, k: int) -> pa.Table:
-    """The sets (id, w) of a block, read in small batches."""
+    """The sets (id, w) of a block, their words numbered by file; parts of a large file are read in small batches."""
     out = []
     for file in files:
         store, where = FileSystem.from_uri(file)
         with store.open_input_file(where) as f:
-            at = 0
+            if n == 1:
+                out.append(pq.ParquetFile(f, read_dictionary=["w.list.element"]).read(["id", "w"]))
+                continue
+            at, part = 0, []
             for batch in pq.ParquetFile(f).iter_batches(1024, columns=["id", "w"]):
-                out.append(batch if n == 1 else batch.take(pa.array(np.arange((k - at) % n, len(batch), n))))
+                part.append(batch.take(pa.array(np.arange((k - at) % n, len(batch), n))))
                 at += len(batch)
-    return pa.Table.from_batches(out)
+            out.append(pa.Table.from_batches(part))
+    return pa.concat_tables([t.set_column(1, "w", pa.chunked_array([numbered(x) for x in t["w"].chunks])) for t in out])
+
+
+def numbered(words: pa.ListArray) -> pa.ListArray:
+    """The same lists, with words as numbers in a dictionary."""
+    flat, upto = words.flatten(), np.cumsum(np.append(0, pc.list_value_length(words).to_numpy()))
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat if pa.types.is_dictionary(flat.type) else flat.dictionary_encode())
 
 
 def indexed_pairs(sets: DataFrame, percent: float) -> DataFrame:
@@ -192,11 +204,11 @@ def similar_by_tiles(block: pa.Table, percent: float) -> Iterator[pa.Table]:
     """
     if not block.num_rows:
         return
-    block = block.combine_chunks()
-    of, ids, words = block["part"].to_numpy(), block["id"].chunk(0), block["w"].chunk(0)
-    sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
-    codes = words.flatten().dictionary_encode().indices.to_numpy()
-    rows = np.repeat(np.arange(len(ids)), sizes)
+    of, ids, words = block["part"].to_numpy(), block["id"].combine_chunks(), [x for x in block["w"].chunks if len(x)]
+    sizes = np.concatenate([pc.list_value_length(x).to_numpy() for x in words]).astype(np.int64)
+    words = pa.chunked_array([(x if pa.types.is_dictionary(x.type.value_type) else numbered(x)).flatten() for x in words]).unify_dictionaries()
+    codes = np.concatenate([x.indices.to_numpy() for x in words.chunks])
+    rows = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     same = block["low"][0].as_py() == block["high"][0].as_py()
     left = np.flatnonzero(of == block["low"][0].as_py())
     right = left if same else np.flatnonzero(of == block["high"][0].as_py())
@@ -211,23 +223,24 @@ def similar_by_tiles(block: pa.Table, percent: float) -> Iterator[pa.Table]:
     order = np.argsort(weight, kind="stable")
     rank = np.empty(most, np.int64)
     rank[order] = np.arange(most)
-    key = np.sort(rows[kept] * most + rank[codes[kept]])
-    rows, codes = np.divmod(key, max(1, most))
+    key = np.sort((rows[kept].astype(np.int64) << 32) + rank[codes[kept]])
+    rows, codes = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+    del key, kept, words, block
     frequent = int(np.searchsorted(weight[order], RARE * len(left) * len(right), "right"))
     older = np.empty(len(ids), np.int64)
     older[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
     tall = max(1, min(len(left), CELLS // max(1, len(right)), 1024))
     sets = Sets(rows, codes, sizes, left, right, place, same, most, frequent, percent)
-    index, counts = Index(sets) if percent > 0 else None, None
-    for top in range(0, len(left), tall):
-        found = index.similar(top, tall) if index else None
+    index, counts = Index(sets, STRIP * tall) if percent > 0 else None, None
+    for strip in range(0, len(left), STRIP * tall):
+        found = index.similar(strip, STRIP * tall) if index else None
         if found is None:
             counts = counts or Counts(sets)
-            found = counts.similar(top, tall)
-        x, y, both = left[found[0]], right[found[1]], found[2]
-        x, y = np.where(older[x] < older[y], (x, y), (y, x))
-        united = sizes[x] + sizes[y] - both
-        yield pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "shared": both.astype(np.int32), "united": united.astype(np.int32)})
+        for i, j, both in [found] if found else (counts.similar(top, tall) for top in range(strip, min(strip + STRIP * tall, len(left)), tall)):
+            x, y = left[i], right[j]
+            x, y = np.where(older[x] < older[y], (x, y), (y, x))
+            united = sizes[x] + sizes[y] - both
+            yield pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "shared": both.astype(np.int32), "united": united.astype(np.int32)})
 
 
 class Sets(NamedTuple):
@@ -252,79 +265,105 @@ class Sets(NamedTuple):
         return (x < y) | (x == y) & (i < j)
 
 
+class Words(NamedTuple):
+    """Words that could be the first of two sets to be shared: place and size of their sets, the largest size that these can meet there; half of the
+    words behind that aren't among the most frequent, less the set's part of what must be shared; bits of the most frequent words, and of those behind."""
+
+    place: np.ndarray
+    size: np.ndarray
+    reach: np.ndarray
+    spare: np.ndarray
+    often: list[np.ndarray]
+    rest: list[np.ndarray]
+
+    @classmethod
+    def of(cls, sets: Sets, rows: np.ndarray, place: np.ndarray, reach: np.ndarray, spare: np.ndarray, often: list[np.ndarray], rest: list[np.ndarray]) -> Words:
+        return cls(*[x.astype(np.int32) for x in (place[rows], sets.sizes[rows], reach)], spare, [x[rows] for x in often], rest)
+
+
 class Index:
     """Similar pairs by words that could be the first, from the rarest on, that two similar sets share."""
 
-    def __init__(self, sets: Sets):
+    def __init__(self, sets: Sets, tall: int):
         self.sets, p = sets, sets.percent
         rows, codes, sizes = sets.rows, sets.codes, sets.sizes
         self.own = np.bincount(rows, minlength=len(sizes))
         self.start = np.cumsum(self.own) - self.own
-        behind = (self.start + self.own)[rows] - np.arange(len(rows))
-        #: The sizes of what a set can be similar to at all, and at most where a word is the first that they share.
-        self.least, self.largest = np.ceil(sizes * p / 100 - SLACK).astype(np.int64), np.floor(sizes * 100 / p + SLACK).astype(np.int64)
-        reach = np.floor(behind * (100 + p) / p + SLACK).astype(np.int64) - sizes[rows]
-        first = reach >= self.least[rows]
-        top = sets.most - 64 * TOP
-        self.often = [self.signature(codes - top - 64 * k, codes >= top + 64 * k, 64)[:, 0] for k in range(TOP)]
-        behind = np.maximum(behind - sum(map(np.bitwise_count, self.often))[rows], 0)
-        rows, codes, reach, behind = rows[first], codes[first], reach[first], behind[first]
-        mine, other = sets.place[0][rows], sets.place[1][rows]
-        at = mine >= 0
-        self.mine, self.codes, self.reach, self.behind = mine[at], codes[at], np.minimum(reach[at], self.largest[rows[at]]), behind[at].astype(np.int32)
-        at = other >= 0
+        behind = (self.start + self.own).astype(np.int32)[rows] - np.arange(len(rows), dtype=np.int32)
+        # The sizes of what a set can be similar to at all, and at most where a word is the first that they share.
+        least, largest = np.ceil(sizes * p / 100 - SLACK).astype(np.int64), np.floor(sizes * 100 / p + SLACK).astype(np.int64)
+        both = np.floor(np.arange(int(self.own.max(initial=0)) + 1) * (100 + p) / p + SLACK).astype(np.int64)
+        first = np.flatnonzero(both[behind] >= (least + sizes)[rows])
+        # Sets by their most frequent words, a bit each; at each word, those behind it of the others, by sums without carry.
+        top = max(0, sets.most - 64 * TOP)
+        self.often = [self.folded(codes - (top + 64 * k))[1] for k in range(TOP)]
+        rest = [self.folded(np.where(codes < top, codes % (64 * TOP) - 64 * k, -1))[0][first] for k in range(TOP)]
+        rows, codes, behind = rows[first], codes[first].astype(np.int64), behind[first]
+        reach = np.minimum(both[behind] - sizes[rows], largest[rows])
+        behind = np.maximum(behind - sum(np.bitwise_count(x).astype(np.int32) for x in self.often)[rows], 0)
+        # Of two sets (n + m) * part must be shared: half of what each has, less its part, bounds what may differ.
+        part = sizes * (p / (100 + p)) - SLACK
+        self.spare, spare = self.own / 2 - part, behind / 2 - part[rows]
         self.step = int(sizes.max(initial=0)) + 1
+        at = np.flatnonzero(sets.place[1][rows] >= 0)
         key = codes[at] * self.step + sizes[rows[at]]
         order = np.argsort(key)
-        self.key, self.other = key[order], other[at][order].astype(np.int32)
-        self.other_reach, self.other_behind = reach[at][order].astype(np.int32), behind[at][order].astype(np.int32)
-        self.bits = [self.signature(sets.codes % n, np.ones(len(sets.codes), bool), n) for n in BITS]
-        self.need = np.ceil(np.arange(2 * self.step) * (p / (100 + p)) - SLACK).astype(np.int32)
-
-    def signature(self, bit: np.ndarray, of: np.ndarray, bits: int) -> np.ndarray:
-        """Each set with the bits of some of its words, where they are below ``bits``."""
-        out = np.empty((len(self.own), bits // 64), np.uint64)
-        for k in range(0, len(out), 1 << 14):
-            span = slice(*np.searchsorted(self.sets.rows, (k, k + (1 << 14))))
-            has = of[span] & (bit[span] < bits)
-            flags = np.zeros((min(1 << 14, len(out) - k), bits), bool)
-            flags[self.sets.rows[span][has] - k, bit[span][has]] = True
-            out[k : k + (1 << 14)] = np.packbits(flags, axis=1).view(np.uint64)
-        return out
+        key, at = key[order], at[order]
+        self.right = Words.of(sets, rows[at], sets.place[1], reach[at], spare[at], self.often, [x[at] for x in rest])
+        at = np.flatnonzero(sets.place[0][rows] >= 0)
+        at = at[np.argsort(codes[at] * self.step + sizes[rows[at]])]
+        codes, n = codes[at] * self.step, sizes[rows[at]]
+        begin = np.searchsorted(key, codes + (n if sets.same else np.minimum(least[rows[at]], self.step - 1)))
+        times = np.maximum(np.searchsorted(key, codes + np.minimum(reach[at], self.step - 1), "right") - begin, 0)
+        tile = sets.place[0][rows[at]] // tall
+        order = np.argsort(tile.astype(np.uint16) if len(sets.left) // tall < 1 << 16 else tile, kind="stable")
+        self.tile, self.begin, self.times, at = tile[order], begin[order], times[order], at[order]
+        self.left = Words.of(sets, rows[at], sets.place[0], reach[at], spare[at], self.often, [x[at] for x in rest])
+        self.bits = self.signatures()
+
+    def folded(self, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words with a bit from 0 to 63, as sums without carry: from each word on to its set's end, and of each set."""
+        upto = np.zeros(len(bit) + 1, np.uint64)
+        has = np.flatnonzero((bit >= 0) & (bit < 64))
+        upto[1 + has] = np.uint64(1) << bit[has].astype(np.uint64)
+        np.bitwise_xor.accumulate(upto, out=upto)
+        end = upto[self.start + self.own]
+        return end[self.sets.rows] ^ upto[:-1], end ^ upto[self.start]
+
+    def signatures(self) -> list[np.ndarray]:
+        """Each set with a bit for each word, of which words may share one: half of the bits, each for two of the others, and all."""
+        rows, bit = self.sets.rows, self.sets.codes % BITS
+        out = np.empty((len(self.own), BITS // 64), np.uint64)
+        upto = np.append(self.start, len(rows))
+        for k in range(0, len(out), 1 << 12):
+            span = slice(upto[k], upto[min(k + (1 << 12), len(out))])
+            flags = np.zeros((min(1 << 12, len(out) - k), BITS), bool)
+            flags[rows[span] - k, bit[span]] = True
+            out[k : k + (1 << 12)] = np.packbits(flags, axis=1).view(np.uint64)
+        half = BITS // 128
+        return [out[:, :half] | out[:, half:], out]
 
     def similar(self, top: int, tall: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """(place left, place right, shared) for sets on the left from ``top`` on; None where too many meet."""
         s = self.sets
         left, right, sizes = s.left, s.right, s.sizes
-        span = slice(*np.searchsorted(self.mine, (top, top + tall)))
-        order = np.argsort(self.codes[span])
-        mine, codes, reach = self.mine[span][order], self.codes[span][order], self.reach[span][order]
-        n = sizes[left[mine]]
-        begin = np.searchsorted(self.key, codes * self.step + (n if s.same else np.minimum(self.least[left[mine]], self.step - 1)))
-        times = np.maximum(np.searchsorted(self.key, codes * self.step + np.minimum(reach, self.step - 1), "right") - begin, 0)
+        span = slice(*np.searchsorted(self.tile, (top // tall, top // tall + 1)))
+        times = self.times[span]
         total, cells = int(times.sum()), min(tall, len(left) - top) * len(right)
         if total > MUCH[0] * cells:
             return None
-        at = np.repeat((begin - (np.cumsum(times) - times)).astype(np.int32), times) + np.arange(total, dtype=np.int32)
-        of = np.repeat(np.arange(len(mine), dtype=np.int32), times)
-        ok = np.flatnonzero(self.other_reach[at] >= n.astype(np.int32)[of])
-        of, at = of[ok], at[ok]
-        i, j = mine[of], self.other[at].astype(np.int64)
-        # What is shared behind: of the most frequent words as many as both have, of the others what the set with fewer has left.
-        x, y = left[i], right[j]
-        most = np.minimum(self.behind[span][order][of], self.other_behind[at])
-        for bits in self.often:
-            most += np.bitwise_count(bits[x] & bits[y])
-        ok = most >= self.need[sizes[x] + sizes[y]]
-        i, j = i[ok], j[ok]
-        once = s.once(i, j)
-        i, j = i[once], j[once]
-        if len(i) > MUCH[1] * cells:
-            return None
-        close = [self.close(i[k : k + SOME], j[k : k + SOME]) for k in range(0, len(i), SOME)]
-        pairs = np.unique(np.concatenate([np.empty(0, np.int64), *close]))
-        if len(pairs) > MUCH[2] * cells:
-            return None
+        upto, first = np.cumsum(times), span.start
+        cuts = np.searchsorted(upto, np.arange(0, total, MEET), "right")
+        close, met, near = [np.empty(0, np.int64)], 0, 0
+        for begin, end in pairwise([*cuts, len(times)]):
+            i, j = self.met(slice(first + begin, first + end))
+            met += len(i)
+            for k in range(0, len(i), SOME):
+                close.append(self.close(i[k : k + SOME].astype(np.int64), j[k : k + SOME].astype(np.int64)))
+                near += len(close[-1])
+            if met > MUCH[1] * cells or near > MUCH[2] * cells:
+                return None
+        pairs = np.unique(np.concatenate(close))
         i, j = np.divmod(pairs, len(right))
         both = np.zeros(len(i), np.int64)
         words = np.cumsum(self.own[left[i]] + self.own[right[j]])
@@ -334,6 +373,25 @@ class Index:
         hit = both * 100 >= (sizes[left[i]] + sizes[right[j]] - both) * s.percent
         return i[hit], j[hit], both[hit]
 
+    def met(self, span: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates by some words on the left, with each of those on the right that it meets."""
+        x, y = Words(*[v[span] for v in self.left[:4]], *[[v[span] for v in w] for w in self.left[4:]]), self.right
+        begin, times = self.begin[span], self.times[span]
+        at = np.repeat(begin - (np.cumsum(times) - times), times)
+        at += np.arange(len(at))
+        ok = np.flatnonzero(y.reach[at] >= np.repeat(x.size, times))
+        at, of = at[ok], np.repeat(np.arange(len(times)), times)[ok]
+        # Of the most frequent words as many are shared as both have; of the others behind, half of what both have less what differs.
+        differ, most = np.zeros(len(at), np.float32), x.spare[of] + y.spare[at]
+        for a, b in zip(x.rest, y.rest, strict=True):
+            differ += np.bitwise_count(a[of] ^ b[at])
+        for a, b in zip(x.often, y.often, strict=True):
+            most += np.bitwise_count(a[of] & b[at])
+        ok = np.flatnonzero(most >= differ / 2)
+        i, j = x.place[of[ok]], y.place[at[ok]]
+        once = self.sets.once(i, j)
+        return i[once], j[once]
+
     def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Numbers of the pairs whose signatures don't differ in more than similar sets' can: a bit that differs is a word that isn't shared."""
         s = self.sets
@@ -341,8 +399,9 @@ class Index:
             x, y = s.left[i], s.right[j]
             differ = np.bitwise_count(bits.take(x, 0) ^ bits.take(y, 0)).view(np.uint64)
             # Eight counts in each number, none of which passes a byte before they are added by two.
-            differ = ((differ & LOW) + (differ >> EIGHT & LOW)).sum(1) * ONES >> UPPER
-            ok = self.own[x] + self.own[y] - differ.astype(np.int64) >= 2 * self.need[s.sizes[x] + s.sizes[y]]
+            differ = (differ & LOW) + (differ >> EIGHT & LOW)
+            differ = sum(differ[:, k] for k in range(1, differ.shape[1])) + differ[:, 0]
+            ok = self.spare[x] + self.spare[y] >= (differ * ONES >> UPPER) / 2
             i, j = i[ok], j[ok]
         return i * len(s.right) + j
 
@@ -361,7 +420,7 @@ class Counts:
     def __init__(self, sets: Sets):
         self.sets = sets
         order = np.argsort(sets.codes, kind="stable")
-        codes, rows = sets.codes[order], sets.rows[order]
+        codes, rows = sets.codes[order].astype(np.int64), sets.rows[order]
         rare = int(np.searchsorted(codes, sets.frequent))
         self.rare, self.rare_rows = codes[:rare], rows[:rare]
         self.codes, self.rows = codes[rare:] - sets.frequent, rows[rare:]
